@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,7 @@ def build(master: str = "local[*]", app: str = "pitlake", **conf: str) -> SparkS
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in (DEFAULTS | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +54,17 @@ def materialised(df: DataFrame, label: str, **options: object) -> DataFrame:
 
 def local_path(uri: str) -> str:
     return uri.removeprefix("file://") if uri.startswith("file://") else os.path.abspath(uri)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if not getattr(context, "_pitlake_shipped", False):
+        package = pathlib.Path(__file__).parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="pitlake-ship-")) / "pitlake_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(package.rglob("*.py")):
+                z.write(path, f"{package.name}/{path.relative_to(package)}")
+        context.addPyFile(str(archive))
+        context._pitlake_shipped = True
+    return spark
