@@ -68,3 +68,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         context._pitlake_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it comes from too few files for that; else df as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
