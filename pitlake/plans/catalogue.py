@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitlake.plans import records
+from pitlake.plans import records, registry, scores, windows  # noqa: F401
 
-QUERIES = dict(records.QUERIES)
-ORACLES = dict(records.ORACLES)
+QUERIES = dict(records.QUERIES) | registry.QUERIES
+ORACLES = dict(records.ORACLES) | registry.ORACLES
