@@ -24,6 +24,10 @@ RANGE, BEFORE, AFTER = 16_384, 512, 2_048
 HEADING, PARAGRAPH, ROW, SENTENCE, WORD, INSIDE = 4, 3, 2, 1, 0, -1
 
 
+#: A boundary table's row: characters and tokens of a word, the kind of its beginning, and how a piece's count changes if it ends before it.
+_ROW = np.dtype([("size", "<u2"), ("tokens", "<u4"), ("kind", "i1"), ("tail", "<i2")])
+
+
 @lru_cache(maxsize=1)
 def _patterns():
     import regex
@@ -31,13 +35,9 @@ def _patterns():
     return {
         "words": regex.compile(PATTERN).findall,
         "sync": regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"),
-        # the boundary is where the match ends
-        SENTENCE: regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*"),
-        ROW: regex.compile(r"\r\n|[\n\r\u0085  ]"),
-        PARAGRAPH: regex.compile(r"(?:\r\n|[\n\r])(?:[ \t]*(?:\r\n|[\n\r]))+| "),
-        HEADING: regex.compile(
-            r"(?:(?<=[\n\r  ])|\A)(?=[ \t]*(?:#{1,6}[ \t]|(?:Item|Section|Part|Chapter|Abschnitt|Kapitel|Partie)[ \t]+[\dIVX]+|\p{Lu}[\p{Lu}\d &,'\-]{3,78}[\n\r]))"
-        ),
+        "ends": regex.compile(r"[.!?…]+[\"'”’»)\]]*$"),
+        "ends_close": regex.compile(r"[。！？]+[”」』）]*$"),
+        "heading": regex.compile(r"[ \t]*(?:#{1,6}[ \t]|(?:Item|Section|Part|Chapter|Abschnitt|Kapitel|Partie)[ \t]+[\dIVX]+|\p{Lu}[\p{Lu}\d &,'\-]{3,78}(?:[\n\r]|\Z))"),
     }
 
 
@@ -47,25 +47,31 @@ def _sync(prev: str, ahead: str) -> int:
     return m.start() - len(prev) if m and m.start() - len(prev) < AFTER else 0
 
 
-class _Counter:
-    """Tokens of words, and which are white space, remembered for a worker's words."""
+class _Lexicon:
+    """What a worker knows of the words it has met, as arrays by a word's number."""
+
+    FIELDS = ("size", "tokens", "blank", "leads", "feeds", "returns", "ends", "closes")
 
     def __init__(self, vocabulary: str) -> None:
         self.encode = library(vocabulary).encode_ordinary
-        self.known: dict[str, int] = {}
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.FIELDS)), dtype=np.int32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > 1_000_000:
-            self.known.clear()
+        """FIELDS of each word: characters, tokens, white space alone, begins with white space, line feeds, carriage returns, ends a sentence, ends one in itself."""
+        new = [w for w in set(words) if w not in self.number]
+        if len(self.number) + len(new) > 1_000_000:
+            self.number.clear()
             new = list(set(words))
+        need = len(self.number) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows)), len(self.FIELDS)), dtype=np.int32)])
+        ends, closes = _patterns()["ends"].search, _patterns()["ends_close"].search
         for w in new:
-            self.known[w] = len(self.encode(w))
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def one(self, word: str) -> int:
-        n = self.known.get(word)
-        return int(self([word])[0]) if n is None else n
+            k = self.number[w] = len(self.number)
+            other = w.count("\u2028") + w.count("\u2029") * 2 + w.count("\x85")
+            self.rows[k] = (len(w), len(self.encode(w)), w.isspace(), w[0].isspace(), w.count("\n") + other, w.count("\r") + other, ends(w) is not None, closes(w) is not None)
+        return self.rows[np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
 def words_of(before: str, text: str, after: str, last: bool) -> tuple[list[str], int, int]:
@@ -75,32 +81,45 @@ def words_of(before: str, text: str, after: str, last: bool) -> tuple[list[str],
     return _patterns()["words"]((text + after)[start:end]), start, end
 
 
-def boundary_table(before: str, text: str, after: str, words: list[str], n: np.ndarray, start: int, end: int, count, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one range: word starts (from its nominal start), tokens, kinds, and by how much a piece's count changes if it ends before that word."""
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    starts = start + np.cumsum(size) - size
+def boundary_table(before: str, text: str, after: str, words: list[str], known: np.ndarray, start: int, limit: int, lexicon: _Lexicon) -> np.ndarray:
+    """The words of one range as an array of _ROW; words of more than an eighth of the limit are cut into small parts."""
+    size, n, blank, leads, feeds, returns, ends, closes = (known[:, i].astype(np.int64) for i in range(known.shape[1]))
     large, inner = max(limit // 8, 4), max(limit // 32, 1)
+    blank = blank.astype(bool)
+    kinds = np.full(len(words), WORD, dtype=np.int64)
+    # a sentence's end: the word before ends one and white space follows, or it closes in itself
+    tail = (before + text)[max(0, len(before) + start - 16) : len(before) + start]
+    first = [int(_patterns()["ends"].search(tail) is not None and bool(tail)), int(_patterns()["ends_close"].search(tail) is not None and bool(tail))]
+    before_ends, before_closes = np.append(first[0], ends[:-1]).astype(bool), np.append(first[1], closes[:-1]).astype(bool)
+    kinds[(before_ends & leads.astype(bool)) | before_closes] = SENTENCE
+    # lines of the white space before a word; a carriage return and a line feed together are one
+    up, down = np.cumsum(np.where(blank, feeds, 0)), np.cumsum(np.where(blank, returns, 0))
+    filled = np.flatnonzero(~blank)
+    if len(filled):
+        lines = np.maximum(np.diff(up[filled], prepend=0), np.diff(down[filled], prepend=0))
+        kinds[filled[lines >= 1]] = ROW
+        kinds[filled[lines >= 2]] = PARAGRAPH
+    starts = start + np.cumsum(size) - size
+    whole, match = text + after, _patterns()["heading"].match
+    for i in filled[kinds[filled] >= ROW]:
+        if match(whole, int(starts[i])):
+            kinds[i] = HEADING
+    tails = np.zeros(len(words), dtype=np.int64)
     # white space before a word is two words in a text, but one at a piece's end
-    blank = np.fromiter(map(str.isspace, words), dtype=bool, count=len(words)) & (n <= large)
-    tails = np.zeros(len(words) + 1, dtype=np.int64)
-    for i in np.flatnonzero(blank[1:] & blank[:-1]) + 1:
-        tails[i + 1] = count.one(words[i - 1] + words[i]) - n[i - 1] - n[i]
-    kinds, tails = np.full(len(words), WORD, dtype=np.int64), tails[:-1]
-    context = before + (text + after)[:end]
-    for kind in (SENTENCE, ROW, PARAGRAPH, HEADING):
-        found = np.fromiter((m.end() for m in _patterns()[kind].finditer(context)), dtype=np.int64) - len(before)
-        k = np.searchsorted(starts, found)
-        kinds[k[(k < len(starts)) & (found >= start)]] = kind
-    tokens = n
+    for i in np.flatnonzero(blank[1:] & blank[:-1]) + 2:
+        if i < len(words) and n[i - 2] <= large and n[i - 1] <= large:
+            tails[i] = lexicon([words[i - 2] + words[i - 1]])[0, 1] - n[i - 2] - n[i - 1]
+    out = np.zeros(len(words), dtype=_ROW)
+    out["size"], out["tokens"], out["kind"], out["tail"] = size, n, kinds, tails
     if (n > large).any():  # within a large word bytes are counted: however its pieces join, there are no more tokens than that
-        rows = []
-        for w, a, t, k, change in zip(words, starts.tolist(), n.tolist(), kinds.tolist(), tails.tolist(), strict=True):
-            if t <= large:
-                rows.append((a, t, k, change))
-            else:
-                rows += [(a + i, len(w[i : i + inner].encode("utf-8", "surrogatepass")), INSIDE if i else k, 0 if i else change) for i in range(0, len(w), inner)]
-        starts, tokens, kinds, tails = np.array(rows, dtype=np.int64).T
-    return starts, tokens, kinds, tails
+        parts, at = [], 0
+        for i in np.flatnonzero(n > large):
+            w = words[i]
+            cut = [(len(w[j : j + inner]), len(w[j : j + inner].encode("utf-8", "surrogatepass")), INSIDE if j else kinds[i], 0 if j else tails[i]) for j in range(0, len(w), inner)]
+            parts += [out[at:i], np.array(cut, dtype=_ROW)]
+            at = i + 1
+        out = np.concatenate([*parts, out[at:]])
+    return out
 
 
 class _Stitcher:
@@ -114,9 +133,10 @@ class _Stitcher:
         self.piece = self.total = 0
         self.held: list[tuple] = []  # pieces, as long as the text may be within the limit after all
 
-    def add(self, total: int, *table: np.ndarray, end: int | None) -> list[tuple]:
-        """The pieces that are complete with this table; total: its tokens; end: the text's, with the last table."""
-        self.held += self._cut(*table, end)
+    def add(self, total: int, start: int, table: np.ndarray, end: int | None) -> list[tuple]:
+        """The pieces that are complete with this table, which starts there; total: its tokens; end: the text's, with the last table."""
+        size, tokens, kinds, tails = (table[f].astype(np.int64) for f in _ROW.names)
+        self.held += self._cut(start + np.cumsum(size) - size, tokens, kinds, tails, end)
         self.total += total
         if self.total <= self.limit:
             return []
@@ -179,19 +199,27 @@ def ranges(df: DataFrame, item: str, text: str) -> DataFrame:
     )
 
 
+#: Ranges of one batch out of a worker.
+BATCH = 128
+
+
 def _tables(limit: int, vocabulary: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = _Counter(vocabulary)
+        lexicon, out = _Lexicon(vocabulary), []
+        batch = lambda: pd.DataFrame(out, columns=["item", "k", "finish", "total", "start", "words"]).astype({"finish": "Int64"})
         for x in frames:
-            out = []
             for item, k, last, before, body, after in x.itertuples(index=False):
-                words, start, end = words_of(before, body, after, last)
-                n = count(words)
-                if k == 0 and last and n.sum() <= limit:
+                words, start, _ = words_of(before, body, after, last)
+                known = lexicon(words)
+                total = int(known[:, 1].sum())
+                if k == 0 and last and total <= limit:
                     continue
-                starts, tokens, kinds, tails = boundary_table(before, body, after, words, n, start, end, count, limit)
-                out.append((item, k, k * RANGE + len(body) if last else None, int(n.sum()), starts + k * RANGE, tokens, kinds, tails))
-            yield pd.DataFrame(out, columns=["item", "k", "finish", "total", "starts", "tokens", "kinds", "tails"]).astype({"finish": "Int64"})
+                table = boundary_table(before, body, after, words, known, start, limit, lexicon)
+                out.append((item, k, k * RANGE + len(body) if last else None, total, k * RANGE + start, table.tobytes()))
+                if len(out) >= BATCH:
+                    yield batch()
+                    out.clear()
+        yield batch()
 
     return run
 
@@ -204,8 +232,8 @@ def _stitch(limit: int, overlap: int):
             for row in x.itertuples(index=False):
                 if stitcher is None or row.item != now or row.k == 0:
                     now, stitcher = row.item, _Stitcher(limit, overlap)
-                table = (np.asarray(v, dtype=np.int64) for v in (row.starts, row.tokens, row.kinds, row.tails))
-                out += [(row.item, *p) for p in stitcher.add(int(row.total), *table, end=None if pd.isna(row.finish) else int(row.finish))]
+                pieces = stitcher.add(int(row.total), int(row.start), np.frombuffer(row.words, dtype=_ROW), None if pd.isna(row.finish) else int(row.finish))
+                out += [(row.item, *p) for p in pieces]
             yield pd.DataFrame(out, columns=["item", "piece", "start", "finish", "tokens", "exact", "shared"])
 
     return run
@@ -227,7 +255,7 @@ def pieces(df: DataFrame, item: str, text: str, limit: int, overlap: int, vocabu
     kind = dict(df.dtypes)[item]
     large = df.where(F.octet_length(F.col(text).cast("string")) > limit)  # no text has more tokens than bytes
     r = ranges(large, item, text)
-    tables = r.mapInPandas(_tables(limit, vocabulary), f"item {kind}, k int, finish bigint, total bigint, starts array<bigint>, tokens array<bigint>, kinds array<bigint>, tails array<bigint>")
+    tables = r.mapInPandas(_tables(limit, vocabulary), f"item {kind}, k int, finish bigint, total bigint, start bigint, words binary")
     cut = (
         tables.repartition("item").sortWithinPartitions("item", "k")
         .mapInPandas(_stitch(limit, overlap), f"item {kind}, piece int, start bigint, finish bigint, tokens bigint, exact boolean, shared bigint")
