@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlake.llm.bpe import PATTERN, VOCABULARY, library
+from pitlake.session import materialised
 
 #: Characters of a range, and of its halos before and after.
 RANGE, BEFORE, AFTER = 16_384, 512, 2_048
@@ -260,20 +261,24 @@ def pieces(df: DataFrame, item: str, text: str, limit: int, overlap: int, vocabu
         tables.repartition("item").sortWithinPartitions("item", "k")
         .mapInPandas(_stitch(limit, overlap), f"item {kind}, piece int, start bigint, finish bigint, tokens bigint, exact boolean, shared bigint")
     )
-    spans = cut.withColumn("k", F.explode(F.sequence(F.expr(f"cast(start div {RANGE} as int)"), F.expr(f"cast((finish - 1) div {RANGE} as int)"))))
-    body = r.select(F.col("item").alias("_item"), F.col("k").alias("_k"), "body")
-    low, high = F.greatest(F.col("start") - F.col("k") * RANGE, F.lit(0)), F.least(F.col("finish") - F.col("k") * RANGE, F.lit(RANGE))
-    part = F.substring(F.col("body"), (low + 1).cast("int"), (high - low).cast("int"))
-    joined = spans.join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
-    whole = joined.groupBy("item", "piece", "start", "finish", "tokens", "exact", "shared").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("s")))), lambda x: x["s"]), "").alias("text")
-    )
+    # numbers alone, which two joins read: the texts' boundary tables are made once
+    cut = materialised(cut.withColumn("k", F.expr(f"cast(start div {RANGE} as int)")), "pieces")
+    body = r.select(F.col("item").alias("_item"), F.col("k").alias("_k"), F.concat("body", "after").alias("body"))
+    low = F.col("start") - F.col("k") * RANGE
+    inside = F.col("finish") <= F.col("k") * RANGE + RANGE + AFTER
+    near = cut.where(inside).join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
+    near = near.select(*cut.columns, F.substring(F.col("body"), (low + 1).cast("int"), (F.col("finish") - F.col("start")).cast("int")).alias("text"))
+    # a piece that reaches further than the halo of its range is put together from several
+    far = cut.where(~inside).withColumn("j", F.explode(F.sequence(F.col("k"), F.expr(f"cast((finish - 1) div {RANGE} as int)"))))
+    low, high = F.greatest(F.col("start") - F.col("j") * RANGE, F.lit(0)), F.least(F.col("finish") - F.col("j") * RANGE, F.lit(RANGE))
+    far = far.join(body, (F.col("item") == F.col("_item")) & (F.col("j") == F.col("_k"))).select("*", F.substring(F.col("body"), (low + 1).cast("int"), (high - low).cast("int")).alias("s"))
+    far = far.groupBy(*cut.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "s"))), lambda x: x["s"]), "").alias("text"))
 
     @F.pandas_udf("bigint")
     def recount(t: pd.Series) -> pd.Series:
         encode = library(vocabulary).encode_ordinary
-        return t.map(lambda s: len(encode(s)))
+        return t.map(lambda s: len(encode(s)) if s is not None else None).astype("Int64")
 
-    inexact = whole.where("not exact").withColumn("tokens", recount("text"))
-    out = whole.where("exact").unionByName(inexact)
+    whole = near.unionByName(far)
+    out = whole.withColumn("tokens", F.coalesce(recount(F.when(~F.col("exact"), F.col("text"))), F.col("tokens")))
     return out.select(F.col("item").alias(item), "piece", "start", "finish", "tokens", "shared", F.col("text"))
