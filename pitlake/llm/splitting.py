@@ -48,31 +48,31 @@ def _sync(prev: str, ahead: str) -> int:
     return m.start() - len(prev) if m and m.start() - len(prev) < AFTER else 0
 
 
-class _Lexicon:
-    """What a worker knows of the words it has met, as arrays by a word's number."""
+class _Lexicon(dict):
+    """The words that a worker has met, by number, and what it knows of them as arrays by that number."""
 
     FIELDS = ("size", "tokens", "blank", "leads", "feeds", "returns", "ends", "closes")
+    KEPT = 1_000_000
 
     def __init__(self, vocabulary: str) -> None:
         self.encode = library(vocabulary).encode_ordinary
-        self.number: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.FIELDS)), dtype=np.int32)
 
+    def __missing__(self, w: str) -> int:
+        k = self[w] = len(self)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        other = w.count(" ") + w.count(" ") * 2 + w.count("\x85")
+        ends, closes = _patterns()["ends"].search(w) is not None, _patterns()["ends_close"].search(w) is not None
+        self.rows[k] = (len(w), len(self.encode(w)), w.isspace(), w[0].isspace(), w.count("\n") + other, w.count("\r") + other, ends, closes)
+        return k
+
     def __call__(self, words: list[str]) -> np.ndarray:
         """FIELDS of each word: characters, tokens, white space alone, begins with white space, line feeds, carriage returns, ends a sentence, ends one in itself."""
-        new = [w for w in set(words) if w not in self.number]
-        if len(self.number) + len(new) > 1_000_000:
-            self.number.clear()
-            new = list(set(words))
-        need = len(self.number) + len(new)
-        if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows)), len(self.FIELDS)), dtype=np.int32)])
-        ends, closes = _patterns()["ends"].search, _patterns()["ends_close"].search
-        for w in new:
-            k = self.number[w] = len(self.number)
-            other = w.count("\u2028") + w.count("\u2029") * 2 + w.count("\x85")
-            self.rows[k] = (len(w), len(self.encode(w)), w.isspace(), w[0].isspace(), w.count("\n") + other, w.count("\r") + other, ends(w) is not None, closes(w) is not None)
-        return self.rows[np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))]
+        if len(self) > self.KEPT:
+            self.clear()
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.rows[numbers]
 
 
 def words_of(before: str, text: str, after: str, last: bool) -> tuple[list[str], int, int]:
@@ -210,6 +210,9 @@ def _tables(limit: int, vocabulary: str):
         batch = lambda: pd.DataFrame(out, columns=["item", "k", "finish", "total", "start", "words"]).astype({"finish": "Int64"})
         for x in frames:
             for item, k, last, before, body, after in x.itertuples(index=False):
+                # a short text is most likely within the limit, which a count without words tells sooner
+                if k == 0 and last and len(body) < 4 * limit and len(lexicon.encode(body)) <= limit:
+                    continue
                 words, start, _ = words_of(before, body, after, last)
                 known = lexicon(words)
                 total = int(known[:, 1].sum())
