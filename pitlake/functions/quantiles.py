@@ -24,14 +24,14 @@ def exact_medians(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     Two passes: counts by bucket (combined before the shuffle) find the buckets that hold the middle ranks, then only their values are compared.
     So no task ever holds a key's values, and a key with a third of all rows costs no more than its buckets. Keys without a value are left out.
     """
-    x = df.select(key, F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)").withColumn("b", bucket(F.col("x")))
-    counts = x.groupBy(key, "b").agg(F.count("*").alias("k"))
-    w = W.partitionBy(key)
-    ranked = counts.withColumn("upto", F.sum("k").over(w.orderBy("b"))).withColumn("n", F.sum("k").over(w))
-    lo, hi = F.expr("(n - 1) div 2"), F.expr("n div 2")
-    holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("k") <= r)
-    target = ranked.where(holds(lo) | holds(hi)).select(F.col(key).alias("_key"), F.col("b").alias("_b"), (F.col("upto") - F.col("k")).alias("base"), "n")
-    near = x.join(target, x[key].eqNullSafe(F.col("_key")) & (x["b"] == F.col("_b"))).groupBy(key, "b", "base", "n", "x").agg(F.count("*").alias("k"))
-    near = near.withColumn("upto", F.col("base") + F.sum("k").over(W.partitionBy(key, "b").orderBy("x")))
-    middle = near.where(holds(lo) | holds(hi)).groupBy(key, "n")
-    return middle.agg(((F.max("x") + F.min("x")) / 2).alias(out))
+    x = df.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)").withColumn("_b", bucket(F.col("_x")))
+    counts = x.groupBy("_key", "_b").agg(F.count("*").alias("_k"))
+    w = W.partitionBy("_key")
+    ranked = counts.withColumn("_upto", F.sum("_k").over(w.orderBy("_b"))).withColumn("_n", F.sum("_k").over(w))
+    lo, hi = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_k") <= r)
+    target = ranked.where(holds(lo) | holds(hi)).select(F.col("_key").alias("_key2"), F.col("_b").alias("_b2"), (F.col("_upto") - F.col("_k")).alias("_base"), "_n")
+    near = x.join(target, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_b") == F.col("_b2"))).groupBy("_key", "_b", "_base", "_n", "_x").agg(F.count("*").alias("_k"))
+    near = near.withColumn("_upto", F.col("_base") + F.sum("_k").over(W.partitionBy("_key", "_b").orderBy("_x")))
+    middle = near.where(holds(lo) | holds(hi)).groupBy("_key", "_n").agg(((F.max("_x") + F.min("_x")) / 2).alias("_m"))
+    return middle.select(F.col("_key").alias(key), F.col("_n").alias("n"), F.col("_m").alias(out))

@@ -15,7 +15,7 @@ _BLANK = r"[ \t\n\r\f\v]"
 
 
 @query(
-    r"""select doc_id, cast(length(t) as int) as n, sha256(t) as h from (select doc_id, lower(trim(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '[ \t\n\r\f\v]+', ' ', 'g'))) as t from documents where text is not null)"""
+    r"""select doc_id, cast(length(t) as int) as n, sha256(t) as h from (select doc_id, lower(trim(regexp_replace(translate(text, '‘’“”–—', chr(39) || chr(39) || '""--'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) as t from documents where text is not null)"""
 )
 def normalised_text(spark: SparkSession, folder: str) -> DataFrame:
     """Texts in lower case with plain quotes and single spaces, as length and hash."""
