@@ -132,7 +132,7 @@ def nearest(
     low, high = (F.expr(f"cast((ts {sign} {tolerance_us}L - pmod(ts {sign} {tolerance_us}L, {slot_us}L)) div {slot_us}L as bigint)") for sign in "-+")
     mine = F.expr(f"cast((ts - pmod(ts, {slot_us}L)) div {slot_us}L as bigint)")
     # few right records lie near a slot's end and go to two slots
-    r = r.withColumn("slot", F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))))
+    r = r.withColumn("slot", F.explode(F.sequence(low, high)))
     kind = dict(r.dtypes)["rid"]
     x = left.select(left_tag.alias("tag"), left_key.alias("key"), left_entity.alias("entity"), left_us.cast("bigint").alias("ts")).where("entity is not null and ts is not null")
     key_kind, tag_kind = dict(x.dtypes)["key"], dict(x.dtypes)["tag"]

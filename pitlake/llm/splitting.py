@@ -269,7 +269,8 @@ def pieces(df: DataFrame, item: str, text: str, limit: int, overlap: int, vocabu
     body = r.select(F.col("item").alias("_item"), F.col("k").alias("_k"), F.concat("body", "after").alias("body"))
     low = F.col("start") - F.col("k") * RANGE
     inside = F.col("finish") <= F.col("k") * RANGE + RANGE + AFTER
-    near = cut.where(inside).join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
+    # the numbers are hashed, so that the texts need no sort
+    near = cut.where(inside).hint("shuffle_hash").join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
     near = near.select(*cut.columns, F.substring(F.col("body"), (low + 1).cast("int"), (F.col("finish") - F.col("start")).cast("int")).alias("text"))
     # a piece that reaches further than the halo of its range is put together from several
     far = cut.where(~inside).withColumn("j", F.explode(F.sequence(F.col("k"), F.expr(f"cast((finish - 1) div {RANGE} as int)"))))
