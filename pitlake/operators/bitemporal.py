@@ -83,18 +83,18 @@ def rectangles(facts: DataFrame, entity: str, valid_from: str, recorded_on: str,
     )
     # the last version in each block is carried to the following blocks, up to the one with the next version, the last block being open
     last = f.groupBy("entity", "v", "block").agg(F.max_by("fact", "r").alias("fact"))
-    top = f.agg(F.max("block").alias("top"))
+    top = f.agg(F.max("block")).first()[0]  # one number
+    top = F.lit(0 if top is None else top)
     nxt = F.lead("block").over(W.partitionBy("entity", "v").orderBy("block"))
     carried = (
         last.withColumn("next", nxt)
-        .crossJoin(F.broadcast(top))  # one row
-        .withColumn("until", F.coalesce("next", "top"))
+        .withColumn("until", F.coalesce("next", top))
         .where("until > block")
         .select("entity", F.explode(F.sequence(F.col("block") + 1, F.col("until"))).alias("block"), "v", "fact", F.lit(-(1 << 20)).alias("r"))
     )
     rows = carried.select("entity", "block", "r", "v", "fact").unionByName(f.select("entity", "block", "r", "v", "fact"))
-    rows = rows.crossJoin(F.broadcast(top)).select(
-        "entity", "block", "r", "v", "fact", (F.col("block") * block_days).alias("b0"), F.when(F.col("block") == F.col("top"), OPEN).otherwise((F.col("block") + 1) * block_days).alias("b1")
+    rows = rows.select(
+        "entity", "block", "r", "v", "fact", (F.col("block") * block_days).alias("b0"), F.when(F.col("block") == top, OPEN).otherwise((F.col("block") + 1) * block_days).alias("b1")
     )
     types = dict(f.dtypes)
     # carried rows sort by valid start, which cuts the rectangles at once; rows of one recorded day too

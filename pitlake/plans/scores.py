@@ -91,7 +91,7 @@ def rank_ic_by_cutoff(spark: SparkSession, folder: str) -> DataFrame:
     using("preds")
     + """, q as (select arm, cutoff, ret, count(*) over (partition by arm, cutoff) as n, (rank() over (partition by arm, cutoff order by p) + (count(*) over (partition by arm, cutoff, p) - 1) / 2.0) / count(*) over (partition by arm, cutoff) as q,
   row_number() over (partition by arm, cutoff order by p, sym, run_id) as lo, row_number() over (partition by arm, cutoff order by p desc, sym desc, run_id desc) as hi from preds)
-select arm, cutoff, n, round(avg(ret) filter (where q > 0.8) - avg(ret) filter (where q <= 0.2), 11) as by_rank, round(avg(ret) filter (where hi <= greatest(1, n // 5)) - avg(ret) filter (where lo <= greatest(1, n // 5)), 11) as by_place from q where n >= 10 group by arm, cutoff, n"""
+select arm, cutoff, n, round(avg(ret) filter (where q > 0.8) - avg(ret) filter (where q <= 0.2), 13) as by_rank, round(avg(ret) filter (where hi <= greatest(1, n // 5)) - avg(ret) filter (where lo <= greatest(1, n // 5)), 13) as by_place from q where n >= 10 group by arm, cutoff, n"""
 )
 def quintile_spread(spark: SparkSession, folder: str) -> DataFrame:
     """Outcome of the top fifth less that of the bottom fifth: by percent rank, ties together, and by place, in a total order."""
@@ -100,7 +100,7 @@ def quintile_spread(spark: SparkSession, folder: str) -> DataFrame:
         "arm", "cutoff", "ret", F.count("*").over(w).alias("n"), percent_of("p", "arm", "cutoff").alias("q"), F.row_number().over(w.orderBy("p", "sym", "run_id")).alias("lo"), F.row_number().over(w.orderBy(F.desc("p"), F.desc("sym"), F.desc("run_id"))).alias("hi")
     ).where(F.col("n") >= NAMES)
     k, mean = F.greatest(F.lit(1), F.floor(F.col("n") / 5)), lambda c: F.avg(F.when(c, F.col("ret")))
-    return x.groupBy("arm", "cutoff", "n").agg(F.round(mean(F.col("q") > 0.8) - mean(F.col("q") <= 0.2), 11).alias("by_rank"), F.round(mean(F.col("hi") <= k) - mean(F.col("lo") <= k), 11).alias("by_place"))
+    return x.groupBy("arm", "cutoff", "n").agg(F.round(mean(F.col("q") > 0.8) - mean(F.col("q") <= 0.2), 13).alias("by_rank"), F.round(mean(F.col("hi") <= k) - mean(F.col("lo") <= k), 13).alias("by_place"))
 
 
 @query(using("preds") + _RANKED + " select a.arm as arm, b.arm as other, count(*) as cutoffs, round(avg(a.ic - b.ic), 6) as gap from ic a join ic b on a.cutoff = b.cutoff and a.arm < b.arm group by 1, 2")
@@ -122,10 +122,10 @@ def brier_gap(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, "cutoff").where("arm < other").groupBy("arm", "other").agg(F.count("*").alias("cutoffs"), F.round(F.sum("s") / F.sum("n") - F.sum("s2") / F.sum("n2"), 6).alias("gap"))
 
 
-@query(using("preds") + " select arm, cutoff, round(avg(sign(p - 0.5) * ret), 11) as ls from preds where p <> 0.5 group by arm, cutoff")
+@query(using("preds") + " select arm, cutoff, round(avg(sign(p - 0.5) * ret), 13) as ls from preds where p <> 0.5 group by arm, cutoff")
 def weekly_long_short(spark: SparkSession, folder: str) -> DataFrame:
     """Equal-weight long-short return by the sign of each call."""
-    return preds(spark, folder).where("p <> 0.5").groupBy("arm", "cutoff").agg(F.round(F.avg(F.signum(F.col("p") - 0.5) * F.col("ret")), 11).alias("ls"))
+    return preds(spark, folder).where("p <> 0.5").groupBy("arm", "cutoff").agg(F.round(F.avg(F.signum(F.col("p") - 0.5) * F.col("ret")), 13).alias("ls"))
 
 
 @query(

@@ -65,12 +65,12 @@ def value_at_risk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     using("preds")
-    + """, g as (select arm, count(*) as n, avg(ret) as m, regr_slope(ret, p) as b, regr_intercept(ret, p) as a, regr_r2(ret, p) as r2 from preds group by arm) select arm, n, round(a, 5) as intercept, round(b, 5) as slope, round(r2, 6) as r2 from g"""
+    + """, g as (select arm, count(*) as n, avg(ret) as m, regr_slope(ret, p) as b, regr_intercept(ret, p) as a, regr_r2(ret, p) as r2 from preds group by arm) select arm, n, round(a, 5) + 0.0 as intercept, round(b, 5) + 0.0 as slope, round(r2, 6) as r2 from g"""
 )
 def one_factor(spark: SparkSession, folder: str) -> DataFrame:
     """A regression of outcome on forecast by arm."""
     g = preds(spark, folder).groupBy("arm").agg(F.count("*").alias("n"), F.regr_intercept("ret", "p").alias("a"), F.regr_slope("ret", "p").alias("b"), F.regr_r2("ret", "p").alias("r2"))
-    return g.select("arm", "n", F.round("a", 5).alias("intercept"), F.round("b", 5).alias("slope"), F.round("r2", 6).alias("r2"))
+    return g.select("arm", "n", (F.round("a", 5) + 0.0).alias("intercept"), (F.round("b", 5) + 0.0).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
 def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> tuple[list[float], float]:

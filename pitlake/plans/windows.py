@@ -24,10 +24,10 @@ def by_day() -> WindowSpec:
     return W.partitionBy(F.lit(0)).orderBy("day")
 
 
-@query(using("bars_m") + " select sym, day, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume, n from bars_m")
+@query(using("bars_m") + " select sym, day, round(open, 9) as open, round(high, 9) as high, round(low, 9) as low, round(close, 9) as close, volume, n from bars_m")
 def bars_from_trades(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly bars by first, highest, lowest and last trade."""
-    return bars_m(spark, folder).select("sym", "day", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume", "n")
+    return bars_m(spark, folder).select("sym", "day", *[F.round(c, 9).alias(c) for c in ("open", "high", "low", "close")], "volume", "n")
 
 
 @query(
