@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Classes of fixed counts; items of at most capacity / (CLASSES + 1) fill gaps.
 CLASSES = 24
-#: Items that a worker packs at once, and items of a partition.
-CHUNK, PARTITION_ITEMS = 200_000, 1_000_000
+#: Items that a worker packs at once; bounds its memory.
+CHUNK = 200_000
 
 
 def harmonic(sizes: list[int], capacity: int, classes: int = CLASSES) -> tuple[list[int], int]:
