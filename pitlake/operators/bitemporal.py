@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitlake.session import materialised
+
 #: Days in a block of the sweep. log2 of the cell widths in days; each rectangle takes the first width at which it spans at most SPAN cells.
 BLOCK_DAYS, LEVELS, SPAN, SALTS = 1024, (6, 10, 14, 18), 17, 4
 #: The last day on either axis; open ends reach to it.
@@ -81,6 +83,7 @@ def rectangles(facts: DataFrame, entity: str, valid_from: str, recorded_on: str,
         .agg(F.min("fact").alias("fact"))
         .withColumn("block", F.floor(F.col("r") / block_days).cast("int"))
     )
+    f = materialised(f, "facts")  # reduced once, read three times
     # the last version in each block is carried to the following blocks, up to the one with the next version, the last block being open
     last = f.groupBy("entity", "v", "block").agg(F.max_by("fact", "r").alias("fact"))
     top = f.agg(F.max("block")).first()[0]  # one number

@@ -22,14 +22,14 @@ def _returns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     using("px_d", recursive=True)
-    + """, r as (select day, r, row_number() over (order by day) as i from (select day, close / lag(close) over (order by day) - 1 as r from px_d) where r is not null and year(day) = 1996),
+    + """, r as (select day, r, row_number() over (order by day) as i from (select day, close / lag(close) over (order by day) - 1 as r from px_d) where r is not null),
 b as (select 0::bigint as i, cast(null as date) as day, 0.0::double as y, 1.0::double as m, 1.0::double as eq, 1.0::double as peak
   union all select r.i, r.day, z.y, z.m, b.eq * (1 + z.y), greatest(b.peak, b.eq * (1 + z.y)) from b join r on r.i = b.i + 1, lateral (select case when 1 - b.eq / b.peak >= 0.2 then 0.5 when 1 - b.eq / b.peak >= 0.1 then 2.0 / 3 else 1.0 end as m) k, lateral (select k.m as m, k.m * r.r - abs(k.m - b.m) * 10.0 / 1e4 as y) z)
 select day, round(y, 8) as y, round(m, 6) as m, round(eq, 8) as equity from b where i > 0"""
 )
 def brake_overlay(spark: SparkSession, folder: str) -> DataFrame:
-    """Exposure cut in drawdowns of the braked equity itself, over a year."""
-    x = _returns(spark, folder).where(F.year("day") == 1996)
+    """Exposure cut in drawdowns of the braked equity itself."""
+    x = _returns(spark, folder)
     x = fold(x, ["key"], ["day"], brake(), "key string, day date, y double, m double, equity double")
     return x.select("day", F.round("y", 8).alias("y"), F.round("m", 6).alias("m"), F.round("equity", 8).alias("equity"))
 
@@ -37,7 +37,7 @@ def brake_overlay(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     using("px_d", recursive=True)
     + """, v as (select day, r, lag(s) over (order by day) * sqrt(252) as vol from (select day, r, case when count(r) over w >= 20 then stddev_samp(r) over w end as s from (select day, close / lag(close) over (order by day) - 1 as r from px_d) window w as (order by day rows 19 preceding))),
-r as (select *, row_number() over (order by day) as i from v where r is not null and year(day) = 1997),
+r as (select *, row_number() over (order by day) as i from v where r is not null),
 b as (select 0::bigint as i, cast(null as date) as day, 0.0::double as y, 1.0::double as e union all select r.i, r.day, z.e * r.r - abs(z.e - b.e) * 5.0 / 1e4, z.e from b join r on r.i = b.i + 1,
   lateral (select case when r.vol is null or r.vol <= 0 then b.e else least(1.5, 0.15 / r.vol) end as e) k, lateral (select case when abs(k.e - b.e) <= 0.1 then b.e else k.e end as e) z)
 select day, round(y, 8) as y, round(e, 6) as exposure from b where i > 0"""
@@ -46,7 +46,7 @@ def vol_target_band(spark: SparkSession, folder: str) -> DataFrame:
     """Exposure by the deviation known the day before, kept within a band."""
     w = by_day().rowsBetween(-19, 0)
     x = px_d(spark, folder).select("day", back("close", 1, by_day()).alias("r")).select("day", "r", F.when(F.count("r").over(w) >= 20, F.stddev_samp("r").over(w)).alias("s"))
-    x = x.select(F.lit("index").alias("key"), "day", "r", (F.lag("s").over(by_day()) * math.sqrt(252)).alias("vol")).where(F.col("r").isNotNull() & (F.year("day") == 1997))
+    x = x.select(F.lit("index").alias("key"), "day", "r", (F.lag("s").over(by_day()) * math.sqrt(252)).alias("vol")).where("r is not null")
     return fold(x, ["key"], ["day"], sticky_exposure(), "key string, day date, y double, exposure double").select("day", F.round("y", 8).alias("y"), F.round("exposure", 6).alias("exposure"))
 
 

@@ -163,25 +163,31 @@ def late_share(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("late").cast("bigint").alias("late"), F.round(F.avg("late"), 6).alias("share"))
 
 
+def _every_day(x: DataFrame) -> DataFrame:
+    """All days from the first to the last of x."""
+    return x.agg(F.min("day").alias("a"), F.max("day").alias("z")).select(F.explode(F.sequence("a", "z")).alias("day"))
+
+
 @query(
     using("px_d")
-    + """, m as (select day, close from px_d where day >= date '1998-01-01'), c as (select generate_series as day from generate_series(timestamp '1998-01-01', timestamp '1998-12-31', interval 1 day)) select cast(c.day as date) as day, round(m.close, 6) as close, m.day as from_day from c asof left join (select * from m) m on cast(c.day as date) >= m.day"""
+    + """, b as (select min(day) as a, max(day) as z from px_d), c as (select cast(d.day as date) as day from b, generate_series(cast(b.a as timestamp), cast(b.z as timestamp), interval 1 day) d(day)) select c.day, round(m.close, 9) as close, m.day as from_day from c asof left join px_d m on c.day >= m.day"""
 )
 def forward_filled(spark: SparkSession, folder: str) -> DataFrame:
-    """Every day of a year with the last close there was: calendar join and forward fill."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"))).alias("day"))
-    m = px_d(spark, folder).where(F.col("day") >= F.lit("1998-01-01").cast("date")).select(F.col("day").alias("t"), F.col("day").alias("from_day"), F.round("close", 6).alias("close"), F.lit(0).alias("k"))
-    return asof_join(days.withColumn("k", F.lit(0)), m, ["k"], "day", "t", ["close", "from_day"]).select("day", "close", "from_day")
+    """Every calendar day with the last close there was: calendar join and forward fill."""
+    x = px_d(spark, folder)
+    m = x.select(F.col("day").alias("t"), F.col("day").alias("from_day"), F.round("close", 9).alias("close"), F.lit(0).alias("k"))
+    return asof_join(_every_day(x).withColumn("k", F.lit(0)), m, ["k"], "day", "t", ["close", "from_day"]).select("day", "close", "from_day")
 
 
 @query(
-    using("px_d")
-    + """ select cast(d.day as date) as day from generate_series(timestamp '1997-01-01', timestamp '1997-12-31', interval 1 day) d(day) where isodow(d.day) <= 5 and cast(d.day as date) not in (select day from px_d)"""
+    """with t as (select ticker, cast(timestamp as date) as day from bars group by 1, 2), b as (select ticker, min(day) as a, max(day) as z from t group by 1), c as (select b.ticker, cast(d.day as date) as day from b, generate_series(cast(b.a as timestamp), cast(b.z as timestamp), interval 1 day) d(day) where isodow(d.day) <= 5)
+select c.ticker, c.day from c anti join t on t.ticker = c.ticker and t.day = c.day"""
 )
 def missing_weekdays(spark: SparkSession, folder: str) -> DataFrame:
-    """Weekdays of a year without trades: an anti join with the calendar."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date"))).alias("day")).where(F.weekday("day") < 5)
-    return days.join(px_d(spark, folder).select("day"), "day", "left_anti")
+    """Weekdays without a bar between a series' first and last: an anti join with each series' own calendar."""
+    t = table(spark, folder, "bars").select("ticker", F.col("timestamp").cast("date").alias("day")).distinct()
+    c = t.groupBy("ticker").agg(F.min("day").alias("a"), F.max("day").alias("z")).select("ticker", F.explode(F.sequence("a", "z")).alias("day")).where(F.weekday("day") < 5)
+    return c.join(t, ["ticker", "day"], "left_anti")
 
 
 @query(

@@ -254,13 +254,14 @@ def best_by_group(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with x as (select l_suppkey as sym, cast(date_trunc('month', l_shipdate) as date) as m, cast(sum(l_quantity) as double) as q from lineitem where l_suppkey < 12 group by 1, 2)
-select a.sym as a, b.sym as b, count(*) as n, round(corr(a.q, b.q), 6) as r, round(covar_samp(a.q, b.q), 4) as c from x a join x b on a.m = b.m and a.sym <= b.sym group by 1, 2 having count(*) > 2 and stddev_samp(a.q) > 0 and stddev_samp(b.q) > 0"""
+    """with x as (select s_nationkey as sym, cast(date_trunc('month', l_shipdate) as date) as m, cast(sum(l_quantity) as double) as q from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2)
+select a.sym as a, b.sym as b, count(*) as n, round(corr(a.q, b.q), 6) as r, round(covar_samp(a.q, b.q), 3) as c from x a join x b on a.m = b.m and a.sym <= b.sym group by 1, 2 having count(*) > 2 and stddev_samp(a.q) > 0 and stddev_samp(b.q) > 0"""
 )
 def correlation_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Correlation and covariance of all pairs of a dozen series on the months both have."""
+    """Correlation and covariance of the monthly quantities of all pairs of nations: the matrix asked for, over series that are aggregated first."""
     from pitlake.functions.columns import correlation
 
-    x = table(spark, folder, "lineitem").where("l_suppkey < 12").groupBy(F.col("l_suppkey").alias("a"), F.trunc("l_shipdate", "month").alias("m")).agg(F.sum("l_quantity").cast("double").alias("qa"))
+    li, s = _t(spark, folder, "lineitem", "supplier")
+    x = li.join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("a"), F.trunc("l_shipdate", "month").alias("m")).agg(F.sum("l_quantity").cast("double").alias("qa"))
     y = x.select(F.col("a").alias("b"), "m", F.col("qa").alias("qb"))
-    return x.join(y, "m").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(correlation("qa", "qb"), 6).alias("r"), F.round(F.covar_samp("qa", "qb"), 4).alias("c")).where("n > 2 and r is not null")
+    return x.join(y, "m").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(correlation("qa", "qb"), 6).alias("r"), F.round(F.covar_samp("qa", "qb"), 3).alias("c")).where("n > 2 and r is not null")

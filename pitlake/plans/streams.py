@@ -70,14 +70,13 @@ def series_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with h as (select event_type as asset, date_trunc('hour', ts) as ts, avg(value) - 20 as rate from events where event_type in ('click', 'view') group by 1, 2), w as (select asset, ts, rate, cast(date_trunc('week', ts) as date) as wk from h),
+    """with h as (select event_type as asset, date_trunc('hour', ts) as ts, avg(value) - 20 as rate from events group by 1, 2), w as (select asset, ts, rate, cast(date_trunc('week', ts) as date) as wk from h),
 k as (select asset, wk + 7 as wk, avg(rate) as m, count(*) as n from w group by 1, 2), d as (select asset, cast(ts as date) as day, any_value(wk) as wk, sum(rate) as r from w group by 1, 2),
 f as (select d.asset, d.day, d.wk, d.r, coalesce(k.n >= 120 and k.m > 0, false) as held from d left join k on k.asset = d.asset and k.wk = d.wk) select asset, day, round(case when held then r / 1.25 else 0 end, 6) as gross, held from f"""
 )
 def funding_carry(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily carry of two series, held in weeks after one with 120 hours or more and a positive mean: a state machine that windows can express."""
-    e = _events(spark, folder).where("event_type in ('click', 'view')")
-    h = e.groupBy(F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") - 20).alias("rate")).withColumn("wk", F.date_trunc("week", "ts").cast("date"))
+    """Daily carry of each type's hourly means, held in weeks after one with 120 hours or more and a positive mean: a state machine that windows can express."""
+    h = _events(spark, folder).groupBy(F.col("event_type").alias("asset"), F.date_trunc("hour", "ts").alias("ts")).agg((F.avg("value") - 20).alias("rate")).withColumn("wk", F.date_trunc("week", "ts").cast("date"))
     k = h.groupBy("asset", F.date_add("wk", 7).alias("wk")).agg(F.avg("rate").alias("m"), F.count("*").alias("n"))
     d = h.groupBy("asset", "wk", F.col("ts").cast("date").alias("day")).agg(F.sum("rate").alias("r")).join(k, ["asset", "wk"], "left")
     held = F.coalesce((F.col("n") >= 120) & (F.col("m") > 0), F.lit(False))

@@ -137,3 +137,27 @@ def fitted_direction(spark: SparkSession, folder: str) -> DataFrame:
     base = old.agg(F.avg("y")).first()[0]
     p = 1 / (1 + F.exp(-(F.col("p") * w[0] + F.col("h2") * w[1] + w[2])))
     return new.agg(F.count("*").alias("n"), F.round(F.avg(F.pow(p - F.col("y"), 2)), 6).alias("brier"), F.round(F.avg(F.pow(F.lit(base) - F.col("y"), 2)), 6).alias("base"))
+
+
+def least_variance(cov: list[list[float]]) -> list[float]:
+    """Weights of the portfolio of least variance that sum to 1, by the pseudo-inverse."""
+    import numpy as np
+
+    inverse = np.linalg.pinv(np.array(cov, dtype=float))
+    raw = inverse @ np.ones(len(inverse))
+    return (raw / raw.sum()).tolist() if abs(raw.sum()) > 1e-300 else [1 / len(raw)] * len(raw)
+
+
+@query()
+def least_variance_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of least variance over the nations' monthly quantities: the covariances are aggregated in Spark, nations x nations numbers reach the driver."""
+    from pitlake.plans.relational import correlation_matrix
+
+    cells = correlation_matrix(spark, folder).select("a", "b", "c").collect()
+    names = sorted({r.a for r in cells} | {r.b for r in cells})
+    at = {n: i for i, n in enumerate(names)}
+    cov = [[0.0] * len(names) for _ in names]
+    for r in cells:
+        cov[at[r.a]][at[r.b]] = cov[at[r.b]][at[r.a]] = float(r.c)
+    rows = [(int(n), round(w, 6)) for n, w in zip(names, least_variance(cov), strict=True)] if names else []
+    return spark.createDataFrame(rows, "nation bigint, weight double")

@@ -79,3 +79,43 @@ def test_path_cone(spark):
     again = path_cone([0.01, -0.02, 0.005] * 30, 60, 1200, 5, spark).toPandas().sort_values("path")
     assert len(got) == 1200 and got["path"].is_unique and (got["worst"] <= 0).all() and np.array_equal(got["final"], again["final"])
     assert path_cone([], 10, 10, 5, spark).count() == 0
+
+
+def test_least_variance():
+    from pitlake.plans.valuation import least_variance
+
+    assert least_variance([[1.0, 0.0], [0.0, 3.0]]) == pytest.approx([0.75, 0.25])
+
+
+def test_fits(spark):
+    from pitlake.plans.valuation import logistic, ridge
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(4000, 2))
+    y = 1.5 * x[:, 0] - 0.5 * x[:, 1] + 2 + r.normal(scale=0.1, size=4000)
+    up = (1 / (1 + np.exp(-(x[:, 0] - 2 * x[:, 1] + 0.3))) > r.random(4000)).astype(float)
+    df = spark.createDataFrame([(*map(float, a), float(b), float(c)) for a, b, c in zip(x, y, up, strict=True)] + [(None, 1.0, 1.0, 1.0)], "a double, b double, y double, up double")
+    w, mean = ridge(df, ["a", "b"], "y", 0.0)
+    assert w == pytest.approx([1.5 * x[:, 0].std(), -0.5 * x[:, 1].std()], abs=0.02) and mean == pytest.approx(y.mean())
+    assert logistic(df, ["a", "b"], "up", 1e-6) == pytest.approx([1, -2, 0.3], abs=0.15)
+    assert ridge(df.limit(0), ["a"], "y", 1.0) == ([0.0], 0.0) and logistic(df.limit(0), ["a"], "up") == [0.0, 0.0]
+
+
+def test_sticky_exposure_and_books():
+    from collections import namedtuple
+
+    from pitlake.plans.portfolio import weight_book
+    from pitlake.plans.research import pair_trade
+
+    Row = namedtuple("Row", "key day r vol")
+    step = folds.sticky_exposure(0.15, 1.5, 0.1, 0.0)()
+    got = [step(Row("k", 0, 0.01, v))[3] for v in (None, 0.15, 0.145, 0.1, 0.05, 0.0)]
+    assert got == pytest.approx([1, 1, 1, 1.5, 1.5, 1.5])
+    Bar = namedtuple("Bar", "key day open close weight")
+    step = weight_book(0.0)()
+    eq = [step(Bar("k", i, *b))[2] for i, b in enumerate([(1, 1, 1.0), (1, 2, None), (2, 3, 0.0), (4, 8, None)])]
+    assert eq == pytest.approx([1, 2, 3, 4])  # bought at the open after the signal, sold at the open after the next
+    Pair = namedtuple("Pair", "key day a b last")
+    step = pair_trade(0.2, 0.0)()
+    pnl = [step(Pair("k", i, a, b, i == 4))[4] for i, (a, b) in enumerate([(1, 1), (1.5, 1), (1.5, 1), (1.2, 1), (1, 1)])]
+    assert sum(pnl) == pytest.approx(1 - 1 / 1.5)
