@@ -51,28 +51,41 @@ def _sync(prev: str, ahead: str) -> int:
 class _Lexicon(dict):
     """The words that a worker has met, by number, and what it knows of them as arrays by that number."""
 
-    FIELDS = ("size", "tokens", "blank", "leads", "feeds", "returns", "ends", "closes")
+    #: Characters, tokens, white space alone, begins with white space, line feeds, carriage returns, ends a sentence, ends one in itself.
+    FIELDS = ("int64", "int64", "bool", "bool", "int32", "int32", "bool", "bool")
     KEPT = 1_000_000
 
     def __init__(self, vocabulary: str) -> None:
         self.encode = library(vocabulary).encode_ordinary
-        self.rows = np.zeros((1024, len(self.FIELDS)), dtype=np.int32)
+        self.columns = [np.zeros(1024, dtype=t) for t in self.FIELDS]
+        self.joined: dict[tuple[str, str], int] = {}
 
     def __missing__(self, w: str) -> int:
         k = self[w] = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        other = w.count(" ") + w.count(" ") * 2 + w.count("\x85")
+        if k == len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
+        other = w.count("\u2028") + w.count("\u2029") * 2 + w.count("\x85")
         ends, closes = _patterns()["ends"].search(w) is not None, _patterns()["ends_close"].search(w) is not None
-        self.rows[k] = (len(w), len(self.encode(w)), w.isspace(), w[0].isspace(), w.count("\n") + other, w.count("\r") + other, ends, closes)
+        of = (len(w), len(self.encode(w)), w.isspace(), w[0].isspace(), w.count("\n") + other, w.count("\r") + other, ends, closes)
+        for c, v in zip(self.columns, of, strict=True):
+            c[k] = v
         return k
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """FIELDS of each word: characters, tokens, white space alone, begins with white space, line feeds, carriage returns, ends a sentence, ends one in itself."""
+    def __call__(self, words: list[str]) -> list[np.ndarray]:
+        """FIELDS of each word."""
         if len(self) > self.KEPT:
             self.clear()
         numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.rows[numbers]
+        return [c[numbers] for c in self.columns]
+
+    def change(self, a: str, b: str) -> int:
+        """By how much the tokens of two words of white space change when they are one."""
+        n = self.joined.get((a, b))
+        if n is None:
+            if len(self.joined) > self.KEPT:
+                self.joined.clear()
+            n = self.joined[a, b] = len(self.encode(a + b)) - len(self.encode(a)) - len(self.encode(b))
+        return n
 
 
 def words_of(before: str, text: str, after: str, last: bool) -> tuple[list[str], int, int]:
@@ -82,17 +95,16 @@ def words_of(before: str, text: str, after: str, last: bool) -> tuple[list[str],
     return _patterns()["words"]((text + after)[start:end]), start, end
 
 
-def boundary_table(before: str, text: str, after: str, words: list[str], known: np.ndarray, start: int, limit: int, lexicon: _Lexicon) -> np.ndarray:
+def boundary_table(before: str, text: str, after: str, words: list[str], known: list[np.ndarray], start: int, limit: int, lexicon: _Lexicon) -> np.ndarray:
     """The words of one range as an array of _ROW; words of more than an eighth of the limit are cut into small parts."""
-    size, n, blank, leads, feeds, returns, ends, closes = (known[:, i].astype(np.int64) for i in range(known.shape[1]))
+    size, n, blank, leads, feeds, returns, ends, closes = known
     large, inner = max(limit // 8, 4), max(limit // 32, 1)
-    blank = blank.astype(bool)
-    kinds = np.full(len(words), WORD, dtype=np.int64)
+    kinds = np.full(len(words), WORD, dtype=np.int8)
     # a sentence's end: the word before ends one and white space follows, or it closes in itself
     tail = (before + text)[max(0, len(before) + start - 16) : len(before) + start]
-    first = [int(_patterns()["ends"].search(tail) is not None and bool(tail)), int(_patterns()["ends_close"].search(tail) is not None and bool(tail))]
-    before_ends, before_closes = np.append(first[0], ends[:-1]).astype(bool), np.append(first[1], closes[:-1]).astype(bool)
-    kinds[(before_ends & leads.astype(bool)) | before_closes] = SENTENCE
+    kinds[1:][(ends[:-1] & leads[1:]) | closes[:-1]] = SENTENCE
+    if len(words) and ((_patterns()["ends"].search(tail) and leads[0]) or _patterns()["ends_close"].search(tail)):
+        kinds[0] = SENTENCE
     # lines of the white space before a word; a carriage return and a line feed together are one
     up, down = np.cumsum(np.where(blank, feeds, 0)), np.cumsum(np.where(blank, returns, 0))
     filled = np.flatnonzero(~blank)
@@ -107,9 +119,8 @@ def boundary_table(before: str, text: str, after: str, words: list[str], known:
             kinds[i] = HEADING
     tails = np.zeros(len(words), dtype=np.int64)
     # white space before a word is two words in a text, but one at a piece's end
-    for i in np.flatnonzero(blank[1:] & blank[:-1]) + 2:
-        if i < len(words) and n[i - 2] <= large and n[i - 1] <= large:
-            tails[i] = lexicon([words[i - 2] + words[i - 1]])[0, 1] - n[i - 2] - n[i - 1]
+    for i in (np.flatnonzero(blank[1:-1] & blank[:-2] & (n[1:-1] <= large) & (n[:-2] <= large)) + 2).tolist():
+        tails[i] = lexicon.change(words[i - 2], words[i - 1])
     out = np.zeros(len(words), dtype=_ROW)
     out["size"], out["tokens"], out["kind"], out["tail"] = size, n, kinds, tails
     if (n > large).any():  # within a large word bytes are counted: however its pieces join, there are no more tokens than that
@@ -151,6 +162,7 @@ class _Stitcher:
         upto = np.concatenate([[0], np.cumsum(self.tokens)])  # prefix sums of the stitched tables
         tails = np.append(self.tails, 0)
         exact = np.concatenate([[0], np.cumsum(self.kinds == INSIDE)])
+        natural = np.flatnonzero(self.kinds >= SENTENCE)
         while n:
             i = self.first
             fits = int(np.searchsorted(upto, upto[i] + self.limit, side="right")) - 1
@@ -160,7 +172,7 @@ class _Stitcher:
                 if self.piece:
                     yield self.piece, int(self.starts[i]), end, int(upto[n] - upto[i]), bool(exact[n] == exact[i]), max(0, int(upto[self.cut] - upto[i]) + self.change)
                 break
-            c = self._place(i, fits, upto, tails)
+            c = self._place(i, fits, upto, tails, natural)
             if c is None:  # the overlap leaves no room for the next word: it gives way
                 self.first += 1
                 continue
@@ -172,21 +184,26 @@ class _Stitcher:
         self.starts, self.tokens, self.kinds, self.tails = (x[keep:] for x in (self.starts, self.tokens, self.kinds, self.tails))
         self.first, self.cut = 0, self.cut - keep
 
-    def _place(self, i: int, fits: int, upto: np.ndarray, tails: np.ndarray) -> int | None:
+    def _place(self, i: int, fits: int, upto: np.ndarray, tails: np.ndarray, natural: np.ndarray) -> int | None:
         """The word before which the piece from word i ends: the strongest boundary in its second half, else the last natural one, else the last word."""
-        c = np.arange(max(self.cut, i) + 1, fits + 1)
+        low = max(self.cut, i) + 1
+        a, b = np.searchsorted(natural, (low, fits + 1))
+        c = natural[a:b]
+        size = upto[c] - upto[i]
+        ok = size + tails[c] <= self.limit
+        c, size = c[ok], size[ok]
+        if len(c):
+            half = c[size >= self.limit / 2]
+            if len(half):
+                kinds = self.kinds[half]
+                return int(half[len(half) - 1 - int(np.argmax(kinds[::-1]))])
+            return int(c[-1])
+        c = np.arange(low, fits + 1)
         c = c[upto[c] - upto[i] + tails[c] <= self.limit]
         if not len(c):
             return None
-        kinds = self.kinds[c]
-        half = upto[c] - upto[i] >= self.limit / 2
-        natural = kinds >= SENTENCE
-        if (half & natural).any():
-            return int(c[half & (kinds == kinds[half].max())][-1])
-        for among in (natural, kinds == WORD):
-            if among.any():
-                return int(c[among][-1])
-        return int(c[-1])
+        whole = c[self.kinds[c] == WORD]
+        return int((whole if len(whole) else c)[-1])
 
 
 def ranges(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -215,7 +232,7 @@ def _tables(limit: int, vocabulary: str):
                     continue
                 words, start, _ = words_of(before, body, after, last)
                 known = lexicon(words)
-                total = int(known[:, 1].sum())
+                total = int(known[1].sum())
                 if k == 0 and last and total <= limit:
                     continue
                 table = boundary_table(before, body, after, words, known, start, limit, lexicon)
@@ -269,8 +286,7 @@ def pieces(df: DataFrame, item: str, text: str, limit: int, overlap: int, vocabu
     body = r.select(F.col("item").alias("_item"), F.col("k").alias("_k"), F.concat("body", "after").alias("body"))
     low = F.col("start") - F.col("k") * RANGE
     inside = F.col("finish") <= F.col("k") * RANGE + RANGE + AFTER
-    # the numbers are hashed, so that the texts need no sort
-    near = cut.where(inside).hint("shuffle_hash").join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
+    near = cut.where(inside).join(body, (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k")))
     near = near.select(*cut.columns, F.substring(F.col("body"), (low + 1).cast("int"), (F.col("finish") - F.col("start")).cast("int")).alias("text"))
     # a piece that reaches further than the halo of its range is put together from several
     far = cut.where(~inside).withColumn("j", F.explode(F.sequence(F.col("k"), F.expr(f"cast((finish - 1) div {RANGE} as int)"))))
