@@ -23,6 +23,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a worker remembers; beyond it starts anew, with the same results. Steps of one query, which go on from there until the fixpoint.
 REMEMBER, STEPS = 1_000_000, 48
+#: Bytes of texts that a worker holds as words at once.
+PART_BYTES = 4_000_000
 
 _CONTRACT = """
 with recursive steps(step, w, p, t, live) as (
@@ -111,6 +113,18 @@ class _Words:
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
 
+def _parts(batch, column: int) -> Iterator:
+    """The batch in slices of about PART_BYTES of text, one text at least: what a worker splits into words at once."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def encoded(df: DataFrame, text: Column, keep: list[str], out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns keep of df with ``out``, the ids of each text, without special tokens; their strings are ordinary text.
 
@@ -124,10 +138,11 @@ def encoded(df: DataFrame, text: Column, keep: list[str], out: str = "ids", voca
 
         words = _worker(vocabulary)
         for batch in batches:
-            ids = words.encode(batch.column(len(keep)).to_pylist())
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, out])
+            for part in _parts(batch, len(keep)):
+                ids = words.encode(part.column(len(keep)).to_pylist())
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, out])
 
     return df.select(*keep, text.cast("string").alias("_pl_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` array<int>")
 

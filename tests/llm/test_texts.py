@@ -32,6 +32,17 @@ def test_encoding_equals_the_library(spark, docs):
     assert {r.doc_id: r.tokens for r in token_counts(df, F.col("text"), ["doc_id"]).collect()} == {r.doc_id: len(r.ids) for r in got}
 
 
+def test_parts(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"i": list(range(7)), "t": ["a" * 5, None, "", "b" * 50, "c", "d" * 9, "e"]})
+    for size in (1, 10, 1000):
+        monkeypatch.setattr(bpe, "PART_BYTES", size)
+        parts = list(bpe._parts(batch, 1))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(7)) and all(p.num_rows for p in parts)
+    assert list(bpe._parts(batch.slice(0, 0), 1)) == []
+
+
 def test_long_words_and_forgetting(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBER", 50)
     monkeypatch.setattr(bpe, "STEPS", 2)
