@@ -217,3 +217,18 @@ def time_split(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("arm", (F.col("k") > F.col("total") * 2 / 3).alias("holdout")).agg(
         F.count("*").alias("n"), F.round(F.avg(((F.col("p") > 0.5) == F.col("up")).cast("double")), 6).alias("accuracy"), F.round(div(F.sum(F.col("p") * F.col("ret")), F.sum(F.col("p") * F.col("p"))), 6).alias("slope")
     )
+
+
+@query(
+    using("filings") + _KNOWN
+    + """, q as (select cik, period_end, year(period_end) as yr, val, row_number() over (partition by cik, year(period_end) order by period_end) as k, count(*) over (partition by cik, year(period_end)) as n, sum(val) over (partition by cik, year(period_end) order by period_end) as ytd from k),
+f as (select cik, yr, ytd as fy from q where k = 4 and n = 4) select q.cik, q.period_end, round(f.fy + q.ytd - p.ytd, 2) as ttm from q join f on f.cik = q.cik and f.yr = q.yr - 1 join q p on p.cik = q.cik and p.yr = q.yr - 1 and p.k = q.k where p.n = 4"""
+)
+def trailing_from_year_to_date(spark: SparkSession, folder: str) -> DataFrame:
+    """A year's flow from cumulative figures: the last full year, plus this year to date, less the same stretch a year before."""
+    w = W.partitionBy("cik", "yr")
+    q = _known(spark, folder).withColumn("yr", F.year("period_end"))
+    q = q.select("cik", "period_end", "yr", F.row_number().over(w.orderBy("period_end")).alias("k"), F.count("*").over(w).alias("n"), F.sum("val").over(w.orderBy("period_end")).alias("ytd"))
+    full = q.where("n = 4").groupBy("cik", (F.col("yr") + 1).alias("yr")).agg(F.max_by("ytd", "k").alias("fy"), F.map_from_entries(F.collect_list(F.struct("k", "ytd"))).alias("before"))  # four entries
+    x = q.join(full, ["cik", "yr"]).select("cik", "period_end", (F.col("fy") + F.col("ytd") - F.try_element_at("before", F.col("k"))).alias("ttm"))
+    return x.where("ttm is not null").select("cik", "period_end", F.round("ttm", 2).alias("ttm"))

@@ -289,3 +289,28 @@ def tree_price(spark: SparkSession, folder: str) -> DataFrame:
 
     root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, step, lambda v: F.element_at(v, 1))
     return x.select("c_custkey", F.round(root, 4).alias("put"))
+
+
+@query(
+    """with e as (select event_id, case when event_id % 3 = 0 then null else -0.1 - value / 50 end as up, case when event_id % 5 = 0 then null else -0.5 - (event_id % 7) / 3.0 end as down, -6.0 as other from events), f as (select *, least(up, down, other) as floor from e)
+select event_id, case when up is null and down is null then 0.0 else round(coalesce(up, floor) - coalesce(down, floor), 6) end as odds, up is null or down is null as censored from f"""
+)
+def censored_odds(spark: SparkSession, folder: str) -> DataFrame:
+    """Log odds of two words where one may be missing among the candidates: it then has the least log probability listed, and the odds are marked."""
+    e = table(spark, folder, "events").select("event_id", "value")
+    up = F.when(F.pmod("event_id", F.lit(3)) != 0, -0.1 - F.col("value") / 50)
+    down = F.when(F.pmod("event_id", F.lit(5)) != 0, -0.5 - F.pmod("event_id", F.lit(7)) / 3.0)
+    e = e.select("event_id", F.filter(F.array(F.struct(F.lit("UP").alias("t"), up.alias("l")), F.struct(F.lit("DOWN").alias("t"), down.alias("l")), F.struct(F.lit("MAYBE").alias("t"), F.lit(-6.0).alias("l"))), lambda x: x["l"].isNotNull()).alias("c"))
+    found = lambda w: F.try_element_at(F.filter("c", lambda x: x["t"] == w), F.lit(1))["l"]
+    x = e.select("event_id", found("UP").alias("up"), found("DOWN").alias("down"), F.array_min(F.transform("c", lambda x: x["l"])).alias("floor"))
+    both = F.col("up").isNull() & F.col("down").isNull()
+    return x.select("event_id", F.when(both, 0.0).otherwise(F.round(F.coalesce("up", "floor") - F.coalesce("down", "floor"), 6)).alias("odds"), (F.col("up").isNull() | F.col("down").isNull()).alias("censored"))
+
+
+@query(
+    r"""with d as (select doc_id, unnest(list_distinct(regexp_extract_all(text, 'Q[1-4] (?:19|20)[0-9]{2}'))) as t from documents where text is not null) select doc_id, last_day(make_date(cast(right(t, 4) as int), 3 * cast(substring(t, 2, 1) as int), 1)) as day from d"""
+)
+def dates_in_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct quarters that each whole text names, by their last days."""
+    x = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("Q[1-4] (?:19|20)[0-9]{2}"), F.lit(0)))).alias("t"))
+    return x.select("doc_id", F.last_day(F.make_date(F.right("t", F.lit(4)).cast("int"), 3 * F.substring("t", 2, 1).cast("int"), F.lit(1))).alias("day"))
