@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import back
-from pitlake.operators.folds import betting, boxes, brake, fold, sticky_exposure
+from pitlake.operators.folds import band_flips, betting, box_reversion, boxes, brake, fold, sticky_exposure
 from pitlake.plans.registry import query
 from pitlake.plans.views import bars_30m, bars_m, edges, px_d, using
 from pitlake.plans.windows import by_day, by_sym
@@ -172,3 +172,32 @@ def decision_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     last = d.where("type in ('outcome', 'signal')").groupBy(F.col("accession").alias("_a")).agg(at("outcome").alias("outcome"), at("signal").alias("signal"))
     x = d.where("type = 'decision'").select("seq", "accession").distinct().join(last, F.col("accession") == F.col("_a"), "left")
     return x.select("seq", "accession", F.round("outcome", 6).alias("outcome"), F.round("signal", 6).alias("signal"))
+
+
+def _sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Half-hour bars with their session's start, the next open, and the session before's range and last close."""
+    b = bars_30m(spark, folder)
+    days = b.groupBy("sym", "day").agg(F.max("high").alias("h"), F.min("low").alias("lo"), F.max_by("close", "slot").alias("c"))
+    w = W.partitionBy("sym").orderBy("day")
+    days = days.select("sym", "day", F.lag("h").over(w).alias("high0"), F.lag("lo").over(w).alias("low0"), F.lag("c").over(w).alias("close0"))
+    s = W.partitionBy("sym", "day").orderBy("slot")
+    x = b.join(days, ["sym", "day"]).select("*", F.first("open").over(s).alias("start"), F.lead("open").over(s).alias("following"), F.lead("slot").over(s).isNull().alias("last"))
+    return x.withColumn("key", F.concat_ws("|", "sym", F.col("day").cast("string")))
+
+
+@query()
+def noise_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions by bands as wide as the usual move at that time of day on the 14 days before, around the start and the last close; a fold for each session."""
+    p = W.partitionBy("sym", "hm").orderBy("day").rowsBetween(-14, -1)
+    s = W.partitionBy("sym", "day").orderBy("slot")
+    x = _sessions(spark, folder).withColumn("move", F.abs(F.try_divide("close", "start") - 1))
+    x = x.select("*", F.when(F.count("move").over(p) >= 7, F.avg("move").over(p)).alias("usual"), (F.sum("turnover").over(s) / F.sum("n").over(s)).alias("mean"))
+    x = x.select("key", "slot", F.col("close").alias("price"), (F.greatest("start", "close0") * (1 + F.col("usual"))).alias("upper"), (F.least("start", "close0") * (1 - F.col("usual"))).alias("lower"), "mean", "following", "last")
+    return fold(x, ["key"], ["slot"], band_flips(0.0005), "key string, slot timestamp, position int, gain double").withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
+@query()
+def box_reversions(spark: SparkSession, folder: str) -> DataFrame:
+    """One trade a session within the range of the session before; a fold for each session."""
+    x = _sessions(spark, folder).where("high0 is not null").select("key", "slot", "close", "following", F.col("high0").alias("high"), F.col("low0").alias("low"), "last")
+    return fold(x, ["key"], ["slot"], box_reversion(0.0005), "key string, slot timestamp, position int, gain double").withColumn("slot", F.col("slot").cast("timestamp_ntz"))

@@ -119,3 +119,19 @@ def test_sticky_exposure_and_books():
     step = pair_trade(0.2, 0.0)()
     pnl = [step(Pair("k", i, a, b, i == 4))[4] for i, (a, b) in enumerate([(1, 1), (1.5, 1), (1.5, 1), (1.2, 1), (1, 1)])]
     assert sum(pnl) == pytest.approx(1 - 1 / 1.5)
+
+
+def test_sessions():
+    from collections import namedtuple
+
+    Band = namedtuple("Band", "key slot price upper lower mean following last")
+    step = folds.band_flips()()
+    got = [step(Band("k", i, *b)) for i, b in enumerate([(10, None, None, 10, 10, False), (12, 11, 9, 10, 12, False), (10, 11, 9, 10, 9, False), (8, 11, 9, 10, 8, False), (6, 11, 9, 10, None, True)])]
+    assert [g[2] for g in got] == [0, 1, 0, -1, 0] and sum(g[3] for g in got) == pytest.approx((9 / 12 - 1) - (6 / 8 - 1))
+    Box = namedtuple("Box", "key slot close following high low last")
+    step = folds.box_reversion()()
+    got = [step(Box("k", i, *b, 20.0, 10.0, i == 4)) for i, b in enumerate([(15, 15), (11, 12), (13, 13), (15, 16), (11, 11)])]
+    assert [g[2] for g in got] == [0, 1, 1, 0, 0] and [g[3] for g in got] == pytest.approx([0, 0, 0, 16 / 12 - 1, 0])
+    step = folds.box_reversion()()
+    got = [step(Box("k", i, *b, 20.0, 10.0, i == 1)) for i, b in enumerate([(19.5, 19.0), (18.0, None)])]
+    assert sum(g[3] for g in got) == pytest.approx(-(18 / 19 - 1))
