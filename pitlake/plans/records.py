@@ -130,4 +130,35 @@ union select bar_id from n where least(open, high, low, close) <= 0 or volume <
 union select bar_id from n join v using (ticker) where volume > 20 * mv
 union select bar_id from s""".replace("select *, cp0 from c", "select * from c")
 
-ORACLES = {"p4_found": _P4, "p5_found": _P5, "p6_found": _P6}
+#: Units by patterns over notes, tags and the text around each number; quarters without a note take the factor that fits the nearest stated level.
+_P2 = r"""
+with q as (select distinct fact_id, cik, period_end, value, regexp_replace(lower(trim(unit_note)), '\s+', ' ', 'g') as note from quarters where value is not null),
+n as (select *, case when note is null then null when regexp_matches(note, 'billion|milliard|\bmrd\b|\bbn\b') then 9 when regexp_matches(note, 'million|millones|\bmio\b|\bmn\b|\bmm\b|\$ m$') then 6
+  when regexp_matches(note, 'thousand|tausend|\btsd\b|000s?\b|k ?\$') then 3 else 0 end as k from q),
+level as (select cik, period_end, avg(log10(abs(value)) + k) as level from n where k is not null and value <> 0 group by 1, 2),
+u as (select * from n where k is null and value <> 0),
+b as (select u.fact_id, l.level, u.period_end - l.period_end as d from u asof join level l on l.cik = u.cik and u.period_end >= l.period_end),
+a as (select u.fact_id, l.level, l.period_end - u.period_end as d from u asof join level l on l.cik = u.cik and u.period_end <= l.period_end),
+overall as (select quantile_cont(level, 0.5) as o from level),
+near as (select u.fact_id, u.value, coalesce(case when a.d is null or b.d < a.d then b.level when b.d is null or a.d < b.d then a.level else (a.level + b.level) / 2 end, overall.o) as level from u cross join overall left join a using (fact_id) left join b using (fact_id)),
+fit as (select near.fact_id, first(f.k order by abs(log10(abs(value)) + f.k - level), f.k) as k from near, (select unnest([0, 3, 6, 9]) as k) f group by 1),
+quarter as (select n.fact_id, n.value, coalesce(n.k, fit.k, 0) as k from n left join fit using (fact_id)),
+c as (select distinct claim_id, text, numeric_value as v, trim(regexp_extract(numeric_source, '^[^\[#@]+')) as base, lower(trim(regexp_replace(regexp_extract(numeric_source, '(\[[^\]]*\]|#.*)$'), '^\[|\]$|^#(unit=)?', '', 'g'))) as tag from claims where is_numeric and numeric_value is not null),
+t as (select c.*, m.common_unit, case when tag = '' then m.declared_unit when regexp_matches(tag, '^bps?$') then 'basis point' when tag in ('%', 'pct') then 'percent' when tag in ('ratio', 'fraction') then 'fraction' when tag in ('cents', 'c/share') then 'US cent per share'
+  when tag in ('usd_sh', '$/share') then 'USD per share' when regexp_matches(tag, 'bn') then 'USD billion' when regexp_matches(tag, 'mn|mm|musd') then 'USD million' when regexp_matches(tag, 'thousand|_k$|kusd') then 'USD thousand' else 'USD' end as unit from c join measure_sources m on m.numeric_source = c.base),
+parts as (select claim_id, v, common_unit, regexp_extract_all(text, '[0-9]{1,3}(?:[\x{A0}\x{202F}\x{2009} ][0-9]{3})+(?:,[0-9]+)?|[0-9]+(?:[.,][0-9]+)*') as nums, regexp_split_to_array(text, '[0-9]{1,3}(?:[\x{A0}\x{202F}\x{2009} ][0-9]{3})+(?:,[0-9]+)?|[0-9]+(?:[.,][0-9]+)*') as around from t where unit is null and text is not null),
+each as (select claim_id, v, common_unit, i, regexp_replace(nums[i], '[\x{A0}\x{202F}\x{2009} ]', '', 'g') as num, lower(around[i]) as pre, lower(regexp_replace(around[i + 1], '^\)', '')) as post from parts, unnest(generate_series(1, len(nums))) g(i)),
+hit as (select *, regexp_matches(pre, '(us ?\$|usd|\$)\s*[-−(]*\s*$') or regexp_matches(post, '^\s*(outright|(us[- ]?)?dollars?|usd|\$)') as money from each
+  where abs(try_cast(replace(num, ',', '') as double) - abs(v)) <= 1e-9 * greatest(1, abs(v)) or abs(try_cast(replace(replace(num, '.', ''), ',', '.') as double) - abs(v)) <= 1e-9 * greatest(1, abs(v))),
+said as (select claim_id, i, case common_unit
+  when 'basis point' then case when regexp_matches(post, '^\s*(%|per ?cent|prozent|pour ?cent)') then 'percent' when regexp_matches(post, '^\s*(bps?\b|basis|points? de base)') then 'basis point'
+    when regexp_matches(pre, '(ratio of|anteil von|rapport de)\s*[-−(]*\s*$') or regexp_matches(post, '^\s*as a fraction') then 'fraction' end
+  when 'US cent per share' then case when regexp_matches(post, '^\s*(¢|(us[- ]?)?cents?\b)') then 'US cent per share' when money then 'USD per share' end
+  else case when regexp_matches(post, '^\s*(billion|milliard|mrd|bn\b|md ?\$)') then 'USD billion' when regexp_matches(post, '^\s*(million|mio|mn\b|mm\b|m ?\$|m\b)') then 'USD million'
+    when regexp_matches(post, '^\s*(thousand|tausend|tsd|millier|k ?\$|k\b)') then 'USD thousand' when money then 'USD' end end as unit from hit),
+found as (select t.claim_id, t.v, t.common_unit, coalesce(t.unit, s.unit) as unit from t left join (select claim_id, first(unit order by i) as unit from said where unit is not null group by 1) s using (claim_id)),
+factors as (select unnest(['USD', 'USD thousand', 'USD million', 'USD billion', 'fraction', 'percent', 'basis point', 'USD per share', 'US cent per share']) as unit, unnest([1, 1000, 1000000, 1000000000, 10000, 100, 1, 100, 1]) as f)
+select 'quarters' as rec_table, cast(fact_id as varchar) as rec_id, 'USD' as common_unit, cast(round(cast(value as decimal(30,8)) * cast(pow(10, k) as bigint), 0) as bigint) as common_value from quarter
+union all select 'claims', claim_id, common_unit, cast(round(cast(v as decimal(24,8)) * f, 0) as bigint) from found join factors using (unit)"""
+
+ORACLES = {"p2_found": _P2, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6}
