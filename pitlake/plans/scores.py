@@ -158,7 +158,8 @@ def selector_arm(spark: SparkSession, folder: str) -> DataFrame:
     w = W.partitionBy("arm").orderBy("resolve_date", F.desc("run_id"))
     r = x.select("arm", "resolve_date", F.avg(_brier()).over(w.rowsBetween(-99, 0)).alias("b"), F.count("*").over(w.rowsBetween(-99, 0)).alias("n"), F.row_number().over(w).alias("k"))
     last = r.groupBy("arm", "resolve_date").agg(F.max_by("b", "k").alias("b"), F.max_by("n", "k").alias("n"))
-    asks = x.select("arm").distinct().crossJoin(x.select("cutoff").distinct())  # arms x months
+    months = [r[0] for r in x.select("cutoff").distinct().collect()]  # bounded by the calendar
+    asks = x.select("arm").distinct().select("arm", F.explode(F.array(*[F.lit(m) for m in months])).alias("cutoff")) if months else x.select("arm", "cutoff")
     both = last.select("arm", F.col("resolve_date").alias("day"), "b", "n", F.lit(0).alias("ask")).unionByName(asks.select("arm", F.col("cutoff").alias("day"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("bigint").alias("n"), F.lit(1).alias("ask")))
     v = W.partitionBy("arm").orderBy("day", "ask").rowsBetween(W.unboundedPreceding, 0)
     both = both.select("arm", "day", "ask", F.last("b", True).over(v).alias("b"), F.last("n", True).over(v).alias("n")).where("ask = 1 and n >= 25")
@@ -184,8 +185,8 @@ def grouping_sets_pooled(spark: SparkSession, folder: str) -> DataFrame:
 def decile_table(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes by decile of the forecast, with exact interpolated edges."""
     x = preds(spark, folder)
-    e = x.agg(F.percentile("p", F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("q"))
-    x = x.crossJoin(F.broadcast(e)).withColumn("decile", F.size(F.filter("q", lambda v: F.col("p") > v)))  # one row of nine edges
+    edges = x.agg(F.percentile("p", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0] or []  # nine numbers
+    x = x.withColumn("decile", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda v: F.col("p") > v)))
     return x.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.avg(_hit()), 6).alias("hit"))
 
 

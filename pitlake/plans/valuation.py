@@ -58,9 +58,10 @@ def option_greeks(spark: SparkSession, folder: str) -> DataFrame:
 def value_at_risk(spark: SparkSession, folder: str) -> DataFrame:
     """Historical and parametric value at risk, shortfall and the growth-optimal fraction."""
     r = px_d(spark, folder).select(back("close", 1, by_day()).alias("r"))
-    a = r.agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.percentile("r", 0.05).alias("q"))
-    c = r.crossJoin(F.broadcast(a.select("q"))).where("r <= q").agg((-F.avg("r")).alias("cvar"))  # one row each
-    return a.crossJoin(F.broadcast(c)).select(F.round(-F.col("q"), 6).alias("hist_var"), F.round("cvar", 6).alias("cvar"), F.round(normal_ppf(F.lit(0.95)) * F.col("s") - F.col("m"), 6).alias("param_var"), F.round(div(F.col("m"), F.col("s") * F.col("s")), 4).alias("kelly"))
+    low = r.agg(F.percentile("r", 0.05)).first()[0]  # one number
+    q = F.lit(float(low if low is not None else 0.0))
+    a = r.agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), (-F.avg(F.when(F.col("r") <= q, F.col("r")))).alias("cvar"))
+    return a.select(F.round(-q, 6).alias("hist_var"), F.round("cvar", 6).alias("cvar"), F.round(normal_ppf(F.lit(0.95)) * F.col("s") - F.col("m"), 6).alias("param_var"), F.round(div(F.col("m"), F.col("s") * F.col("s")), 4).alias("kelly"))
 
 
 @query(

@@ -150,17 +150,18 @@ select n, round(m * 252, 4) as mean, round(s * sqrt(252), 4) as vol, round(m / s
 def tear_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """Growth, deviation, downside, tail and shape of the daily returns; skewness and kurtosis are bias-corrected."""
     d = _daily(spark, folder)
+    low = d.agg(F.percentile("r", 0.05)).first()[0]  # one number
+    q05 = F.lit(float(low if low is not None else 0.0))
     a = d.agg(
         F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.min("dd").alias("mdd"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("hit"),
-        F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), 2)))).alias("down"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.percentile("r", 0.05).alias("q05"), F.percentile("r", 0.95).alias("q95"),
-        F.max_by("eq", "day").alias("last"), F.skewness("r").alias("g1"), F.kurtosis("r").alias("g2"),
+        F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least("r", F.lit(0.0)), 2)))).alias("down"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.percentile("r", 0.95).alias("q95"),
+        F.avg(F.when(F.col("r") <= q05, F.col("r"))).alias("cvar"), F.max_by("eq", "day").alias("last"), F.skewness("r").alias("g1"), F.kurtosis("r").alias("g2"),
     )
-    c = d.crossJoin(F.broadcast(a.select("q05"))).where("r <= q05").agg(F.avg("r").alias("cvar"))  # one row each
     n = F.col("n")
     year = math.sqrt(252)
-    return a.crossJoin(F.broadcast(c)).select(
+    return a.select(
         "n", F.round(F.col("m") * 252, 4).alias("mean"), F.round(F.col("s") * year, 4).alias("vol"), F.round(div(F.col("m"), F.col("s")) * year, 4).alias("sharpe"), F.round(div(F.col("m"), F.col("down")) * year, 4).alias("sortino"),
-        F.round("mdd", 6).alias("max_dd"), F.round("hit", 6).alias("hit"), F.round("ulcer", 6).alias("ulcer"), F.round(-F.col("q05"), 6).alias("var95"), F.round(-F.col("cvar"), 6).alias("cvar95"), F.round(div(F.col("q95"), F.abs("q05")), 4).alias("tail"),
+        F.round("mdd", 6).alias("max_dd"), F.round("hit", 6).alias("hit"), F.round("ulcer", 6).alias("ulcer"), F.round(-q05, 6).alias("var95"), F.round(-F.col("cvar"), 6).alias("cvar95"), F.round(div(F.col("q95"), F.abs(q05)), 4).alias("tail"),
         F.round(F.pow("last", 252 / n) - 1, 6).alias("cagr"), F.round(F.col("g1") * F.sqrt(n * (n - 1.0)) / (n - 2), 3).alias("skew"), F.round((n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * F.col("g2") + 6), 3).alias("kurt"),
     )
 

@@ -121,8 +121,9 @@ def complete_days(panel: DataFrame, sym: str = "sym", day: str = "day", value: s
 
 
 def panel(bars: DataFrame, days: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every symbol on every day of the calendar, null where it has no bar: a grid of days x symbols, made by exploding the days."""
-    grid = symbols.select("sym").distinct().crossJoin(days.select("day").distinct())  # the result asked for has just these rows
+    """Every symbol on every day of the calendar, null where it has no bar. The calendar is bounded; each symbol explodes it."""
+    known = sorted(r[0] for r in days.select("day").where("day is not null").distinct().collect())
+    grid = symbols.select("sym").distinct().select("sym", F.explode(F.array(*[F.lit(d) for d in known])).alias("day")) if known else bars.select("sym", "day").limit(0)
     return grid.join(bars, ["sym", "day"], "left")
 
 
