@@ -162,3 +162,17 @@ def least_variance_weights(spark: SparkSession, folder: str) -> DataFrame:
         cov[at[r.a]][at[r.b]] = cov[at[r.b]][at[r.a]] = float(r.c)
     rows = [(int(n), round(w, 6)) for n, w in zip(names, least_variance(cov), strict=True)] if names else []
     return spark.createDataFrame(rows, "nation bigint, weight double")
+
+
+@query()
+def policy_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """A policy fitted on the older two thirds by time, with its mean reward on all rows of the newer third against always holding."""
+    from pitlake.operators.policy import fitted, positions
+
+    x = preds(spark, folder).withColumn("h2", F.log(F.col("h").cast("double")))
+    edge = x.agg(F.percentile(F.unix_date("made"), 2 / 3)).first()[0]
+    net = None if edge is None else fitted(x.where(F.unix_date("made") <= edge), ["p", "h2"], "ret", "run_id")
+    if net is None:
+        return spark.createDataFrame([], "arm string, n bigint, reward double, holding double")
+    y = positions(x.where(F.unix_date("made") > edge), net, ["p", "h2"])
+    return y.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg(F.col("position") * F.col("ret")), 6).alias("reward"), F.round(F.avg("ret"), 6).alias("holding"))

@@ -135,3 +135,38 @@ def test_sessions():
     step = folds.box_reversion()()
     got = [step(Box("k", i, *b, 20.0, 10.0, i == 1)) for i, b in enumerate([(19.5, 19.0), (18.0, None)])]
     assert sum(g[3] for g in got) == pytest.approx(-(18 / 19 - 1))
+
+
+def test_policy(spark):
+    from pitlake.operators import policy
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 2))
+    gain = 0.02 * np.sign(x[:, 0]) + r.normal(scale=0.02, size=3000)
+    net = policy.train(x, gain, seed=1)
+    assert np.mean(net.position(x) * np.sign(x[:, 0])) > 0.6
+    # gradients against differences of the loss
+    net = policy.Net.fresh(x, 3, r)
+    net.weights["wv"] = r.normal(size=3)
+    i, noise = slice(0, 50), 0.5
+    act, rew = r.normal(size=50), r.normal(size=50)
+
+    def loss():
+        _, _, a, v = net.forward(x[i])
+        return np.mean(adv * (act - a) ** 2 / (2 * noise**2)) + np.mean((rew - v) ** 2) / 2
+
+    g = policy.gradients(net, x[i], act, rew, noise)
+    gap = rew - net.forward(x[i])[3]
+    adv = (gap - gap.mean()) / (gap.std() + 1e-8)
+    for k in ("w1", "wa", "wv", "bv"):
+        old = net.weights[k].copy()
+        at = (0,) * old.ndim
+        net.weights[k][at] = old[at] + 1e-6
+        up = loss()
+        net.weights[k][at] = old[at] - 1e-6
+        assert g[k][at] == pytest.approx((up - loss()) / 2e-6, abs=1e-5)
+        net.weights[k] = old
+    df = spark.createDataFrame([(1, 1.0, 2.0, 0.1), (2, None, 2.0, 0.1)], "i int, a double, b double, o double")
+    net = policy.fitted(df, ["a", "b"], "o", "i", steps=5)
+    got = {q.i: q.position for q in policy.positions(df, net, ["a", "b"]).collect()}
+    assert got[2] is None and -1 <= got[1] <= 1 and policy.fitted(df.limit(0), ["a"], "o", "i") is None
