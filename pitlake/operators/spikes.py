@@ -116,8 +116,8 @@ def _pass(last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             if not last and k == len(cuts) - 2:
                 e, z = _edges(ok[::-1])
                 edge[len(edge) - e :], zone[len(zone) - z :] = True, True
-            if (emit & ~edge).any():
-                yield scored[emit & ~edge]
+            if (emit & ~edge).any():  # done: only the scores are kept
+                yield scored[emit & ~edge].assign(ts=0, o=np.nan, h=np.nan, l=np.nan, c=np.nan, v=np.nan)
             if zone.any():
                 yield scored[zone].assign(zone=True, emit=(emit & edge)[zone])
 
@@ -129,7 +129,7 @@ def _partitions(spark: SparkSession, rows: int) -> int:
 
 
 def scored_bars(bars: DataFrame, series: str, at: str, bar_id: str, prices: tuple[str, str, str, str], volume: str, partitions: int | None = None) -> DataFrame:
-    """Each distinct bar with its scores, written to the shared folder; the columns are those of _RAW and _OUT. Bars without a series, time or id have none."""
+    """Each distinct bar's series, id and scores, written to the shared folder, as in _RAW and _OUT; the other columns are spent. Bars without a series, time or id have none."""
     spark = bars.sparkSession
     kind = dict(bars.dtypes)[bar_id]
     clean = lambda x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
