@@ -176,13 +176,13 @@ def overlapping_book(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """with d as (select distinct seq, cohort, ticker, logodds from ledger where type = 'decision' and isfinite(logodds)), b as (select cohort, count(*) as n, avg(logodds) as m, max(logodds) as hi from d group by 1), p as (select cohort, [struct_pack(name := 'n', v := cast(n as double)), struct_pack(name := 'mean', v := m), struct_pack(name := 'high', v := hi)] as books from b)
-select cohort, u.name as name, round(u.v, 6) + 0.0 as v from (select cohort, unnest(books) as u from p)"""
+select cohort, u.name as name, round(u.v, 11) + 0.0 as v from (select cohort, unnest(books) as u from p)"""
 )
 def flattened_books(spark: SparkSession, folder: str) -> DataFrame:
     """Maps of named figures, one for each cohort, as rows."""
     d = table(spark, folder, "ledger").where("type = 'decision' and logodds is not null and not isnan(logodds) and abs(logodds) < double('inf')").select("seq", "cohort", "ticker", "logodds").distinct()
     b = d.groupBy("cohort").agg(F.create_map(F.lit("n"), F.count("*").cast("double"), F.lit("mean"), F.avg("logodds"), F.lit("high"), F.max("logodds")).alias("books"))
-    return b.select("cohort", F.explode("books").alias("name", "v")).select("cohort", "name", (F.round("v", 6) + 0.0).alias("v"))
+    return b.select("cohort", F.explode("books").alias("name", "v")).select("cohort", "name", (F.round("v", 11) + 0.0).alias("v"))
 
 
 @query()
