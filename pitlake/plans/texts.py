@@ -101,10 +101,10 @@ def compressed_numeric_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """By ticker the evidence that fits a budget, best and newest first, skipping what doesn't fit and going on: a streamed fold by ticker and day."""
+    """By ticker the evidence that fits a budget, best and newest first, skipping what doesn't fit and going on: a streamed fold by ticker, whose state is one running total."""
     x = table(spark, folder, "evidence_refs").where("ticker is not null").select("evidence_id", "ticker", "retrieved_at", "data_quality_score").distinct()
     x = x.select(
-        F.concat_ws("|", "ticker", F.trunc("retrieved_at", "year").cast("string")).alias("key"), F.col("evidence_id").alias("item"), (F.pmod(F.crc32("evidence_id"), F.lit(400)) + 20).alias("size"),
+        F.col("ticker").alias("key"), F.col("evidence_id").alias("item"), (F.pmod(F.crc32("evidence_id"), F.lit(400)) + 20).alias("size"),
         (-F.col("data_quality_score")).alias("a"), (-F.unix_micros("retrieved_at")).alias("b"),
     )
     return fold(x, ["key"], ["a", "b", "item"], greedy(1000), "key string, item string, taken boolean, used bigint").withColumnRenamed("item", "evidence_id")
