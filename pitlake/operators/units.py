@@ -2,7 +2,8 @@
 
 A stated unit is read from its note by word patterns. Where a source states none, its history is segmented: the log10 of each value over the
 level of the entity's nearest stated values is searched for changepoints, exactly, under a penalty (PELT); segments whose level is shifted by a
-known factor are recorded in that unit, and the factor is reversed.
+known factor are recorded in that unit. Each row is then held against its own reference, and the factor that brings it nearest is reversed: it
+decides, and the segment's shift only between factors that are equally near.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # a segment with stated units has theirs, if its level fits them
             fits = [k for k in np.unique(stated) if abs(k - level) < 1.5]
             shift[a:b] = fits[0] if len(fits) == 1 else by_level
-        # exact check of each row: a value that its segment's factor doesn't bring nearest to the reference has its own
+        # the nearest factor of each row decides; the segment's stays only where it is equally near
         own = np.asarray(SHIFTS)[np.abs(np.add.outer(d, np.asarray(SHIFTS))).argmin(axis=1)]
         shift = np.where(np.abs(d + shift) > np.abs(d + own) + 1e-9, own, shift)
         return pd.DataFrame({"fact": h["fact"], "shift": shift})
@@ -218,8 +219,9 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def history_units(facts: DataFrame, entity: str, source: str, fact_id: str, at: str, value: str, note: str) -> DataFrame:
     """(fact_id, common_unit, common_value) of each distinct fact with a value: money as recorded, brought to whole USD.
 
-    A note that names a unit holds. Without one the fact takes the shift of its segment in its source's history (see module), against the nearest stated
-    values of its entity in time (both sides alike if equally near; the median of all stated values if its entity states none). Zero stays zero;
+    A note that names a unit holds. Without one the fact takes the factor that brings it nearest to the nearest stated
+    values of its entity in time (both sides alike if equally near; the median of all stated values if its entity states none); the shift of its segment in
+    its source's history (see module) settles only exact ties. Zero stays zero;
     null and non-finite values give no row. Facts without a time count as of 1970. A history longer than SERIES_ROWS in one year is split into
     interleaved sub-histories by a hash of the fact, so that no task grows with a hot source; each row is still checked against its own reference.
     """
