@@ -1,9 +1,11 @@
 """Implausible spikes, stuck values and impossible readings in series of bars.
 
 Method: phase-space thresholding. For each bar the value, its first difference (from the last close before) and second difference (that and the
-one to the first close after) are set against robust ellipsoids, whose axes are the series' own scales times the universal threshold. It is done
-iteratively: runs of one, then two, then three closes are taken as one point, as if the earlier ones had been flagged. Zero-difference runs and
-bounds catch the other faults. A bar outside an ellipsoid is confirmed by the exact rule of usual moves.
+one to the first close after) are set against robust ellipsoids, whose axes are the series' own scales times the universal threshold. Runs of
+one, two and three closes are taken as one point. Zero-difference runs and bounds catch the other faults.
+
+The exact rule of usual moves alone decides: the axis of the first difference is never longer than its departure, so that whatever it flags lies
+outside, and the ellipsoids change no row. Scales are those of all bars, as the rule defines the usual move; none is refitted after flagging.
 
 One range shuffle by series and time puts bars in order; a long series spreads over many partitions. Rows near a partition's ends, whose neighbours
 lie in the next one, go on to a second, small pass. Scales are exact medians, found by counting (see exact_medians).
