@@ -3,7 +3,8 @@
 A text is read in ranges of fixed length with halos. Each worker finds, in its range alone, the words, their token counts and the natural boundaries;
 ranges meet at the first place past their nominal end where every tokenisation parts, which both neighbours find in the halo they share. The boundary
 tables are then stitched in order and prefix-summed by a streaming pass that holds one range and one piece at most, and pieces are emitted by offset.
-At last each piece's text is cut from the few ranges it touches. No task ever holds a whole text.
+At last each piece's text is cut from the few ranges it touches. A text arrives as one Parquet value and one task holds it whole, about twice, while it
+is cut into ranges; only the steps after that work by range. So a task's memory grows with the longest text.
 """
 
 from __future__ import annotations
