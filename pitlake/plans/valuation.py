@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import back, div, normal_cdf, normal_ppf
@@ -12,6 +13,7 @@ from pitlake.plans.registry import query
 from pitlake.plans.scores import _cdf_sql
 from pitlake.plans.views import preds, px_d, using
 from pitlake.plans.windows import by_day
+from pitlake.session import materialised
 from pitlake.sources.tables import table
 
 
@@ -140,6 +142,46 @@ def fitted_direction(spark: SparkSession, folder: str) -> DataFrame:
     return new.agg(F.count("*").alias("n"), F.round(F.avg(F.pow(p - F.col("y"), 2)), 6).alias("brier"), F.round(F.avg(F.pow(F.lit(base) - F.col("y"), 2)), 6).alias("base"))
 
 
+def guarded(df: DataFrame, at: str, row_id: str, chance: str, features: list[str], target: str, least: int = 200, l2: float = 0.05) -> tuple[list[float] | None, int, float | None, float | None]:
+    """(weights, rows, log loss of the stacker, of chance alone): a logistic stacker of the logit of chance and features, adopted only if it is better.
+
+    Fitted on the older 70 % of rows by at (a day) and row_id, which is unique, and judged on the newer 30 % by mean log loss. If it is better there it is fitted
+    anew on all rows; else, and with fewer than ``least`` rows, it has no weights (None). l2 weighs half the squared weights against the mean loss; the
+    intercept, last, is free. Chances are held 1e-6 away from 0 and 1. Rows with a null don't count.
+    """
+    f = [f"f{i}" for i in range(len(features) + 1)]
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(chance).cast("double")))
+    x = df.select(F.col(at).alias("at"), F.col(row_id).alias("id"), q.alias("q"), F.log(q / (1 - q)).alias("f0"), *[F.col(c).cast("double").alias(k) for c, k in zip(features, f[1:], strict=True)], F.col(target).cast("double").alias("y")).dropna()
+    x = materialised(x, "stacker")  # read once for each pass
+    n = x.count()
+    if n < least:
+        return None, n, None, None
+    cut = int(n * 0.7)
+    days = x.groupBy("at").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("at")))  # one row a day
+    day = days.where(F.col("upto") > cut).orderBy("at").first()
+    part = cut - (day["upto"] - day["n"])
+    edge = x.where(F.col("at") == F.lit(day["at"])).orderBy("id").limit(part).agg(F.max("id")).first()[0] if part else None
+    older = F.col("at") < F.lit(day["at"])
+    if edge is not None:
+        older = older | ((F.col("at") == F.lit(day["at"])) & (F.col("id") <= F.lit(edge)))
+    w = logistic(x.where(older), f, "y", l2 * cut)
+    z = sum((F.col(k) * v for k, v in zip(f, w[:-1], strict=True)), F.lit(w[-1]))
+    fitted = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    loss = lambda p: F.avg(-F.log(F.when(F.col("y") == 1, p).otherwise(1 - p)))
+    stacked, alone = x.where(~older).agg(loss(fitted), loss(F.col("q"))).first()
+    return (logistic(x, f, "y", l2 * n) if stacked < alone else None), n, stacked, alone
+
+
+@query()
+def guarded_stacker(spark: SparkSession, folder: str) -> DataFrame:
+    """A stacker of the forecasts with the log of their horizon, adopted only if it beats the forecasts alone on the newest 30 %: one row, weights null unless adopted."""
+    x = preds(spark, folder).withColumn("h2", F.log(F.col("h").cast("double")))
+    w, n, stacked, alone = guarded(x, "made", "run_id", "p", ["h2"], "up")
+    state = "not_enough_data" if stacked is None else "adopted" if w else "rejected"
+    r = lambda v: None if v is None else round(v, 4)
+    return spark.createDataFrame([(n, state, r(stacked), r(alone), w and [round(v, 6) for v in w])], "n bigint, stacker string, stacker_holdout_ll double, llm_holdout_ll double, weights array<double>")
+
+
 def least_variance(cov: list[list[float]]) -> list[float]:
     """Weights of the portfolio of least variance that sum to 1, by the pseudo-inverse."""
     import numpy as np
