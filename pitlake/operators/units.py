@@ -1,13 +1,16 @@
 """Quantities recorded in different units, brought to one unit per kind.
 
 A stated unit is read from its note by word patterns. Where a source states none, its history is segmented: the log10 of each value over the
-level of the entity's nearest stated values is searched for changepoints, exactly, under a penalty (PELT); segments whose level is shifted by a
-known factor are recorded in that unit. Each row is then held against its own reference, and the factor that brings it nearest is reversed: it
-decides, and the segment's shift only between factors that are equally near.
+level of the entity's nearest stated values is searched for changepoints, exactly, under a penalty (PELT). A segment's level says by which known
+factor the source recorded there, and that factor is reversed for all of its facts: the segments decide.
+
+Facts of one source, day and log level are one point of the history, with their number, sum and sum of squares, and the search runs over points. So a
+source with a third of all facts is reduced before any shuffle by key, and a history is as long as its calendar, not as its number of rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,10 +38,12 @@ MAGNITUDES = [
 
 #: log10 of the factors that a source may have recorded by: whole, thousand, million, billion.
 SHIFTS = (0, 3, 6, 9)
-#: Cost of one more segment, in squared log10 units; a shift by a known factor costs at least 9, usual growth far less.
-PENALTY = 1.0
-#: Rows of one sub-history at most; longer histories are split by time, then into interleaved sub-histories.
-SERIES_ROWS = 4096
+#: Cost of one more segment, in squared log10 units: a stretch or a single fact parts from its neighbours where it lies off by more than the square root
+#: of twice this, 1.7; a shift by a known factor is 3, usual growth far less.
+PENALTY = 1.5
+#: Log levels of one point: facts of one source and day this near to each other (1/16 of a decade) are searched as one.
+LEVELS = 16
+
 
 
 def _plain(text: Column) -> Column:
@@ -67,18 +72,20 @@ def with_tag_unit(df: DataFrame, source: str, out: str) -> DataFrame:
 
 
 _NUMBER = re.compile(r"\d+(?:[.,\u00a0\u202f '’]\d+)*")
+_PART = re.compile(r"[^\u00a0\u202f ]+")
 _AFTER_MONEY = [
-    ("USD billion", r"\s*(?:billions?|milliards?|milliarden|mrd\b|bn\b|md\s?\$)"),
-    ("USD million", r"\s*(?:millions?|millionen|mio\b|mn\b|mm\b|m\s?\$|m\b)"),
-    ("USD thousand", r"\s*(?:thousand|tausend|tsd\b|milliers?|k\s?\$|k\b)"),
-    ("USD", r"\s*(?:outright|(?:us[- ]?)?dollars?\b|usd\b|\$)"),
+    ("USD billion", r"\)?\s*(?:billions?|milliards?|milliarden|mrd\b|bn\b|md\s?\$)"),
+    ("USD million", r"\)?\s*(?:millions?|millionen|mio\b|mn\b|mm\b|m\s?\$|m\b)"),
+    ("USD thousand", r"\)?\s*(?:thousand|tausend|tsd\b|milliers?|k\s?\$|k\b)"),
+    ("USD", r"\)?\s*(?:outright|(?:us[- ]?)?dollars?\b|usd\b|\$)"),
 ]
 _AFTER_MONEY = [(unit, re.compile(rx, re.I)) for unit, rx in _AFTER_MONEY]
-_MONEY_BEFORE = re.compile(r"(?:us\s?\$|usd|\$)\s*[-−(]*\s*$", re.I)
-_PERCENT, _BP = re.compile(r"\s*(?:%|per\s?cent\b|percent\b|prozent\b|pour\s?cent\b)", re.I), re.compile(r"\s*(?:bps?\b|basis points?|basispunkte?|points? de base)", re.I)
-_FRACTION_BEFORE = re.compile(r"(?:ratio of|anteil von|rapport de)\s*[-−(]*\s*$", re.I)
-_FRACTION_AFTER = re.compile(r"\s*(?:as a (?:fraction|share|ratio)|als anteil|en fraction|en proportion)", re.I)
-_CENT = re.compile(r"\s*(?:¢|(?:us[- ]?)?cents?\b)", re.I)
+_PERCENT = re.compile(r"\)?\s*(?:%|per\s?cent\b|percent\b|prozent\b|pour\s?cent\b)", re.I)
+_BP = re.compile(r"\)?\s*(?:bps?\b|basis points?|basispunkte?|points? de base)", re.I)
+_FRACTION = re.compile(r"\)?\s*(?:as a (?:fraction|share|ratio)|als anteil|en fraction|en proportion)", re.I)
+_CENT = re.compile(r"\)?\s*(?:¢|(?:us[- ]?)?cents?\b)", re.I)
+# What stands before a number to give its unit.
+_MONEY_BEFORE, _FRACTION_BEFORE = ("$", "usd"), ("ratio of", "anteil von", "rapport de")
 
 
 def _readings(token: str) -> set[float]:
@@ -92,36 +99,38 @@ def _readings(token: str) -> set[float]:
     return out
 
 
-def _stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Begin and end of each way to read digits as one number: a space inside may group thousands or part two numbers. Longest first."""
+def _stretches(text: str, want: float) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stretch of digits that may give ``want``: spaces inside group thousands or part numbers, so a stretch is one part, or as many
+    as the number has groups (one more or less if its integer part is all but a power of ten). Longest first."""
+    groups = (len(f"{want:.0f}") + 2) // 3
     for m in _NUMBER.finditer(text):
-        parts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\u00a0\u202f ]+", m[0])]
-        for n in range(len(parts), 0, -1):
-            for k in range(len(parts) - n + 1):
-                if n <= 12:
-                    yield parts[k][0], parts[k + n - 1][1]
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])]
+        for n in sorted({groups + 1, groups, groups - 1, 1}, reverse=True):
+            if 0 < n <= len(parts):
+                yield from ((parts[k][0], parts[k + n - 1][1]) for k in range(len(parts) - n + 1))
+
+
+def _ends_with(text: str, stop: int, marks: tuple[str, ...]) -> bool:
+    """Whether one of the marks ends before ``stop``, with signs, brackets and white space of any length between."""
+    while stop and (text[stop - 1] in "-−(" or text[stop - 1].isspace()):
+        stop -= 1
+    return text[max(0, stop - max(map(len, marks))) : stop].lower().endswith(marks)
 
 
 def text_unit(text: str | None, value: float | None, common: str | None) -> str | None:
     """The unit that the text gives with the number ``value``; None if it gives none there."""
-    if text is None or value is None or value != value:
+    if text is None or value is None or not math.isfinite(value):
         return None
     want, tolerance = abs(value), 1e-9 * max(1.0, abs(value))
-    for begin, stop in _stretches(text):
+    for begin, stop in _stretches(text, want):
         if not any(abs(x - want) <= tolerance for x in _readings(text[begin:stop])):
             continue
-        before, after = text[max(0, begin - 24) : begin], re.sub(r"^\)", "", text[stop : stop + 48])
         if common == "basis point":
-            unit = "percent" if _PERCENT.match(after) else "basis point" if _BP.match(after) else "fraction" if _FRACTION_BEFORE.search(before) or _FRACTION_AFTER.match(after) else None
-        elif common == "US cent per share":
-            unit = "US cent per share" if _CENT.match(after) else None
-            if unit is None and (_MONEY_BEFORE.search(before) or _AFTER_MONEY[-1][1].match(after)):
-                unit = "USD per share"
+            unit = "percent" if _PERCENT.match(text, stop) else "basis point" if _BP.match(text, stop) else "fraction" if _ends_with(text, begin, _FRACTION_BEFORE) or _FRACTION.match(text, stop) else None
         else:
-            unit = next((u for u, rx in _AFTER_MONEY[:3] if rx.match(after)), None)
-            money = _MONEY_BEFORE.search(before) or _AFTER_MONEY[-1][1].match(after)
-            if unit is None and money:
-                unit = "USD"
+            unit = ("US cent per share" if _CENT.match(text, stop) else None) if common == "US cent per share" else next((u for u, rx in _AFTER_MONEY[:3] if rx.match(text, stop)), None)
+            if unit is None and (_ends_with(text, begin, _MONEY_BEFORE) or _AFTER_MONEY[-1][1].match(text, stop)):
+                unit = "USD per share" if common == "US cent per share" else "USD"
         if unit:
             return unit
     return None
@@ -132,14 +141,14 @@ def claim_units(claims: DataFrame, sources: DataFrame, rec_id: str = "claim_id")
 
     The unit is the one added to numeric_source, else the source's declared unit, else the one that the text gives with that very number. Claims
     that are not numeric, or have a null or non-finite value or an unknown source, give no row; a null flag counts as false.
-    Values are rounded half up to whole units. Texts are read whole; only claims that no source states a unit for are sent to Python.
+    Values are rounded half up to whole units; one that no bigint holds has a null common_value. Texts are read whole; only claims that no source states a unit for are sent to Python.
     """
     s = F.broadcast(  # a fixed dimension of sources
         sources.select(F.col("numeric_source").alias("_pl_base"), "declared_unit", F.col("common_unit")).dropDuplicates(["_pl_base"])
     )
     c = (
         claims.select(F.col(rec_id).alias("rec_id"), "text", "is_numeric", "numeric_value", "numeric_source")
-        .where(F.col("is_numeric") & F.col("numeric_value").isNotNull() & ~F.isnan("numeric_value") & (F.abs("numeric_value") < 1e24))
+        .where(F.col("is_numeric") & F.col("numeric_value").isNotNull() & ~F.isnan("numeric_value") & (F.abs("numeric_value") < float("inf")))
         .withColumn("_pl_base", F.trim(F.regexp_extract("numeric_source", r"^[^\[#@]+", 0)))
         .join(s, "_pl_base")
     )
@@ -151,32 +160,35 @@ def claim_units(claims: DataFrame, sources: DataFrame, rec_id: str = "claim_id")
 
     known = c.where(F.col("_pl_unit").isNotNull())
     unknown = c.where(F.col("_pl_unit").isNull()).withColumn("_pl_unit", from_text("text", "numeric_value", "common_unit"))
-    out = known.unionByName(unknown)
-    return out.select("rec_id", "common_unit", common_value(F.col("numeric_value"), F.col("_pl_unit"), F.col("common_unit")).alias("common_value")).where("common_value is not null").distinct()
+    out = known.unionByName(unknown).withColumn("_pl_factor", factor(F.col("_pl_unit"), F.col("common_unit"))).where("_pl_factor is not null")
+    return out.select("rec_id", "common_unit", common_value(F.col("numeric_value"), F.col("_pl_factor")).alias("common_value")).distinct()
 
 
-def common_value(value: Column, unit: Column, common: Column | None = None) -> Column:
-    """The value in whole common units; null if the unit is unknown or of another kind."""
+def factor(unit: Column, common: Column) -> Column:
+    """What brings the unit to the common unit; null if it is unknown or of another kind."""
     table = lambda k: F.create_map(*[F.lit(v) for name, of in UNITS.items() for v in (name, of[k])])
-    factor = F.try_element_at(table(1), unit)
-    if common is not None:
-        factor = F.when(F.try_element_at(table(0), unit) == common, factor)
-    return F.round(value.cast("decimal(38,12)") * factor.cast("decimal(10,0)"), 0).cast("bigint")
+    return F.when(F.try_element_at(table(0), unit) == common, F.try_element_at(table(1), unit))
+
+
+def common_value(value: Column, factor: Column) -> Column:
+    """The value in whole common units, rounded half up; null where no bigint holds it."""
+    return F.round(F.try_multiply(value.try_cast("decimal(38,12)"), factor.cast("decimal(10,0)")), 0).try_cast("bigint")
 
 
-def pelt(x: np.ndarray, penalty: float) -> list[tuple[int, int]]:
-    """Exact penalised segmentation of x into stretches [a, b) of constant mean with squared error, by pruned optimal partitioning."""
-    n = len(x)
-    s1, s2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    best, back, live = np.empty(n + 1), np.zeros(n + 1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+def pelt(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, penalty: float) -> list[tuple[int, int]]:
+    """Exact penalised segmentation of points, each of n values with sum s1 and sum of squares s2, into stretches [a, b) of constant mean with squared error,
+    by pruned optimal partitioning."""
+    size = len(n)
+    n, s1, s2 = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, s1, s2))
+    best, back, live = np.empty(size + 1), np.zeros(size + 1, dtype=np.int64), np.zeros(1, dtype=np.int64)
     best[0] = -penalty
-    for t in range(1, n + 1):
+    for t in range(1, size + 1):
         total = s1[t] - s1[live]
-        cost = best[live] + (s2[t] - s2[live]) - total * total / (t - live)
+        cost = best[live] + (s2[t] - s2[live]) - total * total / (n[t] - n[live])
         k = int(np.argmin(cost))
         best[t], back[t] = cost[k] + penalty, live[k]
         live = np.append(live[cost <= best[t]], t)
-    out, t = [], n
+    out, t = [], size
     while t:
         out.append((int(back[t]), t))
         t = int(back[t])
@@ -184,30 +196,26 @@ def pelt(x: np.ndarray, penalty: float) -> list[tuple[int, int]]:
 
 
 def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (series key, fact, d) to (fact, shift); one sub-history is held at a time. d: log10 of the recorded value over its reference."""
+    """Points sorted by history and time to points with the shift of their segment; one history is held at a time."""
     held: list[pd.DataFrame] = []
 
     def settle(h: pd.DataFrame) -> pd.DataFrame:
-        d, known = h["d"].to_numpy(float), h["known"].to_numpy(float)
-        shift = np.zeros(len(d), dtype=np.int64)
-        for a, b in pelt(d, PENALTY):
-            level = -float(np.median(d[a:b]))
-            stated = known[a:b][~np.isnan(known[a:b])]
-            by_level = min(SHIFTS, key=lambda k: abs(k - level))
-            # a segment with stated units has theirs, if its level fits them
-            fits = [k for k in np.unique(stated) if abs(k - level) < 1.5]
-            shift[a:b] = fits[0] if len(fits) == 1 else by_level
-        # the nearest factor of each row decides; the segment's stays only where it is equally near
-        own = np.asarray(SHIFTS)[np.abs(np.add.outer(d, np.asarray(SHIFTS))).argmin(axis=1)]
-        shift = np.where(np.abs(d + shift) > np.abs(d + own) + 1e-9, own, shift)
-        return pd.DataFrame({"fact": h["fact"], "shift": shift})
+        n, s1, s2 = (h[c].to_numpy(float) for c in ("n", "s1", "s2"))
+        shift = np.zeros(len(h), dtype=np.int64)
+        for a, b in pelt(n, s1, s2, PENALTY):
+            level = s1[a:b].sum() / n[a:b].sum()  # below its reference by the factor recorded in
+            shift[a:b] = min(SHIFTS, key=lambda k: abs(k + level))
+        return h[["entity", "source", "day", "lev"]].assign(shift=shift)
+
+    def same(x: pd.Series) -> np.ndarray:
+        a, b = x.iloc[1:].reset_index(drop=True), x.iloc[:-1].reset_index(drop=True)
+        return ((a == b) | (a.isna() & b.isna())).to_numpy(bool)
 
     for frame in frames:
         frame = pd.concat([*held, frame], ignore_index=True) if held else frame
         if not len(frame):
             continue
-        key = frame["series"].to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(frame)]
+        cuts = [0, *(np.flatnonzero(~(same(frame["entity"]) & same(frame["source"]))) + 1).tolist(), len(frame)]
         done = [settle(frame.iloc[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1], strict=True)]
         held = [frame.iloc[cuts[-2] :]]
         if done:
@@ -219,54 +227,46 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def history_units(facts: DataFrame, entity: str, source: str, fact_id: str, at: str, value: str, note: str) -> DataFrame:
     """(fact_id, common_unit, common_value) of each distinct fact with a value: money as recorded, brought to whole USD.
 
-    A note that names a unit holds. Without one the fact takes the factor that brings it nearest to the nearest stated
-    values of its entity in time (both sides alike if equally near; the median of all stated values if its entity states none); the shift of its segment in
-    its source's history (see module) settles only exact ties. Zero stays zero;
-    null and non-finite values give no row. Facts without a time count as of 1970. A history longer than SERIES_ROWS in one year is split into
-    interleaved sub-histories by a hash of the fact, so that no task grows with a hot source; each row is still checked against its own reference.
+    A note that names a unit holds. Without one the fact takes the factor of its segment: its source's history, stated values too, is set against the level of
+    the entity's nearest stated values in time (both sides alike if equally near; the median of all levels if its entity states none), the changepoint
+    search parts it into segments, and a segment whose mean lies nearest to a known factor below its reference was recorded by that factor.
+    Zero stays zero; null and non-finite values give no row; a value that no bigint holds in whole USD has a null common_value. Facts without a time count as
+    of 1970. Null entities and sources are an entity and a source of their own.
     """
-    f = with_note_unit(facts, note, "_pl_unit").select(
-        F.col(fact_id).alias("fact"), F.col(entity).alias("entity"), F.col(source).alias("source"), F.coalesce(F.unix_date(F.col(at).cast("date")), F.lit(0)).alias("day"),
-        F.col(value).cast("double").alias("value"), F.col("_pl_unit").alias("unit"),
-    ).where("value is not null and not isnan(value) and abs(value) < 1e24").distinct()
-    f = materialised(f, "histories")  # made distinct once, read several times
-    stated = f.where(F.col("unit").isNotNull())
     names = ("USD", "USD thousand", "USD million", "USD billion")
-    shift_of = F.try_element_at(F.create_map(*[F.lit(v) for kv in zip(names, map(float, SHIFTS), strict=True) for v in kv]), F.col("unit"))
-    # the level of each entity and day: one row for each, however many facts there are
-    level = (
-        f.withColumn("known", shift_of).where("known is not null and value <> 0")
-        .groupBy("entity", "day").agg((F.sum(F.log10(F.abs("value")) + F.col("known")) / F.count("*")).alias("level"))
-    )
-    days = f.select("entity", "day").distinct().join(level, ["entity", "day"], "left")
-    back, ahead = W.partitionBy("entity").orderBy("day"), W.partitionBy("entity").orderBy(F.desc("day"))
+    shift_of = F.create_map(*[F.lit(v) for kv in zip(names, map(float, SHIFTS), strict=True) for v in kv])
+    v = F.col("value")
+    f = with_note_unit(facts, note, "_pl_unit").select(
+        F.col(fact_id).alias("fact"), F.col(entity).cast("string").alias("entity"), F.col(source).cast("string").alias("source"), F.coalesce(F.unix_date(F.col(at).cast("date")), F.lit(0)).alias("day"),
+        F.col(value).cast("double").alias("value"), F.try_element_at(shift_of, F.col("_pl_unit")).alias("known"),
+    ).where("value is not null and not isnan(value) and abs(value) < double('inf')").distinct()
+    f = materialised(f.withColumn("lev", F.when(v != 0, F.floor(F.log10(F.abs(v)) * LEVELS).cast("int"))), "histories")  # made distinct once, read twice
+    size = F.log10(F.abs(v))
+    points = f.where("value <> 0").groupBy("entity", "source", "day", "lev", "known").agg(F.count("*").alias("n"), F.sum(size).alias("s1"), F.sum(size * size).alias("s2"))
+    # the nearest stated levels before and after, within windows of one partitioning
+    points = points.repartition("entity")
+    stated = F.when(F.col("known").isNotNull(), F.col("n"))
+    level = F.sum(F.col("s1") + F.col("known") * F.col("n")) / F.nullif(F.sum(stated), F.lit(0))
+    days = points.groupBy("entity", "day").agg(level.alias("level"))
+    overall = days.agg(F.percentile_approx("level", 0.5)).first()[0]  # one number
     pair = F.when(F.col("level").isNotNull(), F.struct("day", "level"))
-    days = days.withColumn("_b", F.last(pair, ignorenulls=True).over(back)).withColumn("_a", F.last(pair, ignorenulls=True).over(ahead))
-    db, da = F.col("day") - F.col("_b.day"), F.col("_a.day") - F.col("day")
-    near = F.when(da.isNull() | (db < da), F.col("_b.level")).when(db.isNull() | (da < db), F.col("_a.level")).otherwise((F.col("_a.level") + F.col("_b.level")) / 2)
-    overall = level.agg(F.percentile_approx("level", 0.5)).first()[0]  # one number
-    days = days.select("entity", "day", F.coalesce(near, F.lit(float(overall or 0.0))).alias("ref"))
-    year = F.floor(F.col("day") / 366).cast("int")
-    counts = f.groupBy("entity", "source", year.alias("year")).agg(F.count("*").alias("n"))
+    back, ahead = W.partitionBy("entity").orderBy("day"), W.partitionBy("entity").orderBy(F.desc("day"))
+    days = days.select("entity", "day", F.last(pair, ignorenulls=True).over(back).alias("b"), F.last(pair, ignorenulls=True).over(ahead).alias("a"))
+    before, after = F.col("day") - F.col("b.day"), F.col("a.day") - F.col("day")
+    near = F.when(after.isNull() | (before < after), F.col("b.level")).when(before.isNull() | (after < before), F.col("a.level")).otherwise((F.col("a.level") + F.col("b.level")) / 2)
+    days = days.select(F.col("entity").alias("_e"), F.col("day").alias("_d"), F.coalesce(near, F.lit(float(overall or 0.0))).alias("ref"))
     # histories with an unstated value alone need a search; the others are settled by their notes
-    need = f.where("unit is null and value <> 0").select("entity", "source").distinct()
-    x = (
-        f.where("value <> 0").withColumn("year", year)
-        .join(need.withColumnRenamed("entity", "_e").withColumnRenamed("source", "_s"), F.col("entity").eqNullSafe(F.col("_e")) & F.col("source").eqNullSafe(F.col("_s")), "left_semi")
-        .withColumn("known", shift_of)
-    )
-    x = x.join(days.select(F.col("entity").alias("_e"), F.col("day").alias("_d"), "ref"), F.col("entity").eqNullSafe(F.col("_e")) & (F.col("day") == F.col("_d"))).drop("_e", "_d")
-    c = counts.select(F.col("entity").alias("_e"), F.col("source").alias("_s"), F.col("year").alias("_y"), "n")
-    x = x.join(c, F.col("entity").eqNullSafe(F.col("_e")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("year") == F.col("_y")))
-    # small histories stay whole; where a year alone is too long, years and sub-histories part
-    big = F.col("n") > SERIES_ROWS // 16
-    part = F.when(big, F.concat_ws(":", "year", F.pmod(F.xxhash64("fact"), F.ceil(F.col("n") / SERIES_ROWS).cast("bigint")))).otherwise(F.lit(""))
-    x = x.select(F.concat_ws("\u0001", F.coalesce(F.col("entity").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), part).alias("series"), "day", "fact", "known", (F.log10(F.abs("value")) - F.col("ref")).alias("d"))
-    kind = dict(f.dtypes)["fact"]
-    found = x.repartition("series").sortWithinPartitions("series", "day", "fact").mapInPandas(_segments, f"fact {kind}, shift int")
-    found = found.withColumnRenamed("fact", "_f").groupBy("_f").agg(F.min("shift").alias("shift"))
-    unit_of = F.create_map(*[F.lit(v) for kv in zip(SHIFTS, names, strict=True) for v in kv])
-    unstated = f.where("unit is null and value <> 0").join(found, F.col("fact") == F.col("_f")).select("fact", "value", F.element_at(unit_of, F.col("shift")).alias("unit"))
-    zero = f.where("unit is null and value = 0").select("fact", "value", F.lit("USD").alias("unit"))
-    out = stated.select("fact", "value", "unit").unionByName(unstated).unionByName(zero)
-    return out.select(F.col("fact").alias(fact_id), F.lit("USD").alias("common_unit"), common_value(F.col("value"), F.col("unit")).alias("common_value"))
+    history = points.withColumn("open", F.max(F.col("known").isNull()).over(W.partitionBy("entity", "source"))).where("open")
+    x = history.join(days, F.col("entity").eqNullSafe(F.col("_e")) & (F.col("day") == F.col("_d")))
+    x = x.groupBy("entity", "source", "day", "lev").agg(
+        F.sum("n").alias("n"), F.sum(F.col("s1") - F.col("n") * F.col("ref")).alias("s1"), F.sum(F.col("s2") - 2 * F.col("ref") * F.col("s1") + F.col("n") * F.col("ref") * F.col("ref")).alias("s2")
+    )
+    # a stated number of partitions, which isn't merged for being few bytes: the search is bound by its work
+    x = x.repartition(facts.sparkSession.sparkContext.defaultParallelism, "entity", "source").sortWithinPartitions("entity", "source", "day", "lev")
+    found = x.mapInPandas(_segments, "entity string, source string, day int, lev int, shift int")
+    found = found.select(F.col("entity").alias("_e"), F.col("source").alias("_s"), F.col("day").alias("_d"), F.col("lev").alias("_l"), "shift")
+    on = F.col("entity").eqNullSafe(F.col("_e")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("day") == F.col("_d")) & (F.col("lev") == F.col("_l"))
+    shift = F.coalesce(F.col("known").cast("int"), F.col("shift"), F.lit(0))
+    out = f.where("known is not null or value = 0").withColumn("shift", F.lit(0)).unionByName(f.where("known is null and value <> 0").join(found, on, "left").select(*f.columns, "shift"))
+    whole = F.element_at(F.create_map(*[F.lit(v) for k in SHIFTS for v in (k, 10**k)]), shift)
+    return out.select(F.col("fact").alias(fact_id), F.lit("USD").alias("common_unit"), common_value(v, whole).alias("common_value"))

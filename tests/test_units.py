@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pitlake.operators import units
@@ -22,9 +23,7 @@ def test_notes(spark):
         assert got[i] == round(2.5 * k + 1e-9) or k == 1 and got[i] == 3, note
 
 
-@pytest.mark.parametrize("rows_of_a_series", [4096, 16])
-def test_histories_without_notes(spark, monkeypatch, rows_of_a_series):
-    monkeypatch.setattr(units, "SERIES_ROWS", rows_of_a_series)
+def test_histories_without_notes(spark):
     r, rows, want = random.Random(5), [], {}
     for cik in range(12):
         level = 10 ** r.uniform(7.5, 10)
@@ -57,16 +56,56 @@ def test_history_edges(spark):
     assert hist([(1, 1, d, 5.0, "s", None, 0)]).count() == 1  # nothing stated anywhere
 
 
+def _history(spark, rows):
+    return {x.fact_id: x.common_value for x in history_units(spark.createDataFrame(rows, QUARTERS), "cik", "source", "fact_id", "period_end", "value", "unit_note").collect()}
+
+
+def _dates(n):
+    return [dt.date(2010, 1, 1) + dt.timedelta(days=91 * q) for q in range(n)]
+
+
+def test_segments_decide(spark, monkeypatch):
+    """One odd quarter, 1.6 decades off, is by itself nearer to millions, but its segment is in thousands; and without a search rows change."""
+    d = _dates(24)
+    rows = [(i, 1, d[i], 2e9, "a", "USD", 0) for i in range(24)]
+    rows += [(100 + i, 1, d[i], 2e9 / (1e3 if i < 12 else 1e6) / (10**1.6 if i == 6 else 1), "b", None, 0) for i in range(24)]
+    got = _history(spark, rows)
+    assert {got[100 + i] for i in range(24) if i != 6} == {2_000_000_000}
+    assert got[106] == round(2e9 / 10**1.6)
+    # the rows of a history as the search sees them, and a search that finds no change
+    x = pd.DataFrame({"entity": "1", "source": "b", "day": range(24), "lev": 0, "n": 1.0, "s1": [-3.0] * 12 + [-6.0] * 12})
+    x = x.assign(s2=x["s1"] ** 2)
+    assert pd.concat(units._segments(iter([x])))["shift"].tolist() == [3] * 12 + [6] * 12
+    monkeypatch.setattr(units, "pelt", lambda n, s1, s2, penalty: [(0, len(n))])
+    assert set(pd.concat(units._segments(iter([x])))["shift"]) != {3, 6}
+
+
+def test_a_busy_year_is_searched_like_any_other(spark):
+    """Hundreds of facts of one day are one point for each level, in whatever units."""
+    d = _dates(12)
+    rows = [(i, 1, d[i], 3e9, "a", "USD", 0) for i in range(12)]
+    rows += [(1000 + 12 * k + i, 1, d[i], (3e9 + 1e7 * (k % 7)) / (1e3 if k % 2 else 1e9), "b", None, 0) for k in range(300) for i in range(12)]
+    got = _history(spark, rows)
+    assert all(got[1000 + 12 * k + i] == 3_000_000_000 + 10_000_000 * (k % 7) for k in range(300) for i in range(12))
+
+
+def test_values_beyond_a_bigint(spark):
+    d = dt.date(2020, 1, 1)
+    assert _history(spark, [(1, 1, d, 1e24, "s", "USD", 0), (2, 1, d, 1e300, "s", None, 0), (3, 1, d, 5e9, "s", "USD", 0), (4, 1, d, float("inf"), "s", "USD", 0)]) == {1: None, 2: None, 3: 5_000_000_000}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pelt_is_exact(seed):
     r = np.random.default_rng(seed)
     x = np.concatenate([np.full(k, 3.0 * m) + r.normal(0, 0.1, k) for k, m in zip(r.integers(1, 9, 6), r.integers(0, 4, 6), strict=True)])
-    n, s1, s2 = len(x), np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
+    w = r.integers(1, 5, len(x)).astype(float)
+    p1, p2 = w * x, w * (x * x + 0.01)
+    n, w0, s1, s2 = len(x), *(np.concatenate([[0], np.cumsum(y)]) for y in (w, p1, p2))
+    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (w0[b] - w0[a])
     best = [-1.0] + [np.inf] * n
     for t in range(1, n + 1):
         best[t] = min(best[a] + cost(a, t) + 1.0 for a in range(t))
-    cuts = pelt(x, 1.0)
+    cuts = pelt(w, p1, p2, 1.0)
     assert cuts[0][0] == 0 and cuts[-1][1] == n and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
     assert sum(cost(a, b) + 1.0 for a, b in cuts) - 1.0 == pytest.approx(best[n])
 
@@ -90,6 +129,16 @@ def test_text_units(case):
     assert text_unit(text, value, common) == want
 
 
+def test_far_units_and_long_numbers():
+    assert text_unit("paid $" + " " * 100 + "(7.25)", 7.25, "US cent per share") == "USD per share"
+    assert text_unit("ratio of" + " " * 60 + "0.25", 0.25, "basis point") == "fraction"
+    assert text_unit("came to 7.25" + " " * 200 + "million", 7.25, "USD") == "USD million"
+    digits = "1 " + " ".join(["000"] * 14)
+    assert text_unit(f"USD {digits} outright", 1e42, "USD") == "USD"  # 15 groups
+    assert text_unit(" ".join(["123"] * 20_000) + " 999 million", 999.0, "USD") == "USD million"
+    assert text_unit("999 999 999.9999999999 dollars", 1e9, "USD") == "USD"
+
+
 def test_long_text():
     assert text_unit("1,5 ".join(["x"] * 50_000) + " $7.25 million", 7.25, "USD") == "USD million"
 
