@@ -78,6 +78,32 @@ def test_against_brute_force(spark, partitions):
     assert set(got) == brute(bars) and len(got) == len(set(got))
 
 
+def test_the_ellipsoid_decides(spark):
+    """The rule is asked of what lies outside alone: with axes ten times as long, runs that the rule would flag stay inside."""
+    bars = series(1, "A", 900, 0)
+    hard = {r[0] for r in bars if min([x for x in r[3:7] if x is not None], default=1) <= 0 or (r[7] or 0) < 0}
+    narrow, wide = ({r.bar_id for r in implausible(spark.createDataFrame(bars, SCHEMA), widen=w).collect()} for w in (1.0, 1000.0))
+    assert narrow == brute(bars) and hard <= wide < narrow and len(narrow - wide) > 10
+
+
+def test_flagging_is_repeated():
+    """Axes are those of the points left: shorter than those of all points, and no point left lies outside."""
+    r = np.random.default_rng(2)
+    d = np.abs(np.concatenate([r.normal(0, 0.001, (2000, 3)), r.normal(0, 0.02, (300, 3))]))
+    x = pd.DataFrame({"series": "A", **{f"b{k}": np.floor(np.log2(d[:, k]) * spikes.CELLS).astype(np.int16) for k in range(3)}, "k": 1})
+    other = x.assign(series="B", k=3)
+    parts = [x.iloc[:700], x.iloc[700:], other.iloc[:1], other.iloc[1:]]
+    got = pd.concat(spikes._ellipsoids(1.0)(iter(parts))).set_index("series")
+    assert sorted(got.index) == ["A", "B"]
+    once = spikes.MAD * np.sqrt(2 * np.log(len(d))) * np.median(d, axis=0)
+    axes = got.loc["A"].to_numpy(float)
+    assert (axes < 0.97 * once).all()
+    size = np.exp2((x[["b0", "b1", "b2"]].to_numpy(float) + 0.5) / spikes.CELLS)
+    left = size[((size / axes) ** 2).sum(axis=1) <= 1]
+    again = spikes.MAD * np.sqrt(2 * np.log(len(d))) * np.median(left, axis=0)
+    assert again == pytest.approx(axes, rel=0.1)
+
+
 def test_edges(spark):
     one = [(1, "A", dt.datetime(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1, "x")]
     flat = [(i, "F", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i), 5.0, 5.0, 5.0, 5.0, 0, "x") for i in range(20)]
