@@ -66,7 +66,8 @@ def with_tag_unit(df: DataFrame, source: str, out: str) -> DataFrame:
         ("basis point", r"^(bps?|basis points?)$"), ("percent", r"^(%|pct|percent)$"), ("fraction", r"^(ratio|fraction)$"),
         ("US cent per share", r"^(c/share|cents?|usc/share)$"), ("USD per share", r"^(\$/share|usd_sh|usd/share)$"),
     ]
-    raw = F.regexp_extract(source, r"(?:\[([^\]]*)\]|#(.*))\s*$", 0)
+    marked = F.contains(F.col(source), F.lit("[")) | F.contains(F.col(source), F.lit("#"))  # most names have no addition to look for
+    raw = F.when(marked, F.regexp_extract(source, r"(?:\[([^\]]*)\]|#(.*))\s*$", 0))
     df = df.withColumn("_pl_tag", F.nullif(F.regexp_replace(_plain(raw), r"^\[|\]$|^#(?:unit=)?", ""), F.lit("")))
     return df.withColumn(out, F.coalesce(*[F.when(tag.rlike(rx), F.lit(name)) for name, rx in kinds], _magnitude(tag))).drop("_pl_tag")
 
@@ -141,7 +142,7 @@ def claim_units(claims: DataFrame, sources: DataFrame, rec_id: str = "claim_id")
 
     The unit is the one added to numeric_source, else the source's declared unit, else the one that the text gives with that very number. Claims
     that are not numeric, or have a null or non-finite value or an unknown source, give no row; a null flag counts as false.
-    Values are rounded half up to whole units; one that no bigint holds has a null common_value. Texts are read whole; only claims that no source states a unit for are sent to Python.
+    Values are rounded half up to whole units; one that no bigint holds has a null common_value. Texts are read whole; only those of claims that no source states a unit for are sent to Python.
     """
     s = F.broadcast(  # a fixed dimension of sources
         sources.select(F.col("numeric_source").alias("_pl_base"), "declared_unit", F.col("common_unit")).dropDuplicates(["_pl_base"])
@@ -158,9 +159,9 @@ def claim_units(claims: DataFrame, sources: DataFrame, rec_id: str = "claim_id")
     def from_text(text: pd.Series, value: pd.Series, common: pd.Series) -> pd.Series:
         return pd.Series([text_unit(*x) for x in zip(text, value, common, strict=True)], dtype=object)
 
-    known = c.where(F.col("_pl_unit").isNotNull())
-    unknown = c.where(F.col("_pl_unit").isNull()).withColumn("_pl_unit", from_text("text", "numeric_value", "common_unit"))
-    out = known.unionByName(unknown).withColumn("_pl_factor", factor(F.col("_pl_unit"), F.col("common_unit"))).where("_pl_factor is not null")
+    # one pass: claims that a source states a unit for go by without their text
+    said = from_text(F.when(F.col("_pl_unit").isNull(), F.col("text")), "numeric_value", "common_unit")
+    out = c.withColumn("_pl_unit", F.coalesce("_pl_unit", said)).withColumn("_pl_factor", factor(F.col("_pl_unit"), F.col("common_unit"))).where("_pl_factor is not null")
     return out.select("rec_id", "common_unit", common_value(F.col("numeric_value"), F.col("_pl_factor")).alias("common_value")).distinct()
 
 
