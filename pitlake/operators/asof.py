@@ -46,14 +46,17 @@ def entry_day(events: DataFrame, accepted: str, cal: DataFrame, close_hour: int
     """events with the first calendar day on which an event accepted at that UTC time can be acted on: its day before close_hour, else the next there is.
 
     The calendar's gaps are filled by an as-of lookup, so events join by day alone; the calendar has one row for each day and is broadcast only if small.
+    An event from before the calendar, however long, is given its first day, one from after it none.
     """
-    days = cal.select(F.col("day").alias("_d"), F.lead("day").over(W.partitionBy(F.lit(0)).orderBy("day")).alias("_n"))
+    first = cal.agg(F.min("day")).first()[0]  # one day
+    before = F.lag("day").over(W.partitionBy(F.lit(0)).orderBy("day"))
     # each calendar day stands for itself and for the days without one before it
-    days = days.withColumn("_p", F.coalesce(F.date_add(F.lag("_d").over(W.partitionBy(F.lit(0)).orderBy("_d")), 1), F.date_sub("_d", 366)))
-    filled = days.select(F.explode(F.sequence("_p", "_d")).alias("_from"), F.col("_d").alias(out))
+    days = cal.select(F.col("day").alias("_d"), F.coalesce(F.date_add(before, 1), "day").alias("_p"))
+    filled = days.select(F.explode(F.sequence("_p", "_d")).alias("_from"), F.col("_d").alias("_to"))
     at = F.date_add(F.col(accepted).cast("date"), (F.hour(accepted) >= close_hour).cast("int"))
     e = events.withColumn("_at", at)
-    return e.join(filled, e["_at"] == filled["_from"], "left").drop("_at", "_from")
+    e = e.join(filled, e["_at"] == filled["_from"], "left")
+    return e.withColumn(out, F.coalesce("_to", F.when(F.col("_at") < F.lit(first), F.lit(first)))).drop("_at", "_from", "_to")
 
 
 class LookaheadError(ValueError):

@@ -5,7 +5,8 @@ the known fact with the latest valid start at or before the valid time. Rectangl
 covers a bounded number of cells; an event is a point, which looks at one cell of each width.
 
 Facts are first reduced to one per entity, valid start and recorded day, then swept within blocks of recorded time: what is current when a block
-begins is carried into it. So no task ever holds one entity's whole history, and a hot entity's events spread over cells and salts.
+begins is carried into it. An entity's blocks are those in which it has facts, each reaching to the next, so that a date as far off as the year 9999, as
+some tables write for "open", is one block more and not thousands. So no task ever holds one entity's whole history, and a hot entity's events spread over cells and salts.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from pitlake.session import materialised
 
-#: Days in a block of the sweep. log2 of the cell widths in days; each rectangle takes the first width at which it spans at most SPAN cells.
-BLOCK_DAYS, LEVELS, SPAN, SALTS = 1024, (6, 10, 14, 18), 17, 4
-#: The last day on either axis; open ends reach to it.
-OPEN = 1 << 18
+#: Days in a block of the sweep. log2 of the cell widths in days; each rectangle takes the first width at which it spans at most SPAN cells, or the last,
+#: which holds all of time in two cells.
+BLOCK_DAYS, LEVELS, SPAN, SALTS = 1024, (6, 10, 14, 31), 17, 4
+#: The end of either axis, after every date there is; open ends reach to it.
+OPEN = (1 << 31) - 1
 
 
 def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,7 +73,7 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rectangles(facts: DataFrame, entity: str, valid_from: str, recorded_on: str, fact_id: str, block_days: int = BLOCK_DAYS) -> DataFrame:
-    """Disjoint current-version rectangles (entity, fact, v0, v1, r0, r1), half-open, in days since 1970.
+    """Disjoint current-version rectangles (entity, fact, v0, v1, r0, r1), half-open, in days since 1970; an open end is OPEN.
 
     A fact is known from the day after its recorded day. Of facts with the same entity, valid start and recorded day the smallest fact_id is kept;
     a later recorded day supersedes an earlier one. Facts with a null entity, valid start, recorded day or id can't be placed and give none.
@@ -84,21 +86,22 @@ def rectangles(facts: DataFrame, entity: str, valid_from: str, recorded_on: str,
         .withColumn("block", F.floor(F.col("r") / block_days).cast("int"))
     )
     f = materialised(f, "facts")  # reduced once, read three times
-    # the last version in each block is carried to the following blocks, up to the one with the next version, the last block being open
-    last = f.groupBy("entity", "v", "block").agg(F.max_by("fact", "r").alias("fact"))
-    top = f.agg(F.max("block")).first()[0]  # one number
-    top = F.lit(0 if top is None else top)
-    nxt = F.lead("block").over(W.partitionBy("entity", "v").orderBy("block"))
+    # an entity's blocks in their order; each reaches to the next, the last one to the end of time
+    w = W.partitionBy("entity").orderBy("block")
+    blocks = f.select("entity", "block").distinct()
+    blocks = blocks.select("entity", "block", F.row_number().over(w).alias("pos"), (F.col("block") * block_days).alias("b0"), F.coalesce(F.lead("block").over(w) * block_days, F.lit(OPEN)).alias("b1"))
+    placed = f.join(blocks, ["entity", "block"])
+    # the last version in each block is carried to the entity's following blocks, up to the one with the next version, or its last
+    last = placed.groupBy("entity", "v", "pos").agg(F.max_by("fact", "r").alias("fact"))
+    nxt = F.lead("pos").over(W.partitionBy("entity", "v").orderBy("pos"))
+    ends = blocks.groupBy("entity").agg(F.max("pos").alias("top"))
     carried = (
-        last.withColumn("next", nxt)
-        .withColumn("until", F.coalesce("next", top))
-        .where("until > block")
-        .select("entity", F.explode(F.sequence(F.col("block") + 1, F.col("until"))).alias("block"), "v", "fact", F.lit(-(1 << 20)).alias("r"))
-    )
-    rows = carried.select("entity", "block", "r", "v", "fact").unionByName(f.select("entity", "block", "r", "v", "fact"))
-    rows = rows.select(
-        "entity", "block", "r", "v", "fact", (F.col("block") * block_days).alias("b0"), F.when(F.col("block") == top, OPEN).otherwise((F.col("block") + 1) * block_days).alias("b1")
-    )
+        last.withColumn("next", nxt).join(ends, "entity").withColumn("until", F.coalesce("next", "top")).where("until > pos")
+        .select("entity", F.explode(F.sequence(F.col("pos") + 1, F.col("until"))).alias("pos"), "v", "fact", F.lit(-(1 << 20)).alias("r"))
+        .join(blocks, ["entity", "pos"])
+    )
+    columns = ["entity", "block", "r", "v", "fact", "b0", "b1"]
+    rows = carried.select(*columns).unionByName(placed.select(*columns))
     types = dict(f.dtypes)
     # carried rows sort by valid start, which cuts the rectangles at once; rows of one recorded day too
     return (

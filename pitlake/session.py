@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,21 +29,40 @@ def build(master: str = "local[*]", app: str = "pitlake", **conf: str) -> SparkS
     return ship(builder.getOrCreate())
 
 
+#: Tables written by each application, in the order of their making.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names none (tests and single-machine runs only) a temporary folder is set on the session.
+    Where the session names none, a temporary folder is set on it in local mode, where driver and executors are one process (tests); elsewhere that is an
+    error, since other machines would find nothing there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="pitlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path for a table of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path for a table of its own in the shared folder; clear() deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this application's operators have written so far, once no result that reads them is needed any more; returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def materialised(df: DataFrame, label: str, **options: object) -> DataFrame:

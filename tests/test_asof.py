@@ -40,9 +40,9 @@ def test_entry_day(spark):
     cal = calendar(spark.createDataFrame([(d(x),) for x in (0, 1, 2, 5, 6, 6)] + [(None,)], "day date"))
     assert [r.idx for r in cal.orderBy("day").collect()] == [0, 1, 2, 3, 4]
     at = lambda day, h, m: dt.datetime.combine(d(day), dt.time(h, m))
-    rows = [(1, at(0, 12, 59)), (2, at(0, 13, 0)), (3, at(2, 13, 0)), (4, at(3, 1, 0)), (5, at(6, 14, 0)), (6, None), (7, at(-30, 1, 0))]
+    rows = [(1, at(0, 12, 59)), (2, at(0, 13, 0)), (3, at(2, 13, 0)), (4, at(3, 1, 0)), (5, at(6, 14, 0)), (6, None), (7, at(-30, 1, 0)), (8, at(-800, 1, 0))]
     got = {r.id: r.entry for r in entry_day(spark.createDataFrame(rows, "id int, at timestamp"), "at", cal).collect()}
-    assert got == {1: d(0), 2: d(1), 3: d(5), 4: d(5), 5: None, 6: None, 7: d(0)}
+    assert got == {1: d(0), 2: d(1), 3: d(5), 4: d(5), 5: None, 6: None, 7: d(0), 8: d(0)}
 
 
 def test_cutoff(spark):

@@ -64,3 +64,16 @@ def test_empty_and_repeated(spark):
     assert locate(e, "cik", F.col("at"), rect(f)).count() == 2
     same_day = spark.createDataFrame([(1, 1, day(1))], "eid int, cik bigint, at date")
     assert locate(same_day, "cik", F.col("at"), rect(f)).count() == 0  # filed on that day: not yet known
+
+
+def test_dates_at_the_end_of_time(spark):
+    """9999-12-31 is a date like any other, on either axis and for events."""
+    end = dt.date(9999, 12, 31)
+    facts = [(1, 1, day(0), day(1), "x"), (2, 1, end, day(5), "x"), (3, 1, day(10), end, "x"), (4, 1, dt.date(1, 1, 1), dt.date(1, 1, 2), "x")] + [(10 + k, 1, day(k), day(400 * k), "x") for k in range(20)]
+    events = [(1, 1, day(3)), (2, 1, end), (3, 1, day(6)), (4, 1, dt.date(1500, 1, 1)), (5, 1, dt.date(1, 1, 2))]
+    f, e = spark.createDataFrame(facts, FACTS), spark.createDataFrame(events, "eid int, cik bigint, at date")
+    rects = rectangles(f, "cik", "period_end", "first_filed", "fact_id")
+    assert rects.count() < 500
+    for latest in (True, False):
+        got = {x.eid: x.fact_id for x in locate(e, "cik", F.col("at"), rects, None if latest else F.col("at")).collect()}
+        assert got == brute(facts, events, latest), latest
