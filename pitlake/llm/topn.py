@@ -1,9 +1,10 @@
 """The first N items of every group, by statistics-guided skipping.
 
-The rows are clustered into files by group and falling score, so that a row group's footer gives the groups it may hold and its highest score.
-Each file's row groups are then read in the order of that score, and those are skipped that lie strictly below the current N-th score of every group
-they hold. A group with a third of all rows spreads over many files: only the first of them are read much beyond their footers. What the files leave,
-at most N items of each group in each, is merged at last.
+The rows are clustered into files by group and falling score, so that a row group's footer gives the groups it may hold and its highest score. Row groups
+are read in falling order of that score, in two rounds. The first reads each group's best row group and all that hold the beginning of a group, whose
+N-th score nobody knows before. Then the N-th score of every group that goes on in other row groups, in whatever file, is known, and what lies strictly
+below it is skipped; the rest is read in falling order, the N-th score rising on the way. So a group with a third of all rows spreads over many files, of
+which only the footers are read but for one row group, and what is left, at most N items of each group from each row group, is merged at last.
 """
 
 from __future__ import annotations
@@ -16,72 +17,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitlake.session import scratch
+from pitlake.session import materialised, scratch
 
-#: Rows of a file and bytes of a row group.
-FILE_ROWS, ROW_GROUP_BYTES = 1_000_000, 1 << 20
+#: Bytes of a row group, the unit of skipping.
+ROW_GROUP_BYTES = 1 << 20
 
 
-def clustered(df: DataFrame, groups: list[str], order: list[Column], path: str, rows: int) -> list[str]:
-    """Writes df to files by group and order; returns the files. Exact copies come to lie side by side."""
-    n = max(math.ceil(rows / FILE_ROWS), 2 * df.sparkSession.sparkContext.defaultParallelism)
-    by = [F.col(g) for g in groups] + order
-    df.repartitionByRange(n, *by).sortWithinPartitions(*by).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
+def clustered(df: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """Writes df to files by its column g and order; (file) of each. Rows are spread by ranges, whose number follows their bytes, not by group alone."""
+    by = [F.col("g"), *order]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col("path").alias("file"))  # their contents aren't read
 
 
-def _reader(groups: list[str], ties: list[str], item: str, n: int):
-    columns = [*groups, "score", *ties, item]
+def _opened(uri: str):
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, path = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+    return pq.ParquetFile(fs.open_input_file(path))
+
+
+def _footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files to their row groups: the number, the group if it holds a single one, else null, and its highest score."""
+    for frame in frames:
+        out = []
+        for uri in frame["file"]:
+            with _opened(uri) as file:
+                at = {name: k for k, name in enumerate(file.schema_arrow.names)}
+                for k in range(file.num_row_groups):
+                    meta = file.metadata.row_group(k)
+                    g, score = (meta.column(at[c]).statistics for c in ("g", "score"))
+                    single = g is not None and g.has_min_max and g.min == g.max
+                    out.append((uri, k, g.min if single else None, score.max if score is not None and score.has_min_max else math.inf))
+        yield pd.DataFrame(out, columns=["file", "k", "only", "best"])
+
+
+def _reader(columns: list[str], ties: list[str], n: int):
+    """Row groups (file, k, only, best, nth), by file and falling best, to at most n items of each group from each; those below nth are passed over."""
 
     def leading(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.drop_duplicates([*groups, item], keep="first")
-        return x.groupby(groups, sort=False, dropna=False).head(n)
+        x = x.drop_duplicates(["g", "item"], keep="first")
+        return x[x.groupby("g", sort=False).cumcount() < n]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
+        uri, file = None, None
+        held: dict[str, pd.DataFrame] = {}  # at most n rows of each group that is alone in its row groups
         for frame in frames:
-            for uri in frame["file"]:
-                fs, path = pafs.FileSystem.from_uri(uri)
-                with fs.open_input_file(path) as source:
-                    file = pq.ParquetFile(source)
-                    at = {file.schema_arrow.names[k]: k for k in range(len(file.schema_arrow.names))}
-                    stats = []
-                    for k in range(file.num_row_groups):
-                        meta = file.metadata.row_group(k)
-                        of = [meta.column(at[c]).statistics for c in (*groups, "score")]
-                        single = all(s is not None and s.has_min_max and s.min == s.max for s in of[:-1])
-                        best = of[-1].max if of[-1] is not None and of[-1].has_min_max else math.inf
-                        stats.append((-best, k, tuple(s.min for s in of[:-1]) if single else None, best))
-                    held: dict[tuple, pd.DataFrame] = {}  # at most n rows of each group
-                    nth: dict[tuple, float] = {}
-                    done: list[pd.DataFrame] = []
-                    for _, k, one, best in sorted(stats, key=lambda s: s[:2]):
-                        if one is not None and best < nth.get(one, -math.inf):
-                            continue
-                        x = leading(file.read_row_group(k, columns=columns).to_pandas(integer_object_nulls=True))
-                        ends = {tuple(x.iloc[0][groups]), tuple(x.iloc[-1][groups])} if len(x) else set()
-                        # only groups at a row group's ends can go on in another one
-                        key = pd.MultiIndex.from_frame(x[groups]) if len(groups) > 1 else pd.Index([(v,) for v in x[groups[0]]], tupleize_cols=False)
-                        inner = ~key.isin(list(ends)) if len(x) else []
-                        if len(x) and inner.any():
-                            done.append(x[inner])
-                        for g in ends:
-                            mine = x[key == g] if len(groups) == 1 else x[key.isin([g])]
-                            if g in held:
-                                mine = pd.concat([held[g], mine], ignore_index=True)
-                                mine = leading(mine.sort_values(["score", *ties, item], ascending=[False] + [True] * (len(ties) + 1), kind="stable", na_position="last"))
-                            held[g] = mine
-                            if len(mine) >= n:
-                                nth[g] = float(mine["score"].iloc[n - 1])
-                    out = [x for x in (*done, *held.values()) if len(x)]
-                    if out:
-                        yield pd.concat(out, ignore_index=True)[columns]
+            for row in frame.itertuples(index=False):
+                nth = -math.inf if pd.isna(row.nth) else row.nth
+                if row.only in held and len(held[row.only]) >= n:
+                    nth = max(nth, float(held[row.only]["score"].iloc[n - 1]))
+                if row.best < nth:
+                    continue
+                if row.file != uri:
+                    if file is not None:
+                        file.close()
+                    uri, file = row.file, _opened(row.file)
+                x = leading(file.read_row_group(int(row.k), columns=columns).to_pandas(integer_object_nulls=True)[columns])
+                if not pd.isna(row.only):
+                    both = pd.concat([held[row.only], x], ignore_index=True) if row.only in held else x
+                    held[row.only] = leading(both.sort_values(["score", *ties, "item"], ascending=[False] + [True] * (len(ties) + 1), kind="stable", na_position="last"))
+                if len(x):
+                    yield x
+        if file is not None:
+            file.close()
 
     return run
 
 
+def _placed(kept: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n items of each group, each item in its first place alone, however many row groups or files it came from."""
+    once = kept.repartition("g").withColumn("_own", F.row_number().over(W.partitionBy("g", "item").orderBy(*order))).where("_own = 1").drop("_own")
+    return once.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy(*order))).where(F.col("place") <= n)
+
+
+def rounds(x: DataFrame, order: list[Column], ties: list[str], n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what the first round leaves, the row groups, those of the second round) of rows with the columns g, score, the ties and item."""
+    spark = x.sparkSession
+    files = clustered(x, order, scratch(spark, "topn"))
+    groups = materialised(files.mapInPandas(_footers, "file string, k int, only string, best double"), "rowgroups")
+    falling = W.partitionBy("only").orderBy(F.desc("best"), "file", "k")
+    groups = groups.withColumn("turn", F.when(F.col("only").isNull(), 1).otherwise(F.row_number().over(falling)))
+    schema = ", ".join(f"{c} {t}" for c, t in x.dtypes)
+    cores = spark.sparkContext.defaultParallelism
+    read = lambda of: of.repartition(4 * cores, "file").sortWithinPartitions("file", F.desc("best"), "k").mapInPandas(_reader(x.columns, ties, n), schema)
+    first = materialised(read(groups.where("turn = 1").select("file", "k", "only", "best", F.lit(None).cast("double").alias("nth"))), "leaders")
+    more = groups.where("turn > 1")
+    known = first.join(more.select(F.col("only").alias("_only")).distinct(), F.col("g") == F.col("_only"), "left_semi")
+    nth = _placed(known, order, n).where(F.col("place") == n).select(F.col("g").alias("_g"), F.col("score").alias("nth"))
+    second = more.join(nth, F.col("only") == F.col("_g"), "left").where("nth is null or best >= nth").select("file", "k", "only", "best", "nth")
+    return first.unionByName(read(second)), groups, second
+
+
 def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], item: str, n: int, place: str = "place") -> DataFrame:
     """(groups, place, item): the first n items of every group, fewer if there are fewer: highest score first, then the ties rising, then the item.
 
@@ -89,22 +118,15 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], item: s
     A null tie comes after all others. Equal scores are never skipped, so the order is one and the same however the rows arrive. Times among the ties are
     compared in microseconds. Other columns are not read; an empty table gives no rows.
     """
-    spark = df.sparkSession
     kinds = dict(df.dtypes)
     tie_columns = [(F.unix_micros(F.col(t)) if kinds[t] == "timestamp" else F.col(t)).alias(f"tie{k}") for k, t in enumerate(ties)]
-    x = df.select(*[F.col(g).alias(f"g{k}") for k, g in enumerate(groups)], F.col(score).cast("double").alias("score"), *tie_columns, F.col(item).alias("item"))
-    x = x.where(" and ".join(f"g{k} is not null" for k in range(len(groups))) + " and item is not null and score is not null and not isnan(score) and abs(score) < double('inf')")
-    x = x.withColumn("score", F.col("score") + 0.0)  # one zero
     gs, ts = [f"g{k}" for k in range(len(groups))], [f"tie{k}" for k in range(len(ties))]
+    x = df.select(*[F.col(g).alias(a) for g, a in zip(groups, gs, strict=True)], F.col(score).cast("double").alias("score"), *tie_columns, F.col(item).alias("item"))
+    x = x.where(" and ".join(f"{g} is not null" for g in gs) + " and item is not null and score is not null and not isnan(score) and abs(score) < double('inf')")
+    x = x.withColumn("score", F.col("score") + 0.0)  # one zero
+    # one text for the group, its parts told apart by their lengths, whose least and greatest a footer gives
+    x = x.withColumn("g", F.concat_ws("", *[part for g in gs for part in (F.length(F.col(g).cast("string")).cast("string"), F.lit(":"), F.col(g).cast("string"))]))
     order = [F.desc("score"), *[F.asc_nulls_last(t) for t in ts], F.asc("item")]
-    path = scratch(spark, "topn")
-    files = clustered(x, gs, order, path, df.count())
-    if not files:
-        kept = x
-    else:
-        schema = ", ".join(f"{c} {t}" for c, t in x.dtypes)
-        listing = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
-        kept = listing.mapInPandas(_reader(gs, ts, "item", n), schema)
-    # a group in several files has its repeated items in one of them: copies sort alike
-    ranked = kept.withColumn("place", F.row_number().over(W.partitionBy(*gs).orderBy(*order))).where(F.col("place") <= n)
-    return ranked.select(*[F.col(f"g{k}").alias(g) for k, g in enumerate(groups)], F.col("place").alias(place), F.col("item").alias(item))
+    kept, _, _ = rounds(x, order, ts, n)
+    ranked = _placed(kept, order, n)
+    return ranked.select(*[F.col(a).alias(g) for a, g in zip(gs, groups, strict=True)], F.col("place").alias(place), F.col("item").alias(item))
