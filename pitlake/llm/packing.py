@@ -1,7 +1,8 @@
 """Items laid into containers of fixed capacity, by harmonic packing.
 
 Sizes are partitioned into reciprocal-capacity classes: class k holds those of at most 1/k of the capacity, and more than 1/(k+1), of which k always fit in
-one container. Each worker fills each class's containers with that fixed count, independently of the others; items below the last class first fill what
+one container. Each worker fills each class's containers with that fixed count, independently of the others, for its share of the items: how many shares
+there are follows from the number of items, so that the result is the same on every cluster. Within a share, items below the last class first fill what
 the larger ones leave over, then containers of their own. An item above the capacity is cut into full containers and a rest, which is packed as an item.
 """
 
@@ -16,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlake.session import materialised
+
 #: Classes of fixed counts; items of at most capacity / (CLASSES + 1) fill gaps.
 CLASSES = 24
-#: Items that a worker packs at once; bounds its memory.
-CHUNK = 200_000
+#: Items of a partition, as hashed by item: more would hardly lift the fill. And items that a worker packs at once, which bounds its memory.
+SHARE, CHUNK = 20_000, 200_000
 
 
 def harmonic(sizes: list[int], capacity: int, classes: int = CLASSES) -> tuple[list[int], int]:
@@ -73,7 +76,7 @@ def harmonic(sizes: list[int], capacity: int, classes: int = CLASSES) -> tuple[l
 def packed(df: DataFrame, item: str, size: str, capacity: int, classes: int = CLASSES, partitions: int | None = None) -> DataFrame:
     """(container, item, part, start, length): every item once, or its consecutive parts if it is larger than capacity; no container holds more than capacity.
 
-    container is unique over all workers and the same whenever the same items are packed with the same number of partitions. A null size counts as 0; items
+    container is unique over all workers and the same whenever the same items are packed, whatever the cluster, unless a number of partitions is given. A null size counts as 0; items
     of size 0 are laid into a container too. A negative size is an error. Repeated items are laid as often as they come. An empty table gives no rows.
     """
     kind = dict(df.dtypes)[item]
@@ -107,8 +110,10 @@ def packed(df: DataFrame, item: str, size: str, capacity: int, classes: int = CL
             yield settle(pd.concat(held, ignore_index=True))
 
     x = df.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    out = x.repartition(n, F.xxhash64("item")).sortWithinPartitions("item", "size").mapInPandas(run, f"container bigint, item {kind}, part int, start bigint, length bigint")
+    if partitions is None:  # counted from a table of numbers, so that sizes aren't worked out twice
+        x = materialised(x, "sizes")
+        partitions = max(1, math.ceil(x.count() / SHARE))
+    out = x.repartition(partitions, F.xxhash64("item")).sortWithinPartitions("item", "size").mapInPandas(run, f"container bigint, item {kind}, part int, start bigint, length bigint")
     return out.withColumnRenamed("item", item)
 
 

@@ -149,3 +149,15 @@ def test_cuts_are_natural(spark):
     assert all(x.text.startswith("# Part") for x in got)
     with pytest.raises(ValueError):
         pieces(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text", 80, 40)
+
+
+def test_packing_is_the_same_on_every_cluster(spark, monkeypatch):
+    """How rows arrive, and in how many partitions, changes nothing."""
+    from pitlake.llm import packing
+
+    monkeypatch.setattr(packing, "SHARE", 500)
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, r.randrange(1, 200)) for i in range(2600)], "id bigint, size int")
+    a = sorted(map(tuple, packed(df.repartition(7), "id", "size", 64).collect()))
+    assert a == sorted(map(tuple, packed(df.orderBy(F.desc("size")).coalesce(1), "id", "size", 64).collect()))
+    assert len({x[0] >> 40 for x in a}) == 6
