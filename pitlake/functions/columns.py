@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,13 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_cdf_array(z: np.ndarray) -> np.ndarray:
+    """normal_cdf of a whole array, for functions that take columns in batches."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    upper = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * np.polyval(_TAIL[::-1], t)
+    return np.where(z >= 0, 1 - upper, upper)
+
+
 def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
     out = F.lit(0.0)
     for c in coefficients:

@@ -115,111 +115,3 @@ def greedy(budget: int) -> Callable[[], Step]:
         return step
 
     return start
-
-
-def boxes(confirm: int = 3, year: int = 12) -> Callable[[], Step]:
-    """Boxes of a bar series: a top once ``confirm`` highs in a row stay below a high of the last ``year`` bars, then a bottom likewise for lows; a close
-    above the top of a complete box breaks out, one below its bottom cancels it. Rows: (key, day, high, low, close)."""
-
-    def start() -> Step:
-        highs: list[float] = []
-        lows: list[float] = []
-        state, top, bottom, count = "none", 0.0, 0.0, 0
-
-        def step(row: tuple) -> tuple:
-            nonlocal state, top, bottom, count
-            full = len(highs) >= year
-            peak = full and row.high >= max(highs[-year:])
-            highs.append(row.high)
-            lows.append(row.low)
-            del highs[: -year - 1], lows[: -confirm - 1]
-            event = None
-            if not full:
-                return row.key, row.day, event, None, None
-            if state == "box":
-                shown = (top, bottom)
-                if row.close > top or row.close < bottom:
-                    event = "breakout" if row.close > top else "cancel"
-                    state = "none"
-                    if peak:
-                        state, top, count = "top", row.high, 0
-                return row.key, row.day, event, *(shown if event == "breakout" else (None, None))
-            if state == "bottom":
-                if row.high > top:
-                    state, top, count = "top", row.high, 0
-                elif row.low < bottom:
-                    bottom, count = row.low, 0
-                else:
-                    count += 1
-            elif state == "top" and row.high < top:
-                count += 1
-                if count >= confirm:
-                    last = lows[-confirm:]
-                    place = last.index(min(last))
-                    state, bottom, count = "bottom", last[place], len(last) - 1 - place
-            elif peak:
-                state, top, count = "top", row.high, 0
-            if state == "bottom" and count >= confirm:
-                state, event = "box", "box"
-            return row.key, row.day, event, *((top, bottom) if event else (None, None))
-
-        return step
-
-    return start
-
-
-def band_flips(cost: float = 0.0) -> Callable[[], Step]:
-    """Positions of one session by bands around its start, checked at each bar and traded at its next open: long above the upper band, short below the lower,
-    flat once the price falls back within the band and the mean. Rows: (key, slot, price, upper, lower, mean, following, last), following the price to
-    trade at; bands null where unknown. Out: key, slot, position, gain."""
-
-    def start() -> Step:
-        side, entry = 0, 0.0
-
-        def step(row: tuple) -> tuple:
-            nonlocal side, entry
-            gain = 0.0
-            if not (pd.isna(row.upper) or pd.isna(row.lower) or pd.isna(row.following)):
-                if (side > 0 and row.price < max(row.upper, row.mean)) or (side < 0 and row.price > min(row.lower, row.mean)):
-                    gain += side * (row.following / entry - 1) - cost
-                    side = 0
-                wanted = 1 if row.price > row.upper else -1 if row.price < row.lower else 0
-                if not side and wanted and not row.last:
-                    side, entry = wanted, row.following
-                    gain -= cost
-            if side and row.last:
-                gain += side * (row.price / entry - 1) - cost
-                side = 0
-            return row.key, row.slot, side, gain
-
-        return step
-
-    return start
-
-
-def box_reversion(cost: float = 0.0) -> Callable[[], Step]:
-    """At most one trade a session within a box: entered at the next open after a close in its outer quarters, left at the next open once the close reaches the
-    middle or leaves the box by a quarter of its width, else at the last close. Rows: (key, slot, close, following, high, low, last). Out: key, slot, position, gain."""
-
-    def start() -> Step:
-        side, entry, done = 0, 0.0, False
-
-        def step(row: tuple) -> tuple:
-            nonlocal side, entry, done
-            gain, width = 0.0, row.high - row.low
-            if not done and width == width and width > 0:
-                middle, quarter = (row.high + row.low) / 2, width / 4
-                if side:
-                    back = row.close >= middle if side > 0 else row.close <= middle
-                    out = row.close < row.low - quarter if side > 0 else row.close > row.high + quarter
-                    if back or out or row.last:
-                        gain = side * ((row.close if row.last else row.following) / entry - 1) - 2 * cost
-                        side, done = 0, True
-                elif not row.last:
-                    side = 1 if row.close <= row.low + quarter else -1 if row.close >= row.high - quarter else 0
-                    entry = row.following if side else 0.0
-            return row.key, row.slot, side, gain
-
-        return step
-
-    return start

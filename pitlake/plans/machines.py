@@ -1,4 +1,4 @@
-"""Order-dependent queries (folds), graph, ledger and run-log queries."""
+"""Order-dependent queries (folds and stretches of rows), graph, ledger and run-log queries."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import back
-from pitlake.operators.folds import band_flips, betting, box_reversion, boxes, brake, fold, sticky_exposure
+from pitlake.functions.quantiles import exact_medians
+from pitlake.operators.folds import betting, brake, fold, sticky_exposure
 from pitlake.plans.registry import query
 from pitlake.plans.views import bars_30m, bars_m, edges, px_d, using
 from pitlake.plans.windows import by_day, by_sym
@@ -65,11 +66,50 @@ def betting_process(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(F.col("key").alias("sym"), "day", F.round("stake", 6).alias("stake"), F.round("best", 6).alias("best"))
 
 
-@query()
+#: Bars before a top, and bars after it and after a bottom, that must not pass it.
+SPAN, CONFIRM = 12, 3
+
+
+@query(
+    using("bars_m")
+    + f""", b as (select sym, day, high, low, close, row_number() over w as i, max(high) over past as past, count(*) over past as k, max(high) over ahead as after, min(low) over ahead as lows, count(*) over ahead as n from bars_m
+  window w as (partition by sym order by day), past as (partition by sym order by day rows between {SPAN} preceding and 1 preceding), ahead as (partition by sym order by day rows between 1 following and {CONFIRM} following)),
+g as (select *, count(*) filter (where k = {SPAN} and high >= past and n = {CONFIRM} and after < high) over (partition by sym order by i) as seg from b),
+h as (select *, row_number() over w as pos, first_value(high) over w as lid, lead(seg, {CONFIRM}) over (partition by sym order by i) as seg3, max(high) over (partition by sym, seg order by i rows between unbounded preceding and {CONFIRM} following) as most from g window w as (partition by sym, seg order by i)),
+c as (select *, seg > 0 and pos > 1 and seg3 = seg and lows >= low and most <= lid and low = min(case when pos > 1 then low end) over (partition by sym, seg order by i) as base from h),
+f as (select *, base and i = min(case when base then i end) over (partition by sym, seg) as bottom from c),
+d as (select *, coalesce(lag(bottom, {CONFIRM}) over w, false) as done, lag(lid, {CONFIRM}) over w as top0, lag(low, {CONFIRM}) over w as low0 from f window w as (partition by sym order by i)),
+l as (select *, last_value(case when done then i end ignore nulls) over p as box, last_value(case when done then top0 end ignore nulls) over p as top, last_value(case when done then low0 end ignore nulls) over p as bot from d window p as (partition by sym order by i rows between unbounded preceding and 1 preceding)),
+e as (select *, case when close > top then 'breakout' when close < bot then 'cancel' end as ends from l), o as (select *, i = min(case when ends is not null then i end) over (partition by sym, box) as first from e)
+select sym, day, 'box' as event, top0 as top, low0 as bottom from d where done union all select sym, day, ends, top, bot from o where first and box is not null"""
+)
 def box_breakouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Completed, broken and cancelled boxes of each symbol's bars: a state machine streamed over sorted rows."""
-    x = bars_m(spark, folder).select(F.col("sym").alias("key"), "day", "high", "low", "close")
-    return fold(x, ["key"], ["day"], boxes(), "key bigint, day date, event string, top double, bottom double").where("event is not null").withColumnRenamed("key", "sym")
+    """Completed, broken and cancelled boxes of each symbol's bars.
+
+    A bar is a top if its high is the highest of SPAN bars before and above those of CONFIRM bars after it. The stretch from a top to the next one has a bottom:
+    its first bar whose low none in the stretch before and none of the CONFIRM bars after goes below, as long as no high passes the top. With those bars the
+    box is complete; the first later close above its top breaks out, below its bottom cancels it. A later box takes the place of one that is still open.
+    No state is carried: stretches are numbered by a running count of tops, and a bar's box is the last that was complete before it.
+    """
+    w = by_sym()
+    past, after = w.rowsBetween(-SPAN, -1), w.rowsBetween(1, CONFIRM)
+    top = (F.count("*").over(past) == SPAN) & (F.col("high") >= F.max("high").over(past)) & (F.count("*").over(after) == CONFIRM) & (F.max("high").over(after) < F.col("high"))
+    x = bars_m(spark, folder).select("sym", "day", "high", "low", "close", F.row_number().over(w).alias("i"), F.coalesce(top, F.lit(False)).cast("int").alias("top"), F.min("low").over(after).alias("lows"))
+    x = x.withColumn("seg", F.sum("top").over(w))
+    own = W.partitionBy("sym", "seg").orderBy("i")
+    x = x.select("*", F.row_number().over(own).alias("pos"), F.first("high").over(own).alias("lid"), F.lead("seg", CONFIRM).over(w).alias("seg3"), F.max("high").over(own.rowsBetween(W.unboundedPreceding, CONFIRM)).alias("most"))
+    base = (F.col("seg") > 0) & (F.col("pos") > 1) & (F.col("seg3") == F.col("seg")) & (F.col("lows") >= F.col("low")) & (F.col("most") <= F.col("lid")) & (F.col("low") == F.min(F.when(F.col("pos") > 1, F.col("low"))).over(own))
+    x = x.withColumn("base", F.coalesce(base, F.lit(False)))
+    x = x.withColumn("bottom", F.col("base") & (F.col("i") == F.min(F.when(F.col("base"), F.col("i"))).over(W.partitionBy("sym", "seg"))))
+    done = F.lag(F.when(F.col("bottom"), F.struct(F.col("lid").alias("top"), F.col("low").alias("bottom"), (F.col("i") + CONFIRM).alias("box"))), CONFIRM).over(w)
+    x = x.select("sym", "day", "close", "i", done.alias("done"))
+    x = x.withColumn("now", F.last("done", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    x = x.withColumn("ends", F.when(F.col("close") > F.col("now.top"), "breakout").when(F.col("close") < F.col("now.bottom"), "cancel"))
+    first = F.col("i") == F.min(F.when(F.col("ends").isNotNull(), F.col("i"))).over(W.partitionBy("sym", "now.box"))
+    x = x.withColumn("first", F.coalesce(first, F.lit(False)) & F.col("now").isNotNull())
+    event = lambda name, box: F.struct(name.alias("event"), F.col(f"{box}.top").alias("top"), F.col(f"{box}.bottom").alias("bottom"))
+    found = F.array_compact(F.array(F.when(F.col("done").isNotNull(), event(F.lit("box"), "done")), F.when(F.col("first"), event(F.col("ends"), "now"))))
+    return x.select("sym", "day", F.explode(found).alias("e")).select("sym", "day", "e.*")
 
 
 @query(
@@ -108,7 +148,8 @@ def session_average(spark: SparkSession, folder: str) -> DataFrame:
 def half_day_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Days with at least half a symbol's median count."""
     d = bars_30m(spark, folder).groupBy("sym", "day").agg(F.sum("n").alias("n"))
-    return d.withColumn("m", F.median("n").over(W.partitionBy("sym"))).where("n >= 0.5 * m").select("sym", "day", "n")
+    m = exact_medians(d, "sym", "n", "m").select(F.col("sym").alias("_s"), "m")
+    return d.join(m, F.col("sym") == F.col("_s")).where("n >= 0.5 * m").select("sym", "day", "n")
 
 
 @query(
@@ -174,6 +215,10 @@ def decision_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("seq", "accession", F.round("outcome", 6).alias("outcome"), F.round("signal", 6).alias("signal"))
 
 
+_SESSIONS = """, d0 as (select sym, day, max(high) as h, min(low) as lo, last(close order by slot) as c from bars_30m group by 1, 2), d as (select sym, day, lag(h) over w as high0, lag(lo) over w as low0, lag(c) over w as close0 from d0 window w as (partition by sym order by day)),
+s as (select b.*, high0, low0, close0, first_value(open) over v as start, lead(open) over v as following, lead(b.slot) over v is null as last, b.sym || '|' || b.day as key from bars_30m b join d using (sym, day) window v as (partition by b.sym, b.day order by b.slot))"""
+
+
 def _sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Half-hour bars with their session's start, the next open, and the session before's range and last close."""
     b = bars_30m(spark, folder)
@@ -185,19 +230,54 @@ def _sessions(spark: SparkSession, folder: str) -> DataFrame:
     return x.withColumn("key", F.concat_ws("|", "sym", F.col("day").cast("string")))
 
 
-@query()
+#: Cost of one side of a trade within a session.
+SIDE = 0.0005
+
+
+@query(
+    using("bars_30m") + _SESSIONS
+    + f""", m as (select *, abs(close / nullif(start, 0) - 1) as move from s), u as (select *, case when count(move) over p >= 7 then avg(move) over p end as usual, sum(turnover) over v / sum(n) over v as mean from m
+  window p as (partition by sym, hm order by day rows between 14 preceding and 1 preceding), v as (partition by sym, day order by slot)),
+w as (select *, greatest(start, close0) * (1 + usual) as upper, least(start, close0) * (1 - usual) as lower from u),
+g as (select *, case when last then 0 when usual is null or close0 is null or mean is null then null when close > greatest(upper, mean) then 1 when close < least(lower, mean) then -1 else 0 end as wanted from w),
+q as (select *, coalesce(last_value(wanted ignore nulls) over (partition by sym, day order by slot), 0) as position from g), r as (select *, coalesce(lag(position) over (partition by sym, day order by slot), 0) as before from q)
+select key, slot, cast(position as int) as position, round(before * coalesce(coalesce(following, close) / nullif(open, 0) - 1, 0) - {SIDE} * abs(position - before), 9) + 0.0 as gain from r"""
+)
 def noise_bands(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions by bands as wide as the usual move at that time of day on the 14 days before, around the start and the last close; a fold for each session."""
+    """Positions by bands as wide as the usual move at that time of day on the 14 days before, around the session's start and the last close.
+
+    At each bar: long above both the upper band and the session's mean, short below both the lower band and the mean, flat between and at the last bar, as
+    before where a band isn't known. Traded at the next open, at the last close in the end. What is held follows from the bar alone, so there is no state.
+    """
     p = W.partitionBy("sym", "hm").orderBy("day").rowsBetween(-14, -1)
     s = W.partitionBy("sym", "day").orderBy("slot")
     x = _sessions(spark, folder).withColumn("move", F.abs(F.try_divide("close", "start") - 1))
     x = x.select("*", F.when(F.count("move").over(p) >= 7, F.avg("move").over(p)).alias("usual"), (F.sum("turnover").over(s) / F.sum("n").over(s)).alias("mean"))
-    x = x.select("key", "slot", F.col("close").alias("price"), (F.greatest("start", "close0") * (1 + F.col("usual"))).alias("upper"), (F.least("start", "close0") * (1 - F.col("usual"))).alias("lower"), "mean", "following", "last")
-    return fold(x, ["key"], ["slot"], band_flips(0.0005), "key string, slot timestamp, position int, gain double").withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+    upper, lower = F.greatest("start", "close0") * (1 + F.col("usual")), F.least("start", "close0") * (1 - F.col("usual"))
+    unknown = F.col("usual").isNull() | F.col("close0").isNull() | F.col("mean").isNull()
+    wanted = F.when(F.col("last"), 0).when(unknown, F.lit(None)).when(F.col("close") > F.greatest(upper, "mean"), 1).when(F.col("close") < F.least(lower, "mean"), -1).otherwise(0)
+    x = x.withColumn("wanted", wanted).withColumn("position", F.coalesce(F.last("wanted", ignorenulls=True).over(s), F.lit(0))).withColumn("before", F.coalesce(F.lag("position").over(s), F.lit(0)))
+    gain = F.col("before") * F.coalesce(F.try_divide(F.coalesce("following", "close"), "open") - 1, F.lit(0.0)) - SIDE * F.abs(F.col("position") - F.col("before"))
+    return x.select("key", F.col("slot").cast("timestamp_ntz").alias("slot"), "position", (F.round(gain, 9) + 0.0).alias("gain"))
 
 
-@query()
+@query(
+    using("bars_30m") + _SESSIONS
+    + f""", x as (select *, (high0 - low0) / 4 as quarter, (high0 + low0) / 2 as middle from s where high0 > low0), y as (select *, case when close <= low0 + quarter then 1 when close >= high0 - quarter then -1 end as wants from x),
+e as (select key, min(slot) as entered, arg_min(wants, slot) as side, arg_min(following, slot) as entry from y where wants is not null and not last group by key),
+l as (select y.key, min(slot) as out, arg_min(case when last then close else following end, slot) as price from y join e using (key) where slot > entered and (last or (side > 0 and (close >= middle or close < low0 - quarter)) or (side < 0 and (close <= middle or close > high0 + quarter))) group by y.key)
+select key, cast(side as int) as side, entered, out, round(side * (price / nullif(entry, 0) - 1) - 2 * {SIDE}, 9) as gain from e join l using (key)"""
+)
 def box_reversions(spark: SparkSession, folder: str) -> DataFrame:
-    """One trade a session within the range of the session before; a fold for each session."""
-    x = _sessions(spark, folder).where("high0 is not null").select("key", "slot", "close", "following", F.col("high0").alias("high"), F.col("low0").alias("low"), "last")
-    return fold(x, ["key"], ["slot"], box_reversion(0.0005), "key string, slot timestamp, position int, gain double").withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+    """At most one trade a session within the range of the session before: entered at the next open after the first close in an outer quarter, left at the next
+    open once a close reaches the middle or leaves the range by a quarter of its width, else at the last close. Two ordered aggregates, no state."""
+    x = _sessions(spark, folder).where("high0 > low0").withColumn("quarter", (F.col("high0") - F.col("low0")) / 4).withColumn("middle", (F.col("high0") + F.col("low0")) / 2)
+    wants = F.when(F.col("close") <= F.col("low0") + F.col("quarter"), 1).when(F.col("close") >= F.col("high0") - F.col("quarter"), -1)
+    own = W.partitionBy("key")
+    first = F.min(F.when(~F.col("last"), F.when(F.col("wants").isNotNull(), F.struct("slot", "wants", "following")))).over(own)
+    x = x.withColumn("wants", wants).withColumn("e", first).where(F.col("slot") > F.col("e.slot"))
+    side = F.col("e.wants")
+    left = F.col("last") | ((side > 0) & ((F.col("close") >= F.col("middle")) | (F.col("close") < F.col("low0") - F.col("quarter")))) | ((side < 0) & ((F.col("close") <= F.col("middle")) | (F.col("close") > F.col("high0") + F.col("quarter"))))
+    x = x.where(left).groupBy("key", "e").agg(F.min(F.struct("slot", F.when(F.col("last"), F.col("close")).otherwise(F.col("following")).alias("price"))).alias("o"))
+    gain = side * (F.try_divide("o.price", "e.following") - 1) - 2 * SIDE
+    return x.select("key", side.alias("side"), F.col("e.slot").cast("timestamp_ntz").alias("entered"), F.col("o.slot").cast("timestamp_ntz").alias("out"), F.round(gain, 9).alias("gain"))

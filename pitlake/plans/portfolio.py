@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitlake.functions.columns import back, clip, div, normal_cdf, normal_ppf
-from pitlake.operators.folds import fold
+from pitlake.functions.columns import back, div, normal_cdf, normal_cdf_array, normal_ppf
+from pitlake.functions.quantiles import exact_quantiles
 from pitlake.plans.registry import query
 from pitlake.plans.scores import _cdf_sql
 from pitlake.plans.views import bars_m, preds, px_d, using
@@ -128,7 +130,9 @@ def capture_ratios(spark: SparkSession, folder: str) -> DataFrame:
 def rescued_units(spark: SparkSession, folder: str) -> DataFrame:
     """A coarse rescue of figures without a unit: the first of three factors that brings them near the usual size; null if none does."""
     q = table(spark, folder, "quarters")
-    ref = q.where("unit_note is not null and value > 0").where(F.lower(F.trim("unit_note")).isin("usd", "$", "us dollars")).agg(F.exp(F.median(F.log("value")))).first()[0]  # one number
+    ref = q.where("unit_note is not null and value > 0").where(F.lower(F.trim("unit_note")).isin("usd", "$", "us dollars"))
+    ref = exact_quantiles(ref, [], {"v": F.log("value")}).first()  # one number
+    ref = F.lit(math.exp(ref["v"]) if ref else None)
     near = lambda k: (F.col("value") * k).between(0.01 * ref, 100 * ref)
     x = q.where("unit_note is null").select("fact_id", "value", "unit_note", "source").distinct()
     return x.select("fact_id", F.when(near(1.0), 1).when(near(1e3), 1000).when(near(1e6), 1_000_000).cast("int").alias("factor"))
@@ -150,58 +154,53 @@ def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("arm", "n", F.round(z, 3).alias("z"), F.round(F.lit(luck), 6).alias("threshold"))
 
 
-@query()
+def call_price(strike: np.ndarray, deviation: np.ndarray, spot: float, rate: float, years: float) -> np.ndarray:
+    """Calls in closed form, a column at a time."""
+    with np.errstate(all="ignore"):
+        d1 = (np.log(spot / strike) + (rate + deviation**2 / 2) * years) / (deviation * math.sqrt(years))
+        return spot * normal_cdf_array(d1) - strike * math.exp(-rate * years) * normal_cdf_array(d1 - deviation * math.sqrt(years))
+
+
+@query(
+    "with o as (select c_custkey, 100.0::double as s, 80.0 + c_custkey % 41 as k, 0.1 + (c_custkey % 7) * 0.05 as v, 0.5 as t from customer), d as (select *, (ln(s / k) + (0.03 + v * v / 2) * t) / (v * sqrt(t)) as d1 from o), e as (select *, d1 - v * sqrt(t) as d2 from d) select c_custkey, round(s * ("
+    + _cdf_sql("d1") + ") - k * exp(-0.03 * t) * (" + _cdf_sql("d2") + "), 4) as price, cast(round(v, 4) as double) as implied, cast(round(v, 4) as double) as true from e"
+)
 def implied_deviation(spark: SparkSession, folder: str) -> DataFrame:
-    """The deviation that explains a call's price, by 40 halvings of an interval held in a struct: a fold in the JVM."""
+    """The deviation that explains a call's price, found by halving an interval 40 times for a whole batch of options at once."""
     s, r, t = 100.0, 0.03, 0.5
 
-    def call(k: Column, v: Column) -> Column:
-        d1 = (F.log(F.lit(s) / k) + (r + v * v / 2) * t) / (v * math.sqrt(t))
-        return s * normal_cdf(d1) - k * math.exp(-r * t) * normal_cdf(d1 - v * math.sqrt(t))
+    @F.pandas_udf("double")
+    def implied(k: pd.Series, price: pd.Series) -> pd.Series:
+        strike, want = k.to_numpy(float), price.to_numpy(float)
+        low, high = np.full(len(k), 0.001), np.full(len(k), 3.0)
+        for _ in range(40):
+            middle = (low + high) / 2
+            below = call_price(strike, middle, s, r, t) < want
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+        return pd.Series((low + high) / 2)
 
     x = table(spark, folder, "customer").select("c_custkey", (80.0 + F.pmod("c_custkey", F.lit(41))).alias("k"), (0.1 + F.pmod("c_custkey", F.lit(7)) * 0.05).alias("v"))
-    x = x.withColumn("price", call(F.col("k"), F.col("v")))
-    start = F.struct(F.lit(0.001).alias("lo"), F.lit(3.0).alias("hi"))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = call(F.col("k"), mid) < F.col("price")
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
-    return x.select("c_custkey", F.round("price", 4).alias("price"), F.round(found, 4).alias("implied"), F.round("v", 4).alias("true"))
-
-
-def weight_book(cost_bps: float = 5.0):
-    """A book that trades to its target weight at the next open and drifts between: rows (key, day, open, close, weight), weight null to hold."""
+    d1 = (F.log(F.lit(s) / F.col("k")) + (r + F.col("v") * F.col("v") / 2) * t) / (F.col("v") * math.sqrt(t))
+    x = x.withColumn("d1", d1).withColumn("price", s * normal_cdf(F.col("d1")) - F.col("k") * math.exp(-r * t) * normal_cdf(F.col("d1") - F.col("v") * math.sqrt(t)))
+    return x.select("c_custkey", F.round("price", 4).alias("price"), F.round(implied("k", "price"), 4).alias("implied"), F.round("v", 4).alias("true"))
 
-    def start():
-        state = {"equity": 1.0, "held": 0.0, "last": None, "target": None}
 
-        def step(row):
-            s = state
-            if s["last"] is not None:
-                s["equity"] *= 1 + s["held"] * (row.open / s["last"] - 1)
-                traded = 0.0
-                if s["target"] is not None:
-                    traded, s["held"], s["target"] = abs(s["target"] - s["held"]), s["target"], None
-                    s["equity"] *= 1 - traded * cost_bps / 1e4
-                s["equity"] *= 1 + s["held"] * (row.close / row.open - 1)
-            else:
-                traded = 0.0
-            if row.weight is not None and row.weight == row.weight:
-                s["target"] = row.weight
-            s["last"] = row.close
-            return row.key, row.day, s["equity"], s["held"], traded
-
-        return step
-
-    return start
-
-
-@query()
+@query(
+    using("bars_m")
+    + """, x as (select sym, day, open, close, lag(close) over w as last, case when close > lag(close, 3) over w then 1.0::double when close <= lag(close, 3) over w then 0.0::double end as weight from bars_m window w as (partition by sym order by day)),
+h as (select *, coalesce(last_value(weight ignore nulls) over (partition by sym order by day rows between unbounded preceding and 1 preceding), 0) as held from x), b as (select *, coalesce(lag(held) over (partition by sym order by day), 0) as before from h),
+f as (select *, case when last is null then 1.0 else (1 + before * (open / last - 1)) * (1 - abs(held - before) * 5 / 1e4) * (1 + held * (close / open - 1)) end as f from b)
+select sym as key, day, round(exp(sum(ln(f)) over (partition by sym order by day)), 8) as equity, held, abs(held - before) as traded from f"""
+)
 def weight_books(spark: SparkSession, folder: str) -> DataFrame:
-    """Equity of a trend book for each symbol: signals at a close are traded at the next open. Symbols are independent, so they fold in parallel."""
-    m = F.lag("close", 3).over(by_sym())
-    x = bars_m(spark, folder).select(F.col("sym").alias("key"), "day", "open", "close", clip(F.when(F.col("close") > m, 1.0).when(F.col("close") <= m, 0.0), 0, 1).alias("weight"))
-    return fold(x, ["key"], ["day"], weight_book(), "key bigint, day date, equity double, held double, traded double")
+    """Equity of a trend book for each symbol: a target known at a close is traded at the next open and held until there is another, each trade costs 5 bp.
+
+    What is held is the last target before the bar, so equity is a running product of each bar's factor, summed as logarithms; no state is carried.
+    """
+    w = by_sym()
+    m = F.lag("close", 3).over(w)
+    x = bars_m(spark, folder).select("sym", "day", "open", "close", F.lag("close").over(w).alias("last"), F.when(F.col("close") > m, 1.0).when(F.col("close") <= m, 0.0).alias("weight"))
+    x = x.withColumn("held", F.coalesce(F.last("weight", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("before", F.coalesce(F.lag("held").over(w), F.lit(0.0)))
+    traded = F.abs(F.col("held") - F.col("before"))
+    factor = F.when(F.col("last").isNull(), 1.0).otherwise((1 + F.col("before") * (F.col("open") / F.col("last") - 1)) * (1 - traded * 5 / 1e4) * (1 + F.col("held") * (F.col("close") / F.col("open") - 1)))
+    return x.withColumn("f", F.log(factor)).select(F.col("sym").alias("key"), "day", F.round(F.exp(F.sum("f").over(w)), 8).alias("equity"), "held", traded.alias("traded"))

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import average_rank, back, clip, correlation, div, last_friday, percent_of, third_friday
-from pitlake.operators.folds import fold
-from pitlake.operators.recipes import compiled, parse
-from pitlake.operators.resampling import interval, path_cone
+from pitlake.functions.quantiles import exact_quantiles
+from pitlake.operators.pairs import closest_pairs
+from pitlake.operators.recipes import compiled
+from pitlake.operators.resampling import difference, intercept, interval, mean, mean_to_deviation, path_cone, slope
 from pitlake.plans.registry import query
-from pitlake.plans.scores import _ics
+from pitlake.plans.scores import _RANKED, _ics
 from pitlake.plans.views import bars_m, preds, px_d, using
 from pitlake.plans.windows import by_day, by_sym
 from pitlake.sources.tables import table
 
-_RECIPE = {"name": "Depth", "terms": [{"field": "ret", "sign": 1}, {"field": "p", "sign": -1}, {"field": "arm=walkbox_utc", "sign": 1}]}
+_SIGNAL = "+ ret - p + arm:walkbox_utc"
 
 
 def _rank_sql(x: str) -> str:
@@ -31,9 +34,8 @@ def _rank_sql(x: str) -> str:
 )
 def recipe_score(spark: SparkSession, folder: str) -> DataFrame:
     """A declared signal compiled to percent ranks within months; missing values rank in the middle."""
-    recipe = parse(_RECIPE, ["ret", "p"], {"arm": ["walkbox_utc"]})
     x = preds(spark, folder).select("run_id", "cutoff", "arm", F.when(F.col("up"), F.col("ret")).alias("ret"), "p")
-    return compiled(x, recipe, "cutoff").select("run_id", (F.round("score", 9) + 0.0).alias("score"))
+    return compiled(x, _SIGNAL, "cutoff").select("run_id", (F.round("score", 9) + 0.0).alias("score"))
 
 
 @query(
@@ -73,7 +75,8 @@ def anonymised_window(spark: SparkSession, folder: str) -> DataFrame:
 def tail_trim(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes without the highest and lowest fiftieth."""
     x = preds(spark, folder)
-    lo, hi = x.agg(F.percentile("ret", F.array(F.lit(0.02), F.lit(0.98)))).first()[0] or (None, None)  # two numbers
+    ends = exact_quantiles(x, [], {"ret": F.col("ret")}, (0.02, 0.98)).first()  # two numbers
+    lo, hi = (ends["ret_0"], ends["ret_1"]) if ends else (None, None)
     return x.where(F.col("ret").between(F.lit(lo), F.lit(hi))).groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 9).alias("mean"), F.round(F.min("ret"), 9).alias("low"), F.round(F.max("ret"), 9).alias("high"))
 
 
@@ -185,69 +188,121 @@ def flattened_books(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("cohort", F.explode("books").alias("name", "v")).select("cohort", "name", (F.round("v", 11) + 0.0).alias("v"))
 
 
-@query()
+
+def _start(seed: str, draw: str, block: str, room: str) -> str:
+    return f"cast('0x' || left(md5({seed} || '|' || {draw} || '|' || {block}), 8) as bigint) % ({room})"
+
+
+@query(
+    using("preds") + _RANKED
+    + f""", s as (select arm, ic, row_number() over (partition by arm order by cutoff) - 1 as i, count(*) over (partition by arm) as n from ic),
+d as (select s.arm, t.d, ({_start("0", "t.d", "(s.i // least(3, s.n))", "s.n")} + s.i % least(3, s.n)) % s.n as j from s, range(2000) t(d) where s.n > 1), m as (select d.arm, d.d, avg(s.ic) as m from d join s on s.arm = d.arm and s.i = d.j group by 1, 2),
+q as (select arm, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by arm)
+select arm, count(*) as n, round(avg(ic), 6) + 0.0 as estimate, round(any_value(lo), 6) + 0.0 as lo, round(any_value(hi), 6) + 0.0 as hi from s left join q using (arm) group by arm"""
+)
 def bootstrap_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """95 % intervals of each arm's mean rank correlation, resampling circular blocks of three months with a seeded generator."""
-    return interval(_ics(spark, folder), ["arm"], ["cutoff"], "ic", block=3)
+    """95 % intervals of each arm's mean rank correlation, from 2,000 draws of circular blocks of three months."""
+    x = interval(_ics(spark, folder), ["arm"], ["cutoff"], ["ic"], {"mean": mean("ic")}, block=3)
+    return x.select("arm", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("estimate", "lo", "hi")])
+
+
+_STATISTICS = {"excess": difference("r", "rm"), "sharpe": mean_to_deviation("r", 12.0), "beta": slope("r", "rm"), "alpha": intercept("r", "rm")}
+_SECTORS = """, n as (select s_suppkey as sym, n_regionkey as sector from supplier join nation on n_nationkey = s_nationkey), c as (select day, avg(close) as mc from bars_m group by day), k as (select sector, day, avg(close) as sc from bars_m join n using (sym) group by 1, 2),
+g as (select sector, day, sc / lag(sc) over (partition by sector order by day) - 1 as r, mc / lag(mc) over (partition by sector order by day) - 1 as rm from k join c using (day)), s as (select *, row_number() over (partition by sector order by day) - 1 as i, count(*) over (partition by sector) as n from g where r is not null)"""
+_OF_ROWS = "avg(r) - avg(rm) as excess, avg(r) / stddev_samp(r) * sqrt(12) as sharpe, regr_slope(r, rm) as beta, regr_intercept(r, rm) as alpha"
+
 
+@query(
+    using("bars_m") + _SECTORS
+    + f""", d as (select s.sector, t.d, ({_start("1", "t.d", "(s.i // least(5, s.n))", "s.n - least(5, s.n) + 1")} + s.i % least(5, s.n)) % s.n as j from s, range(500) t(d) where s.n > 1), m as (select d.sector, d.d, {_OF_ROWS} from d join s on s.sector = d.sector and s.i = d.j group by 1, 2),
+l as (unpivot m on excess, sharpe, beta, alpha into name statistic value v), q as (select sector, statistic, quantile_cont(v, 0.1) as lo, quantile_cont(v, 0.9) as hi from l group by 1, 2), e as (select sector, count(*) as n, {_OF_ROWS} from s group by 1), k2 as (unpivot e on excess, sharpe, beta, alpha into name statistic value estimate)
+select cast(sector as bigint) as sector, statistic, n, round(estimate, 6) + 0.0 as estimate, round(lo, 6) + 0.0 as lo, round(hi, 6) + 0.0 as hi from k2 left join q using (sector, statistic)"""
+)
+def benchmark_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """80 % intervals of each sector's excess over the market, yearly Sharpe ratio, beta and alpha: months are drawn in blocks of five that fit, both series together."""
+    n = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    d = table(spark, folder, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sym"), F.col("n_regionkey").cast("bigint").alias("sector"))  # 25 nations
+    b = bars_m(spark, folder)
+    k = b.join(d, "sym").groupBy("sector", "day").agg(F.avg("close").alias("sc")).join(b.groupBy("day").agg(F.avg("close").alias("mc")), "day")
+    w = W.partitionBy("sector").orderBy("day")
+    x = k.select("sector", "day", back("sc", 1, w).alias("r"), back("mc", 1, w).alias("rm"))
+    y = interval(x, ["sector"], ["day"], ["rm", "r"], _STATISTICS, draws=500, block=5, seed=1, circular=False, inside=0.8)
+    return y.select("sector", "statistic", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("estimate", "lo", "hi")])
 
-@query()
+
+@query(
+    using("px_d")
+    + f""", r as (select day, close / lag(close) over (order by day) - 1 as r from px_d), s as (select r, row_number() over (order by day) - 1 as i, count(*) over () as n from r where r is not null), c as (select any_value(n) as n from s),
+p as (select t.p, k.i, {_start("0", "t.p", "(k.i // least(21, c.n))", "c.n - least(21, c.n) + 1")} + k.i % least(21, c.n) as j from c, range(4000) t(p), range(252) k(i)), w as (select p, p.i, sum(ln(1 + r)) over (partition by p order by p.i) as g from p join s on s.i = p.j % c_n(p.p) ),
+m as (select p, i, g, greatest(0, max(g) over (partition by p order by i)) as top from w), e as (select p, exp(last(g order by i)) as final, least(0, min(exp(g - top) - 1)) as worst from m group by p)
+select count(*) as n, round(quantile_cont(final, 0.05), 6) as p5, round(quantile_cont(final, 0.5), 6) as p50, round(quantile_cont(final, 0.95), 6) as p95, round(avg(case when worst <= -0.2 then 1.0 else 0.0 end), 6) as fall from e""".replace("p.j % c_n(p.p) ", "p.j")
+)
 def path_odds(spark: SparkSession, folder: str) -> DataFrame:
     """Quantiles of a year's growth and the odds of falling by a fifth, over 4,000 paths of 21-day blocks of the index's returns."""
-    r = px_d(spark, folder).select("day", back("close", 1, by_day()).alias("r")).where("r is not null").orderBy("day")
-    paths = path_cone([x.r for x in r.collect()], 252, 4000, 21, spark)  # one number for each calendar day
+    paths = path_cone(px_d(spark, folder).select("day", back("close", 1, by_day()).alias("r")), ["day"], "r", 252, 4000, 21)
     return paths.agg(F.count("*").alias("n"), *[F.round(F.percentile("final", q / 100), 6).alias(f"p{q}") for q in (5, 50, 95)], F.round(F.avg((F.col("worst") <= -0.2).cast("double")), 6).alias("fall"))
 
 
-@query()
+@query(
+    using("preds")
+    + f""", x as (select arm, cutoff, run_id, p, ret, count(*) over (partition by arm, cutoff) as n from preds), y as (select arm, cutoff, run_id, {_r('p')} as rp, {_r('ret')} as rr from x where n >= 10), real as (select arm, avg(ic) as real from (select arm, cutoff, case when stddev_pop(rp) > 0 and stddev_pop(rr) > 0 then corr(rp, rr) end as ic from y group by 1, 2) group by 1),
+z as (select arm, cutoff, seed, rr, row_number() over (partition by arm, cutoff, seed order by md5(seed || '|' || run_id), run_id) as rs from y, range(50) t(seed)), m as (select arm, seed, avg(ic) as ic from (select arm, cutoff, seed, case when stddev_pop(rr) > 0 then corr(rs, rr) end as ic from z group by 1, 2, 3) group by 1, 2)
+select arm, round(any_value(real), 6) as real, count(*) as seeds, (count(*) filter (where ic >= real) + 1) / (count(*) + 1) as p from m join real using (arm) group by arm"""
+)
 def permutation_control(spark: SparkSession, folder: str) -> DataFrame:
-    """How often shuffled forecasts reach the true mean rank correlation: 50 seeded orders, each a hash of seed and row, ranked within arm and month."""
+    """How often shuffled forecasts reach the true mean rank correlation: 50 orders, each by a hash of seed and row, ranked within arm and month."""
     x = preds(spark, folder).select("arm", "cutoff", "run_id", "p", "ret", F.count("*").over(W.partitionBy("arm", "cutoff")).alias("n")).where("n >= 10")
     x = x.select("arm", "cutoff", "run_id", average_rank("p", "arm", "cutoff").alias("rp"), average_rank("ret", "arm", "cutoff").alias("rr"))
     real = x.groupBy("arm", "cutoff").agg(correlation("rp", "rr").alias("ic")).groupBy("arm").agg(F.avg("ic").alias("real"))
-    s = x.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("at", F.xxhash64("seed", "run_id"))
+    s = x.select("arm", "cutoff", "run_id", "rr", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("seed")).withColumn("at", F.md5(F.concat_ws("|", F.col("seed").cast("string"), "run_id").cast("binary")))
     s = s.withColumn("rs", F.row_number().over(W.partitionBy("arm", "cutoff", "seed").orderBy("at", "run_id")).cast("double"))
     m = s.groupBy("arm", "seed", "cutoff").agg(correlation("rs", "rr").alias("ic")).groupBy("arm", "seed").agg(F.avg("ic").alias("ic"))
     return m.join(real, "arm").groupBy("arm", "real").agg(F.sum((F.col("ic") >= F.col("real")).cast("int")).alias("reached"), F.count("*").alias("seeds")).select("arm", F.round("real", 6).alias("real"), "seeds", ((F.col("reached") + 1) / (F.col("seeds") + 1)).alias("p"))
 
 
-def pair_trade(entry: float = 1.0, cost: float = 0.001):
-    """A pair's profit and loss: opened at the close after its spread passes entry, closed when the spread crosses 0. Rows: (key, day, a, b, last)."""
+#: Months in which pairs are formed, and the deviations of a pair's spread in those months beyond which it is traded.
+FORMED, BEYOND, COST = 36, 2.0, 0.001
 
-    def start():
-        state = {"a0": None, "side": 0, "pending": 0, "value": 0.0, "ea": 0.0, "eb": 0.0}
 
-        def step(row):
-            s = state
-            if s["a0"] is None:
-                s["a0"], s["b0"] = row.a, row.b
-            spread, pnl = row.a / s["a0"] - row.b / s["b0"], 0.0
-            if s["side"]:
-                value = s["side"] * ((row.a / s["ea"] - 1) - (row.b / s["eb"] - 1))
-                pnl, s["value"] = value - s["value"], value
-                if s["side"] * spread >= 0 or row.last:
-                    pnl -= 2 * cost
-                    s["side"], s["value"] = 0, 0.0
-            elif s["pending"]:
-                pnl = -2 * cost * (2 if row.last else 1)
-                s["side"], s["ea"], s["eb"], s["value"], s["pending"] = (0 if row.last else s["pending"]), row.a, row.b, 0.0, 0
-            elif abs(spread) > entry and not row.last:
-                s["pending"] = -1 if spread > 0 else 1
-            return row.key, row.day, spread, s["side"], pnl
-
-        return step
-
-    return start
-
-
-@query()
+@query(
+    using("bars_m")
+    + f""", s as (select b.*, n_regionkey as sector, row_number() over (order by null) as z from bars_m b join supplier on s_suppkey = sym join nation on n_nationkey = s_nationkey), edge as (select min(day) + interval {FORMED} months as e from bars_m),
+f as (select sym, sector, day, close, day < e as old, first_value(close) over (partition by sym order by day) as c0 from s, edge), g as (select sym, sector, day, close, close / c0 as g, old from f), k as (select sym from g where old group by sym having count(*) >= 24),
+p as (select a.sector, a.sym as a, b.sym as b, sum((a.g - b.g) * (a.g - b.g)) as ssd, stddev_samp(a.g - b.g) as sd from g a join g b on a.sector = b.sector and a.day = b.day and a.sym < b.sym where a.old and b.old and a.sym in (select sym from k) and b.sym in (select sym from k) group by 1, 2, 3 having count(*) >= 24 qualify row_number() over (partition by a.sector order by sum((a.g - b.g) * (a.g - b.g)), a.sym, b.sym) <= 5),
+x as (select p.a, p.b, ga.day, (ga.g - gb.g) / sd as z, ga.close as ca, gb.close as cb from p join g ga on ga.sym = p.a join g gb on gb.sym = p.b and gb.day = ga.day where not ga.old and sd > 0),
+y as (select *, ca / lag(ca) over w - cb / lag(cb) over w as move, sign(z) <> lag(sign(z)) over w as crossed from x window w as (partition by a, b order by day)),
+c as (select *, count(*) filter (where crossed) over (partition by a, b order by day) as stretch from y), o as (select *, min(day) filter (where abs(z) > {BEYOND}) over (partition by a, b, stretch) as opened, max(sign(z)) over (partition by a, b, stretch) as side from c),
+h as (select *, coalesce(lag(opened is not null and day > opened) over w, false) as was, coalesce(lag(opened is not null and day >= opened) over w, false) as due, lag(side) over w as before from o window w as (partition by a, b order by day)),
+t as (select a, b, day, z, case when was then -before * move else 0 end as gain, was, due from h), v as (select *, due <> coalesce(lag(due) over (partition by a, b order by day), false) as turned from t)
+select cast(a as bigint) as a, cast(b as bigint) as b, day, round(z, 6) as z, round(gain - case when turned then 2 * {COST} else 0 end, 8) + 0.0 as pnl from v"""
+)
 def pair_trades(spark: SparkSession, folder: str) -> DataFrame:
-    """Profit and loss by month of neighbouring symbols traded as pairs: a state machine for each pair, streamed over sorted rows."""
-    b = bars_m(spark, folder).select("sym", "day", "close")
-    a = b.select((F.col("sym") + 1).alias("key"), "day", F.col("close").alias("a")).where("key % 2 = 1")
-    x = b.select(F.col("sym").alias("key"), "day", F.col("close").alias("b")).where("key % 2 = 1").join(a, ["key", "day"])
-    x = x.withColumn("last", F.col("day") == F.max("day").over(W.partitionBy("key")))
-    return fold(x.select("key", "day", "a", "b", "last"), ["key"], ["day"], pair_trade(), "key bigint, day date, spread double, side int, pnl double")
+    """Profit and loss by month of the five closest pairs of each sector, formed on the first FORMED months and traded after them.
+
+    A stretch lies between two crossings of the pair's normalised prices. The first month of a stretch in which the spread is beyond BEYOND deviations of the
+    formation opens the pair, short the dearer side, at the next month's close; the month that crosses closes it at its close. Opening and closing cost two
+    legs each. No state is carried: stretches are numbered by a running count of crossings, and what is held follows from the month before.
+    """
+    n = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    d = table(spark, folder, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sym"), F.col("n_regionkey").cast("bigint").alias("sector"))  # 25 nations
+    bars = bars_m(spark, folder)
+    first = bars.agg(F.min("day")).first()[0]  # one day
+    edge = F.add_months(F.lit(first).cast("date"), FORMED)
+    g = bars.join(d, "sym").select("sym", "sector", "day", "close", (F.col("close") / F.first("close").over(by_sym())).alias("g"), (F.col("day") < edge).alias("old"))
+    pairs = closest_pairs(g.where("old"), "sector", "sym", "day", "g", 5, 24).where("sd > 0")
+    later = g.where("not old").select("sym", "day", "close", "g")
+    side = lambda c: later.select(F.col("sym").alias(c), "day", F.col("close").alias(f"c{c}"), F.col("g").alias(f"g{c}"))
+    x = pairs.select("a", "b", "sd").join(side("a"), "a").join(side("b"), ["b", "day"]).withColumn("z", (F.col("ga") - F.col("gb")) / F.col("sd"))
+    w = W.partitionBy("a", "b").orderBy("day")
+    sign = F.signum("z")
+    x = x.select("a", "b", "day", "z", (back("ca", 1, w) - back("cb", 1, w)).alias("move"), F.coalesce(sign != F.lag(sign).over(w), F.lit(False)).cast("int").alias("crossed"), sign.alias("sign"))
+    x = x.withColumn("stretch", F.sum("crossed").over(w))
+    own = W.partitionBy("a", "b", "stretch")
+    x = x.withColumn("opened", F.min(F.when(F.abs("z") > BEYOND, F.col("day"))).over(own)).withColumn("side", F.max("sign").over(own))
+    lag = lambda c: F.coalesce(F.lag(F.coalesce(c, F.lit(False))).over(w), F.lit(False))
+    x = x.select("*", lag(F.col("day") > F.col("opened")).alias("was"), lag(F.col("day") >= F.col("opened")).alias("due"), F.lag("side").over(w).alias("before"))
+    cost = F.when(F.col("due") != F.coalesce(F.lag("due").over(w), F.lit(False)), 2 * COST).otherwise(0.0)
+    return x.select("a", "b", "day", F.round("z", 6).alias("z"), (F.round(F.when(F.col("was"), -F.col("before") * F.col("move")).otherwise(0.0) - cost, 8) + 0.0).alias("pnl"))
 
 
 @query(
@@ -272,23 +327,33 @@ def statement_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("p_partkey", F.round(div(a, b), 6).alias("current_ratio"), F.round(div(a - c, b), 6).alias("quick_ratio"), F.round(div(b, c), 6).alias("leverage"), F.round(z, 6).alias("z"))
 
 
-@query()
+def tree_values(strike: pd.Series, deviation: pd.Series, spot: float, rate: float, years: float, steps: int) -> pd.Series:
+    """Puts that may be exercised early, on a binomial tree: the whole column is rolled back at once, step by step, over an array of nodes by options."""
+    k, up = strike.to_numpy(float), np.exp(deviation.to_numpy(float) * math.sqrt(years / steps))
+    grow, hold = math.exp(rate * years / steps), math.exp(-rate * years / steps)
+    with np.errstate(all="ignore"):
+        q = (grow - 1 / up) / (up - 1 / up)
+        price = lambda n: spot * up ** (2.0 * np.arange(n + 1)[:, None] - n)
+        value = np.maximum(k - price(steps), 0.0)
+        for n in range(steps - 1, -1, -1):
+            value = np.maximum(hold * (q * value[1:] + (1 - q) * value[:-1]), k - price(n))
+    return pd.Series(value[0])
+
+
+@query(
+    """with recursive o as (select distinct 80.0::double + c_custkey % 41 as k, 0.1::double + (c_custkey % 7) * 0.05::double as v from customer), u as (select k, v, exp(v * sqrt(0.5::double / 50)) as u from o), q as (select *, (exp(0.03::double * 0.5 / 50) - 1 / u) / (u - 1 / u) as q from u),
+t as (select k, v, u, q, 50 as n, [greatest(k - 100 * pow(u, 2.0 * i - 50), 0) for i in range(0, 51)] as x from q
+  union all select k, v, u, q, n - 1, [greatest(exp(-0.03::double * 0.5 / 50) * (q * x[i + 2] + (1 - q) * x[i + 1]), k - 100 * pow(u, 2.0 * i - (n - 1))) for i in range(0, n)] from t where n > 0)
+select c.c_custkey, round(t.x[1], 4) as put from customer c join t on t.n = 0 and t.k = 80.0::double + c.c_custkey % 41 and t.v = 0.1::double + (c.c_custkey % 7) * 0.05::double"""
+)
 def tree_price(spark: SparkSession, folder: str) -> DataFrame:
-    """Puts that may be exercised early, priced on a binomial tree of 50 steps held in an array: a fold in the JVM."""
-    steps, r, s, t = 50, 0.03, 100.0, 0.5
-    x = table(spark, folder, "customer").select("c_custkey", (80.0 + F.pmod("c_custkey", F.lit(41))).alias("k"), (0.1 + F.pmod("c_custkey", F.lit(7)) * 0.05).alias("v")).withColumn("u", F.exp(F.col("v") * math.sqrt(t / steps)))
-    grow, hold = math.exp(r * t / steps), math.exp(-r * t / steps)
-    x = x.withColumn("q", (grow - 1 / F.col("u")) / (F.col("u") - 1 / F.col("u")))
-    price = lambda i, n: s * F.pow("u", 2.0 * i - n)
-    ends = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.greatest(F.col("k") - price(i, F.lit(steps)), F.lit(0.0)))
-
-    def step(values, m):
-        n = steps - m
-        kept = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda lo, hi: hold * (F.col("q") * hi + (1 - F.col("q")) * lo))
-        return F.transform(kept, lambda v, i: F.greatest(v, F.col("k") - price(i, n)))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, step, lambda v: F.element_at(v, 1))
-    return x.select("c_custkey", F.round(root, 4).alias("put"))
+    """Puts that may be exercised early, priced on a binomial tree of 50 steps, a batch of options at a time."""
+    @F.pandas_udf("double")
+    def put(k: pd.Series, v: pd.Series) -> pd.Series:
+        return tree_values(k, v, 100.0, 0.03, 0.5, 50)
+
+    x = table(spark, folder, "customer").select("c_custkey", (80.0 + F.pmod("c_custkey", F.lit(41))).alias("k"), (0.1 + F.pmod("c_custkey", F.lit(7)) * 0.05).alias("v"))
+    return x.select("c_custkey", F.round(put("k", "v"), 4).alias("put"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import ahead, at_least, average_rank, back, clip, correlation, div, over_rows, percent_of, unit_rank, week_end
+from pitlake.operators.pairs import closest_pairs
 from pitlake.plans.registry import query
 from pitlake.plans.views import bars_m, px_d, using
 from pitlake.sources.tables import table
@@ -273,13 +274,11 @@ p as (select a.sector, a.sym as a, b.sym as b, sum((a.g - b.g) * (a.g - b.g)) as
 select cast(sector as bigint) as sector, a, b, round(ssd, 4) as ssd, n from p where n >= 12 qualify row_number() over (partition by sector order by ssd, a, b) <= 5"""
 )
 def pair_ssd_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The five closest pairs of each sector by squared distance of normalised prices: a join of symbols on sector and day, aggregated before the shuffle."""
+    """The five closest pairs of each sector by squared distance of normalised prices, worked out block by block."""
     d = table(spark, folder, "supplier").join(F.broadcast(table(spark, folder, "nation").select("n_nationkey", "n_regionkey")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
     x = bars_m(spark, folder).join(d.select(F.col("s_suppkey").alias("sym"), F.col("n_regionkey").cast("bigint").alias("sector")), "sym")
-    x = x.select("sym", "sector", "day", (F.col("close") / F.first("close").over(by_sym())).alias("g"), F.count("*").over(W.partitionBy("sym")).alias("k")).where("k >= 12")
-    a, b = x.select(F.col("sym").alias("a"), "sector", "day", F.col("g").alias("ga")), x.select(F.col("sym").alias("b"), "sector", "day", F.col("g").alias("gb"))
-    p = a.join(b, ["sector", "day"]).where("a < b").groupBy("sector", "a", "b").agg(F.sum((F.col("ga") - F.col("gb")) * (F.col("ga") - F.col("gb"))).alias("ssd"), F.count("*").alias("n")).where("n >= 12")
-    p = p.withColumn("k", F.row_number().over(W.partitionBy("sector").orderBy("ssd", "a", "b"))).where("k <= 5")
+    x = x.select("sym", "sector", "day", (F.col("close") / F.first("close").over(by_sym())).alias("g"))
+    p = closest_pairs(x, "sector", "sym", "day", "g", 5, 12)
     return p.select("sector", "a", "b", F.round("ssd", 4).alias("ssd"), "n")
 
 

@@ -1,13 +1,17 @@
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pitlake.functions.quantiles import exact_quantiles
 from pitlake.operators import folds
 from pitlake.operators.folds import fold
-from pitlake.operators.recipes import Recipe, RecipeError, compiled, parse
-from pitlake.operators.resampling import index_draws, interval, overlap_block, path_cone
+from pitlake.operators.pairs import closest_pairs
+from pitlake.operators.recipes import Signal, SignalError, Term, compiled, read
+from pitlake.operators.resampling import difference, intercept, interval, mean, mean_to_deviation, overlapping, path_cone, slope
 
 
 def d(n):
@@ -41,44 +45,102 @@ def test_greedy_skips_and_goes_on(spark):
     assert [x.taken for x in sorted(got, key=lambda x: x.item)] == [True, False, True, True, False]
 
 
-def test_boxes():
-    step = folds.boxes(confirm=2, year=3)()
-    from collections import namedtuple
+def test_signals(spark):
+    df = spark.createDataFrame([(1, 1.0, "u", "g1"), (1, 2.0, "v", "g1"), (1, None, "u", "g2"), (1, 2.0, None, "g1")], "m int, x double, c string, g string")
+    ok = read("+x - c:u within g(g1, g3)", df.schema)
+    assert ok == Signal((Term("x", None, 1), Term("c", "u", -1)), "g", ("g1", "g3"))
+    assert str(ok) == str(read(" -c : u +x  within g ( g3,g1 )", df.schema)) == "-c:u +x within g(g1, g3)"
+    for bad in ("", "x", "+y", "+c", "+x +x", "+x ++", "+x within h(a)", "+x within g()", "+x within g(", "+x -x", "+m +x +c:u +c:v +g:g1"):
+        with pytest.raises(SignalError):
+            read(bad, df.schema)
+    got = [r.score for r in compiled(df, ok, "m").collect()]
+    assert sorted(x for x in got if x is not None) == pytest.approx(sorted([1 / 3 - 3.5 / 4, 2.5 / 3 - 1.5 / 4, 2.5 / 3 - 1.5 / 4])) and got.count(None) == 1
+    assert compiled(df.limit(0), "+x", "m").count() == 0
 
-    Row = namedtuple("Row", "key day high low close")
-    bars = [(10, 9, 9.5), (10, 9, 9.5), (10, 9, 9.5), (12, 10, 11), (11, 10.5, 10.8), (11, 9.8, 10), (11, 10, 10.5), (11, 10, 10.4), (14, 11, 13), (13, 12, 12.5)]
-    events = [step(Row("k", i, *b))[2:] for i, b in enumerate(bars)]
-    assert events[7] == ("box", 12, 9.8) and events[8] == ("breakout", 12, 9.8) and events[9][0] is None
 
+def _place(room, *of):
+    return int(hashlib.md5("|".join(map(str, of)).encode()).hexdigest()[:8], 16) % room
 
-def test_recipes(spark):
-    ok = parse('{"name": "My Sig!", "terms": [{"field": "x", "sign": 1}, {"field": "c=u", "sign": -1}], "groups": ["g1"]}', ["x"], {"c": ["u", "v"]}, ["g1", "g2"])
-    assert ok == Recipe("my_sig", (("x", 1), ("c=u", -1)), ("g1",)) and ok.key == "+x,-c=u|g1"
-    for bad in ("{", '{"terms": []}', '{"terms": [{"field": "y", "sign": 1}]}', '{"terms": [{"field": "x", "sign": 2}]}', '{"terms": [{"field": "c=w", "sign": 1}]}', '{"terms": [{"field": "x", "sign": 1}, {"field": "x", "sign": -1}]}', '{"terms": [{"field": "x", "sign": 1}], "groups": ["zz"]}'):
-        with pytest.raises(RecipeError):
-            parse(bad, ["x"], {"c": ["u"]}, ["g1"])
-    df = spark.createDataFrame([(1, 1.0, "u", "g1"), (1, 2.0, "v", "g1"), (1, None, "u", "g2"), (1, 2.0, None, "g1")], "m int, x double, c string, g string")
-    got = [r.score for r in compiled(df, ok, "m", "g").collect()]
-    assert sorted(x for x in got if x is not None) == pytest.approx(sorted([1 / 3 - 3.5 / 4, 2.5 / 3 - 1.5 / 4, 2.5 / 3 - 1.5 / 4])) and got.count(None) == 1
 
+def _draws(n, draws, block, circular, seed=0):
+    size = min(block, n)
+    room = n if circular else n - size + 1
+    return np.array([[(_place(room, seed, d, i // size) + i % size) % n for i in range(n)] for d in range(draws)])
 
-def test_intervals(spark):
-    assert overlap_block(20, 5) == 4 and overlap_block(5, 5) == 1
-    i = index_draws(0, 10, 50, 3)
-    assert i.shape == (50, 10) and ((i[:, 1] - i[:, 0]) % 10 == 1).all()
-    rows = [("a", n, float(n % 7)) for n in range(40)] + [("b", 0, 1.0), ("c", 0, None), ("a", 99, None)]
-    got = {r.k: r for r in interval(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], ["t"], "v", draws=500).collect()}
-    v = np.array([n % 7 for n in range(40)], float)
-    lo, hi = np.percentile(v[index_draws(0, 40, 500)].mean(axis=1), [2.5, 97.5])
-    assert (got["a"].n, got["a"].lo, got["a"].hi) == (40, pytest.approx(lo), pytest.approx(hi))
-    assert got["b"].lo is None and "c" not in got
+
+@pytest.mark.parametrize(("block", "circular"), [(1, True), (3, True), (7, False), (99, False)])
+def test_intervals(spark, block, circular):
+    assert overlapping(20, 5) == 4 and overlapping(5, 5) == 1 and overlapping(6, 5) == 2 and overlapping(1, 20) == 1
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=41), r.normal(size=41)
+    rows = [("a", n, float(x[n]), float(y[n])) for n in range(41)] + [("b", 0, 1.0, 1.0), ("c", 0, None, 1.0), ("a", 99, None, 0.0), (None, 1, 2.0, 2.0), (None, 2, 2.0, 3.0)]
+    df = spark.createDataFrame(rows[::-1], "k string, t int, x double, y double")
+    stats = {"mean": mean("x"), "sharpe": mean_to_deviation("x", 12.0), "gap": difference("y", "x"), "beta": slope("y", "x"), "alpha": intercept("y", "x")}
+    got = {(q.k, q.statistic): q for q in interval(df, ["k"], ["t"], ["x", "y"], stats, draws=300, block=block, circular=circular).collect()}
+    i = _draws(41, 300, block, circular)
+    a, b = x[i], y[i]
+    beta = np.array([np.cov(p, q)[0, 1] / np.var(p, ddof=1) for p, q in zip(a, b)])
+    want = {"mean": a.mean(1), "sharpe": a.mean(1) / a.std(1, ddof=1) * 12**0.5, "gap": (b - a).mean(1), "beta": beta, "alpha": b.mean(1) - beta * a.mean(1)}
+    for name, of in want.items():
+        q = got["a", name]
+        assert q.n == 41 and (q.lo, q.hi) == pytest.approx(tuple(np.percentile(of, [2.5, 97.5])), abs=1e-9), name
+    assert got["a", "mean"].estimate == pytest.approx(x.mean()) and got["b", "mean"].lo is None and ("c", "mean") not in got
+    assert got[None, "mean"].lo == 2.0 and got[None, "sharpe"].estimate is None and got[None, "beta"].lo is None
+    assert interval(df.limit(0), ["k"], ["t"], ["x"], {"mean": mean("x")}).count() == 0
 
 
 def test_path_cone(spark):
-    got = path_cone([0.01, -0.02, 0.005] * 30, 60, 1200, 5, spark).toPandas().sort_values("path")
-    again = path_cone([0.01, -0.02, 0.005] * 30, 60, 1200, 5, spark).toPandas().sort_values("path")
-    assert len(got) == 1200 and got["path"].is_unique and (got["worst"] <= 0).all() and np.array_equal(got["final"], again["final"])
-    assert path_cone([], 10, 10, 5, spark).count() == 0
+    r = [0.01, -0.02, 0.005, -0.03, 0.02] * 8
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(r)] + [(99, None)], "t int, r double")
+    got = {q.path: q for q in path_cone(df, ["t"], "r", 33, 250, 5).collect()}
+    assert sorted(got) == list(range(250))
+    for path in (0, 99, 100, 249):
+        g = np.cumprod([1 + r[_place(36, 0, path, i // 5) + i % 5] for i in range(33)])
+        top = np.maximum.accumulate(np.append(1.0, g))[1:]
+        assert got[path].final == pytest.approx(g[-1]) and got[path].worst == pytest.approx(min(0.0, (g / top - 1).min()))
+    assert path_cone(df.limit(0), ["t"], "r", 10, 10, 5).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_closest_pairs(spark, block):
+    r = random.Random(7)
+    rows = [(g, i, d(t), float(r.randrange(12))) for g in ("g", "h") for i in range(25) for t in range(r.choice([2, 9, 10])) if r.random() < 0.9]
+    rows += [("g", 100 + k, d(t), 3.0) for k in range(3) for t in range(9)]  # equal series: ties at nothing
+    df = spark.createDataFrame(rows + [(None, 1, d(1), 1.0), ("g", None, d(1), 1.0), ("g", 3, None, 1.0), ("one", 1, d(1), 1.0)], "g string, i bigint, t date, v double")
+    want = []
+    for g in ("g", "h"):
+        s = {}
+        for q in rows:
+            if q[0] == g:
+                s.setdefault(q[1], {})[q[2]] = q[3]
+        pairs = []
+        for a in s:
+            for b in s:
+                gap = [s[a][t] - s[b][t] for t in sorted(s[a].keys() & s[b].keys())]
+                if a < b and len(gap) >= 6:
+                    pairs.append((sum(x * x for x in gap), a, b, len(gap), float(np.std(gap, ddof=1))))
+        want += [(g, a, b, ssd, n, pytest.approx(sd)) for ssd, a, b, n, sd in sorted(pairs)[:7]]
+    got = [tuple(x) for x in closest_pairs(df, "g", "i", "t", "v", 7, 6, block=block).orderBy("g", "ssd", "a", "b").collect()]
+    assert got == want
+    assert closest_pairs(df.limit(0), "g", "i", "t", "v", 7, 6).count() == 0
+
+
+@pytest.mark.parametrize("at", [(0.5,), (0.0, 0.02, 0.98, 1.0), (1 / 3,)])
+def test_exact_quantiles(spark, at):
+    r = random.Random(3)
+    rows = [(k, r.choice([None, float("nan"), r.gauss(0, 1), float(r.randrange(4)), -1e300]), r.gauss(5, 1) if k != "b" else None) for k in ("a", "b", None) for _ in range(500)]
+    df = spark.createDataFrame(rows + [("c", None, None)], "k string, x double, y double")
+    names = lambda v: [v] if len(at) == 1 else [f"{v}_{j}" for j in range(len(at))]
+    groups = {(k,): [q for q in rows if q[0] == k] for k in ("a", "b", None)} | {(): rows}
+    for keys in (["k"], []):
+        got = {tuple(q[k] for k in keys): q for q in exact_quantiles(df, keys, {"x": F.col("x"), "y": F.col("y")}, at).collect()}
+        assert len(got) == (3 if keys else 1)
+        for key, q in got.items():
+            for place, v in ((1, "x"), (2, "y")):
+                have = [z[place] for z in groups[key] if z[place] is not None and z[place] == z[place]]
+                assert q[f"{v}_n"] == (len(have) or None)
+                assert [q[n] for n in names(v)] == (pytest.approx(list(np.quantile(have, at)), rel=1e-9, abs=1e-9) if have else [None] * len(at))
+    assert exact_quantiles(df.limit(0), [], {"x": F.col("x")}).count() == 0
 
 
 def test_least_variance():
@@ -101,40 +163,26 @@ def test_fits(spark):
     assert ridge(df.limit(0), ["a"], "y", 1.0) == ([0.0], 0.0) and logistic(df.limit(0), ["a"], "up") == [0.0, 0.0]
 
 
-def test_sticky_exposure_and_books():
+def test_sticky_exposure():
     from collections import namedtuple
 
-    from pitlake.plans.portfolio import weight_book
-    from pitlake.plans.research import pair_trade
-
     Row = namedtuple("Row", "key day r vol")
     step = folds.sticky_exposure(0.15, 1.5, 0.1, 0.0)()
     got = [step(Row("k", 0, 0.01, v))[3] for v in (None, 0.15, 0.145, 0.1, 0.05, 0.0)]
     assert got == pytest.approx([1, 1, 1, 1.5, 1.5, 1.5])
-    Bar = namedtuple("Bar", "key day open close weight")
-    step = weight_book(0.0)()
-    eq = [step(Bar("k", i, *b))[2] for i, b in enumerate([(1, 1, 1.0), (1, 2, None), (2, 3, 0.0), (4, 8, None)])]
-    assert eq == pytest.approx([1, 2, 3, 4])  # bought at the open after the signal, sold at the open after the next
-    Pair = namedtuple("Pair", "key day a b last")
-    step = pair_trade(0.2, 0.0)()
-    pnl = [step(Pair("k", i, a, b, i == 4))[4] for i, (a, b) in enumerate([(1, 1), (1.5, 1), (1.5, 1), (1.2, 1), (1, 1)])]
-    assert sum(pnl) == pytest.approx(1 - 1 / 1.5)
 
 
-def test_sessions():
-    from collections import namedtuple
+def test_options_in_batches():
+    import pandas as pd
+
+    from pitlake.plans.portfolio import call_price
+    from pitlake.plans.research import tree_values
 
-    Band = namedtuple("Band", "key slot price upper lower mean following last")
-    step = folds.band_flips()()
-    got = [step(Band("k", i, *b)) for i, b in enumerate([(10, None, None, 10, 10, False), (12, 11, 9, 10, 12, False), (10, 11, 9, 10, 9, False), (8, 11, 9, 10, 8, False), (6, 11, 9, 10, None, True)])]
-    assert [g[2] for g in got] == [0, 1, 0, -1, 0] and sum(g[3] for g in got) == pytest.approx((9 / 12 - 1) - (6 / 8 - 1))
-    Box = namedtuple("Box", "key slot close following high low last")
-    step = folds.box_reversion()()
-    got = [step(Box("k", i, *b, 20.0, 10.0, i == 4)) for i, b in enumerate([(15, 15), (11, 12), (13, 13), (15, 16), (11, 11)])]
-    assert [g[2] for g in got] == [0, 1, 1, 0, 0] and [g[3] for g in got] == pytest.approx([0, 0, 0, 16 / 12 - 1, 0])
-    step = folds.box_reversion()()
-    got = [step(Box("k", i, *b, 20.0, 10.0, i == 1)) for i, b in enumerate([(19.5, 19.0), (18.0, None)])]
-    assert sum(g[3] for g in got) == pytest.approx(-(18 / 19 - 1))
+    k, v = pd.Series([90.0, 100.0, 110.0]), pd.Series([0.2, 0.3, 0.4])
+    put = tree_values(k, v, 100.0, 0.03, 0.5, 400).to_numpy()
+    european = call_price(k.to_numpy(), v.to_numpy(), 100.0, 0.03, 0.5) - 100 + k.to_numpy() * np.exp(-0.015)
+    assert (put >= european - 0.02).all() and put == pytest.approx(european, abs=0.4)
+    assert len(tree_values(k[:0], v[:0], 100.0, 0.03, 0.5, 5)) == 0
 
 
 def test_policy(spark):
