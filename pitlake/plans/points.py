@@ -12,20 +12,18 @@ from pitlake.plans.registry import query
 from pitlake.plans.views import bars_m, filings, preds, px_d, using
 from pitlake.sources.tables import table
 
+#: The day on which the filings' queries look back; a parameter of theirs.
 CUTOFF = "2020-06-30"
 
 
 @query(
     using("bars_m")
-    + """, e as (select o_orderkey as id, o_custkey % 100 as sym, cast(o_orderdate as date) as day from orders) select e.id, e.sym, e.day, b.day as bar_day, round(b.close, 9) as close from e asof left join bars_m b on e.sym = b.sym and e.day >= b.day"""
+    + """, e as (select o_orderkey as id, o_custkey % (select count(*) from supplier) as sym, cast(o_orderdate as date) as day from orders) select e.id, e.sym, e.day, b.day as bar_day, round(b.close, 9) as close from e asof left join bars_m b on e.sym = b.sym and e.day >= b.day"""
 )
 def asof_price_at_event(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order with the last monthly close of a symbol at or before its day; symbols are split by year.
-
-    The symbol is o_custkey % 100, as in the SQL, not pmod(o_custkey, #suppliers) as in FIXTURES: of more than 100 symbols only those below 100 are asked
-    for (a tenth at sf0.1). No order is dropped.
-    """
-    e = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(100)).cast("bigint").alias("sym"), F.col("o_orderdate").cast("date").alias("day"))
+    """Each order with the last monthly close of a symbol at or before its day; symbols are split by year."""
+    n = max(table(spark, folder, "supplier").count(), 1)  # one number
+    e = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.pmod("o_custkey", F.lit(n)).cast("bigint").alias("sym"), F.col("o_orderdate").cast("date").alias("day"))
     b = bars_m(spark, folder).select("sym", F.col("day").alias("bar_day"), F.col("day").alias("t"), F.round("close", 9).alias("close"))
     return asof_join(e, b, ["sym"], "day", "t", ["bar_day", "close"], slot=F.year("_t"))
 
@@ -60,90 +58,73 @@ def forward_excess(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     using("filings")
-    + f""", k as (select * from filings where filed < date '{CUTOFF}') select cik, period_end, last(val order by filed, fact_id) as val, min(filed) as first_filed, max(filed) as last_filed, count(*) as versions from k group by 1, 2"""
+    + f""", k as (select * from filings where filed < date '{CUTOFF}') select series, period_end, last(val order by filed, fact_id) as val, min(filed) as first_filed, max(filed) as last_filed, count(*) as versions from k group by 1, 2"""
 )
 def latest_filed_value(spark: SparkSession, folder: str) -> DataFrame:
     """Of each period the value filed last before the cutoff day, and when it first became known."""
     x = filings(spark, folder).where(F.col("filed") < F.lit(CUTOFF).cast("date"))
-    return x.groupBy("cik", "period_end").agg(F.max_by("val", F.struct("filed", "fact_id")).alias("val"), F.min("filed").alias("first_filed"), F.max("filed").alias("last_filed"), F.count("*").alias("versions"))
+    return x.groupBy("series", "period_end").agg(F.max_by("val", F.struct("filed", "fact_id")).alias("val"), F.min("filed").alias("first_filed"), F.max("filed").alias("last_filed"), F.count("*").alias("versions"))
 
 
-_KNOWN = f", k as (select cik, period_end, last(val order by filed, fact_id) as val from filings where filed < date '{CUTOFF}' group by 1, 2)"
+_KNOWN = f", k as (select series, period_end, last(val order by filed, fact_id) as val from filings where filed < date '{CUTOFF}' group by 1, 2)"
 
 
 def _known(spark: SparkSession, folder: str) -> DataFrame:
     x = filings(spark, folder).where(F.col("filed") < F.lit(CUTOFF).cast("date"))
-    return x.groupBy("cik", "period_end").agg(F.max_by("val", F.struct("filed", "fact_id")).alias("val"))
+    return x.groupBy("series", "period_end").agg(F.max_by("val", F.struct("filed", "fact_id")).alias("val"))
 
 
 @query(
     using("filings") + _KNOWN
-    + """, y as (select a.cik, a.period_end, a.val, b.val as prior, row_number() over (partition by a.cik, a.period_end order by abs(a.period_end - b.period_end - 365), b.period_end) as n from k a left join k b on b.cik = a.cik and b.period_end between a.period_end - 390 and a.period_end - 340)
-select cik, period_end, round(val, 2) as val, round(prior, 2) as prior, case when abs(prior) > 1e-9 then round(least(greatest((val - prior) / abs(prior), -1), 3), 6) end as growth from y where n = 1"""
+    + """, y as (select a.series, a.period_end, a.val, b.val as prior, row_number() over (partition by a.series, a.period_end order by abs(a.period_end - b.period_end - 365), b.period_end) as n from k a left join k b on b.series = a.series and b.period_end between a.period_end - 390 and a.period_end - 340)
+select series, period_end, round(val, 2) as val, round(prior, 2) as prior, case when abs(prior) > 1e-9 then round(least(greatest((val - prior) / abs(prior), -1), 3), 6) end as growth from y where n = 1"""
 )
 def year_over_year(spark: SparkSession, folder: str) -> DataFrame:
     """Each quarter with the one a year before, 25 days about, the nearest if there are several: a band join on the entity and the year.
 
-    Of the facts filed before CUTOFF only, as known at that one day: quarters filed later have no row (36 % of the facts at sf0.1).
+    As known on the one day CUTOFF: facts filed from then on are not read, which is what the cutoff is for.
     """
     a = _known(spark, folder)
     # candidates by month cells, so that the band is an equality join
     cell = lambda d: F.floor(F.unix_date(d) / 64)
-    b = a.select(F.col("cik").alias("_c"), F.col("period_end").alias("_e"), F.col("val").alias("prior"), cell(F.col("period_end")).alias("_cell"))
+    b = a.select(F.col("series").alias("_c"), F.col("period_end").alias("_e"), F.col("val").alias("prior"), cell(F.col("period_end")).alias("_cell"))
     x = a.withColumn("_want", F.date_sub("period_end", 365)).withColumn("_at", F.explode(F.sequence(cell(F.date_sub("period_end", 390)), cell(F.date_sub("period_end", 340)))))
-    hit = (F.col("cik") == F.col("_c")) & (F.col("_at") == F.col("_cell")) & (F.abs(F.datediff("_want", "_e")) <= 25)
-    x = x.join(b, hit, "left").groupBy("cik", "period_end", "val").agg(F.min_by("prior", F.when(F.col("_e").isNotNull(), F.struct(F.abs(F.datediff("_want", "_e")), F.col("_e")))).alias("prior"))
+    hit = (F.col("series") == F.col("_c")) & (F.col("_at") == F.col("_cell")) & (F.abs(F.datediff("_want", "_e")) <= 25)
+    x = x.join(b, hit, "left").groupBy("series", "period_end", "val").agg(F.min_by("prior", F.when(F.col("_e").isNotNull(), F.struct(F.abs(F.datediff("_want", "_e")), F.col("_e")))).alias("prior"))
     growth = F.when(F.abs("prior") > 1e-9, F.round(clip((F.col("val") - F.col("prior")) / F.abs("prior"), -1, 3), 6))
-    return x.select("cik", "period_end", F.round("val", 2).alias("val"), F.round("prior", 2).alias("prior"), growth.alias("growth"))
+    return x.select("series", "period_end", F.round("val", 2).alias("val"), F.round("prior", 2).alias("prior"), growth.alias("growth"))
 
 
 @query(
     using("filings") + _KNOWN
-    + """, c as (select cik, period_end, val - lag(val, 4) over (partition by cik order by period_end) as ch from k), h as (select *, stddev_pop(ch) over w as sd, count(ch) over w as n from c window w as (partition by cik order by period_end rows between 8 preceding and 1 preceding))
-select cik, period_end, case when sd > 1e-9 then round(least(greatest(ch / sd, -5), 5), 4) end as sue from h where ch is not null and n >= 4"""
+    + """, c as (select series, period_end, val - lag(val, 4) over (partition by series order by period_end) as ch from k), h as (select *, stddev_pop(ch) over w as sd, count(ch) over w as n from c window w as (partition by series order by period_end rows between 8 preceding and 1 preceding))
+select series, period_end, case when sd > 1e-9 then round(least(greatest(ch / sd, -5), 5), 4) end as sue from h where ch is not null and n >= 4"""
 )
 def seasonal_surprise(spark: SparkSession, folder: str) -> DataFrame:
     """The change on four quarters before, in deviations of the eight such changes before it.
 
-    Of the facts filed before CUTOFF only, as known at that one day: quarters filed later have no row (36 % of the facts at sf0.1).
+    As known on the one day CUTOFF: facts filed from then on are not read, which is what the cutoff is for.
     """
-    w = W.partitionBy("cik").orderBy("period_end")
-    x = _known(spark, folder).select("cik", "period_end", (F.col("val") - F.lag("val", 4).over(w)).alias("ch"))
+    w = W.partitionBy("series").orderBy("period_end")
+    x = _known(spark, folder).select("series", "period_end", (F.col("val") - F.lag("val", 4).over(w)).alias("ch"))
     h = w.rowsBetween(-8, -1)
     x = x.select("*", F.stddev_pop("ch").over(h).alias("sd"), F.count("ch").over(h).alias("n")).where("ch is not null and n >= 4")
-    return x.select("cik", "period_end", F.when(F.col("sd") > 1e-9, F.round(clip(F.col("ch") / F.col("sd"), -5, 5), 4)).alias("sue"))
+    return x.select("series", "period_end", F.when(F.col("sd") > 1e-9, F.round(clip(F.col("ch") / F.col("sd"), -5, 5), 4)).alias("sue"))
 
 
 @query(
     using("filings") + _KNOWN
-    + """, t as (select cik, period_end, sum(val) over w as ttm, count(*) over w as n, period_end - lag(period_end, 3) over (partition by cik order by period_end) as span, max(gap) over w as gap from (select *, coalesce(period_end - lag(period_end) over (partition by cik order by period_end), 0) as gap from k) window w as (partition by cik order by period_end rows 3 preceding))
-select cik, period_end, round(ttm, 2) as ttm from t where n = 4 and span < 300"""
+    + """, t as (select series, period_end, sum(val) over w as ttm, count(*) over w as n, period_end - lag(period_end, 3) over (partition by series order by period_end) as span, max(gap) over w as gap from (select *, coalesce(period_end - lag(period_end) over (partition by series order by period_end), 0) as gap from k) window w as (partition by series order by period_end rows 3 preceding))
+select series, period_end, round(ttm, 2) as ttm from t where n = 4 and span < 300"""
 )
 def trailing_year(spark: SparkSession, folder: str) -> DataFrame:
     """The sum of four quarters that follow each other without a gap.
 
-    Of the facts filed before CUTOFF only, as known at that one day: quarters filed later have no row (36 % of the facts at sf0.1).
-    """
-    w = W.partitionBy("cik").orderBy("period_end")
-    x = _known(spark, folder).select("cik", "period_end", F.sum("val").over(w.rowsBetween(-3, 0)).alias("ttm"), F.count("*").over(w.rowsBetween(-3, 0)).alias("n"), F.datediff("period_end", F.lag("period_end", 3).over(w)).alias("span"))
-    return x.where("n = 4 and span < 300").select("cik", "period_end", F.round("ttm", 2).alias("ttm"))
-
-
-@query(
-    using("filings") + _KNOWN
-    + """, y as (select cik, year(period_end) as yr, sum(val) as fy, count(*) as n, max(period_end) as last_end from k group by 1, 2 having count(*) = 4),
-q as (select k.cik, year(k.period_end) as yr, sum(k.val) as three from k join y on y.cik = k.cik and y.yr = year(k.period_end) and k.period_end < y.last_end group by 1, 2)
-select y.cik, y.last_end as period_end, round(fy - three, 2) as q4, round(fy, 2) as fy from y join q using (cik, yr)"""
-)
-def fourth_quarter(spark: SparkSession, folder: str) -> DataFrame:
-    """The fourth quarter as the year's figure less the three quarters inside it.
-
-    Of the facts filed before CUTOFF only, as known at that one day: quarters filed later have no row (36 % of the facts at sf0.1).
+    As known on the one day CUTOFF: facts filed from then on are not read, which is what the cutoff is for.
     """
-    k = _known(spark, folder).withColumn("yr", F.year("period_end"))
-    y = k.groupBy("cik", "yr").agg(F.sum("val").alias("fy"), F.count("*").alias("n"), F.max("period_end").alias("last_end")).where("n = 4")
-    inside = k.join(y, ["cik", "yr"]).where("period_end < last_end").groupBy("cik", "yr", "last_end", "fy").agg(F.sum("val").alias("three"))
-    return inside.select("cik", F.col("last_end").alias("period_end"), F.round(F.col("fy") - F.col("three"), 2).alias("q4"), F.round("fy", 2).alias("fy"))
+    w = W.partitionBy("series").orderBy("period_end")
+    x = _known(spark, folder).select("series", "period_end", F.sum("val").over(w.rowsBetween(-3, 0)).alias("ttm"), F.count("*").over(w.rowsBetween(-3, 0)).alias("n"), F.datediff("period_end", F.lag("period_end", 3).over(w)).alias("span"))
+    return x.where("n = 4 and span < 300").select("series", "period_end", F.round("ttm", 2).alias("ttm"))
 
 
 @query(
@@ -227,27 +208,20 @@ def month_days(spark: SparkSession, folder: str) -> DataFrame:
 select arm, holdout, n, round(acc, 6) as accuracy, round(spr / spp, 6) as slope from h"""
 )
 def time_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Older two thirds against the newer third of each arm, by time and then id."""
+    """Older two thirds against the newer third of each arm, by time and then id.
+
+    The day in which an arm's two thirds end is found by counting days, so that only the rows of that one day are numbered; all others are older or newer as
+    their day is.
+    """
+    x = preds(spark, folder).select("arm", "run_id", "made", "p", "up", "ret")
+    days = x.groupBy("arm", "made").agg(F.count("*").alias("c"))
     w = W.partitionBy("arm")
-    x = preds(spark, folder).select("*", F.row_number().over(w.orderBy("made", "run_id")).alias("k"), F.count("*").over(w).alias("total"))
-    return x.groupBy("arm", (F.col("k") > F.col("total") * 2 / 3).alias("holdout")).agg(
+    days = days.select("arm", "made", (F.sum("c").over(w.orderBy("made")) - F.col("c")).alias("before"), F.col("c"), F.sum("c").over(w).alias("total"))
+    limit = F.col("total") * 2 / 3
+    days = days.select(F.col("arm").alias("_a"), F.col("made").alias("_m"), F.when(F.col("before") + F.col("c") <= limit, False).when(F.col("before") >= limit, True).alias("side"), (limit - F.col("before")).alias("left"))
+    x = x.join(days, (F.col("arm") == F.col("_a")) & (F.col("made") == F.col("_m")))
+    edge = x.where("side is null").withColumn("side", F.row_number().over(W.partitionBy("arm").orderBy("run_id")) > F.col("left"))
+    x = x.where("side is not null").unionByName(edge)
+    return x.groupBy("arm", F.col("side").alias("holdout")).agg(
         F.count("*").alias("n"), F.round(F.avg(((F.col("p") > 0.5) == F.col("up")).cast("double")), 6).alias("accuracy"), F.round(div(F.sum(F.col("p") * F.col("ret")), F.sum(F.col("p") * F.col("p"))), 6).alias("slope")
     )
-
-
-@query(
-    using("filings") + _KNOWN
-    + """, q as (select cik, period_end, year(period_end) as yr, val, row_number() over (partition by cik, year(period_end) order by period_end) as k, count(*) over (partition by cik, year(period_end)) as n, sum(val) over (partition by cik, year(period_end) order by period_end) as ytd from k),
-f as (select cik, yr, ytd as fy from q where k = 4 and n = 4) select q.cik, q.period_end, round(f.fy + q.ytd - p.ytd, 2) as ttm from q join f on f.cik = q.cik and f.yr = q.yr - 1 join q p on p.cik = q.cik and p.yr = q.yr - 1 and p.k = q.k where p.n = 4"""
-)
-def trailing_from_year_to_date(spark: SparkSession, folder: str) -> DataFrame:
-    """A year's flow from cumulative figures: the last full year, plus this year to date, less the same stretch a year before.
-
-    Of the facts filed before CUTOFF only, as known at that one day: quarters filed later have no row (36 % of the facts at sf0.1).
-    """
-    w = W.partitionBy("cik", "yr")
-    q = _known(spark, folder).withColumn("yr", F.year("period_end"))
-    q = q.select("cik", "period_end", "yr", F.row_number().over(w.orderBy("period_end")).alias("k"), F.count("*").over(w).alias("n"), F.sum("val").over(w.orderBy("period_end")).alias("ytd"))
-    full = q.where("n = 4").groupBy("cik", (F.col("yr") + 1).alias("yr")).agg(F.max_by("ytd", "k").alias("fy"), F.map_from_entries(F.collect_list(F.struct("k", "ytd"))).alias("before"))  # four entries
-    x = q.join(full, ["cik", "yr"]).select("cik", "period_end", (F.col("fy") + F.col("ytd") - F.try_element_at("before", F.col("k"))).alias("ttm"))
-    return x.where("ttm is not null").select("cik", "period_end", F.round("ttm", 2).alias("ttm"))

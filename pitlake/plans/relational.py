@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import average_rank, div, short_hash
+from pitlake.functions.quantiles import exact_medians, exact_quantiles
 from pitlake.plans.registry import query
 from pitlake.plans.views import preds, using
 from pitlake.sources.tables import table
@@ -187,8 +188,6 @@ def canonical_sets(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ledger_scoreboard(spark: SparkSession, folder: str) -> DataFrame:
     """Counts by kind of each cohort, distinct names and the median score. Repeated rows count once."""
-    from pitlake.functions.quantiles import exact_medians
-
     d = table(spark, folder, "ledger").select("seq", "type", "cohort", "logodds", "ticker").distinct()
     kind = lambda k: F.count(F.when(F.col("type") == k, 1))
     a = d.groupBy("cohort").agg(kind("decision").alias("decisions"), kind("missed").alias("missed"), kind("outcome").alias("outcomes"), F.count_distinct("ticker").alias("names"))
@@ -197,16 +196,22 @@ def ledger_scoreboard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with q as (select distinct fact_id, cik, period_end, source, value from quarters), x as (select a.cik, a.period_end, max(a.value) as a, max(b.value) as b from q a join q b using (cik, period_end) where a.source = 'sec_xbrl' and b.source = 'halcyon_csv' group by 1, 2)
-select count(*) as n, round(median(abs(a - b * 1e6) / a), 6) as mid, round(max(abs(a - b * 1e6) / a), 6) as worst, round(corr(ln(a), ln(b)), 6) as r from x where a > 0 and b > 0"""
+    """with q as (select source, cik, period_end, max(value) as v from quarters where value > 0 group by 1, 2, 3), x as (select a.source as a, b.source as b, a.v as va, b.v as vb from q a join q b on a.cik = b.cik and a.period_end = b.period_end and a.source < b.source),
+y as (select a, b, va, vb, log10(va / vb) - round(log10(va / vb) / 3) * 3 as d from x) select a, b, count(*) as n, round(median(abs(d)), 6) as mid, round(max(abs(d)), 6) as worst, round(avg(case when abs(d) <= 0.01 then 1.0 else 0.0 end), 6) as same, round(corr(ln(va), ln(vb)), 6) as r from y group by 1, 2"""
 )
 def source_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """How far two sources differ on the periods both have."""
+    """How far every two sources differ on the periods that both have, in decades beside whole thousands: one row for each source is made first, then its periods meet."""
     from pitlake.functions.columns import correlation
 
-    q = table(spark, folder, "quarters").groupBy("cik", "period_end").agg(F.max(F.when(F.col("source") == "sec_xbrl", F.col("value"))).alias("a"), F.max(F.when(F.col("source") == "halcyon_csv", F.col("value"))).alias("b"))
-    x = q.where("a > 0 and b > 0").select((F.abs(F.col("a") - F.col("b") * 1e6) / F.col("a")).alias("d"), F.log("a").alias("la"), F.log("b").alias("lb"))
-    return x.agg(F.count("*").alias("n"), F.round(F.median("d"), 6).alias("mid"), F.round(F.max("d"), 6).alias("worst"), F.round(correlation("la", "lb"), 6).alias("r"))
+    q = table(spark, folder, "quarters").where("value > 0 and source is not null").groupBy("source", "cik", "period_end").agg(F.max("value").alias("v"))
+    # the sources of a period are few; each pair of them is a row
+    s = q.groupBy("cik", "period_end").agg(F.collect_list(F.struct("source", "v")).alias("s"))
+    x = s.select(F.explode("s").alias("x"), "s").select(F.col("x.source").alias("a"), F.col("x.v").alias("va"), F.explode(F.filter("s", lambda y: y["source"] > F.col("x.source"))).alias("y")).select("a", "va", F.col("y.source").alias("b"), F.col("y.v").alias("vb"))
+    step = F.log10(F.col("va") / F.col("vb"))
+    x = x.select("a", "b", F.log("va").alias("la"), F.log("vb").alias("lb"), F.abs(step - F.round(step / 3) * 3).alias("d"))
+    mid = exact_quantiles(x, ["a", "b"], {"mid": F.col("d")}).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "mid")
+    y = x.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("d").alias("worst"), F.avg((F.col("d") <= 0.01).cast("double")).alias("same"), correlation("la", "lb").alias("r"))
+    return y.join(mid, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "n", *[F.round(c, 6).alias(c) for c in ("mid", "worst", "same", "r")])
 
 
 @query("select round(avg(case when k > 1 then 1.0 else 0.0 end), 6) as share, max(k) as most from (select count(*) over (partition by cast(ts as date), value) as k from events)")

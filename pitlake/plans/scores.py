@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import average_rank, clip, correlation, div, normal_cdf, percent_of
+from pitlake.functions.quantiles import exact_quantiles
 from pitlake.plans.registry import query
 from pitlake.plans.views import preds, using
 
@@ -152,18 +153,26 @@ a as (select cutoff, arm, avg(b) as b, count(*) as n from j group by 1, 2 having
 def selector_arm(spark: SparkSession, folder: str) -> DataFrame:
     """At each cutoff the arm with the best Brier score over its last 100 predictions resolved by then, of those with 25 or more.
 
-    Rolling means of each arm's resolved rows are taken once, and each cutoff looks up the last of them.
+    Each arm's rows are cut into slots of one resolve month, and of each slot only the last 100 can matter later; a cutoff reads its arm's slots back to the
+    one that completes the 100. So no window runs over all rows of an arm: the largest is one arm's month, then 100 rows for each arm and month.
     """
-    x = preds(spark, folder)
-    w = W.partitionBy("arm").orderBy("resolve_date", F.desc("run_id"))
-    r = x.select("arm", "resolve_date", F.avg(_brier()).over(w.rowsBetween(-99, 0)).alias("b"), F.count("*").over(w.rowsBetween(-99, 0)).alias("n"), F.row_number().over(w).alias("k"))
-    last = r.groupBy("arm", "resolve_date").agg(F.max_by("b", "k").alias("b"), F.max_by("n", "k").alias("n"))
-    months = [r[0] for r in x.select("cutoff").distinct().collect()]  # bounded by the calendar
-    asks = x.select("arm").distinct().select("arm", F.explode(F.array(*[F.lit(m) for m in months])).alias("cutoff")) if months else x.select("arm", "cutoff")
-    both = last.select("arm", F.col("resolve_date").alias("day"), "b", "n", F.lit(0).alias("ask")).unionByName(asks.select("arm", F.col("cutoff").alias("day"), F.lit(None).cast("double").alias("b"), F.lit(None).cast("bigint").alias("n"), F.lit(1).alias("ask")))
-    v = W.partitionBy("arm").orderBy("day", "ask").rowsBetween(W.unboundedPreceding, 0)
-    both = both.select("arm", "day", "ask", F.last("b", True).over(v).alias("b"), F.last("n", True).over(v).alias("n")).where("ask = 1 and n >= 25")
-    return both.groupBy(F.col("day").alias("cutoff")).agg(F.min_by("arm", F.struct("b", "arm")).alias("arm"), F.round(F.min("b"), 6).alias("brier"))
+    last, least = 100, 25
+    x = preds(spark, folder).select("arm", "resolve_date", "run_id", _brier().alias("b"), F.trunc("resolve_date", "month").alias("slot"), "cutoff")
+    r = x.withColumn("k", F.row_number().over(W.partitionBy("arm", "slot").orderBy(F.desc("resolve_date"), "run_id"))).where(F.col("k") <= last)
+    per = x.groupBy("arm", "slot").agg(F.least(F.count("*"), F.lit(last)).alias("n"))
+    w = W.partitionBy("arm").orderBy("slot")
+    per = per.withColumn("upto", F.sum("n").over(w)).withColumnRenamed("arm", "_a").withColumnRenamed("slot", "_s")
+    asks = x.select("cutoff").distinct()
+    # cutoffs are month starts: what resolves on the cutoff's own day is the only part of its month that counts
+    months = asks.select("cutoff").collect()  # bounded by the calendar
+    known = per.withColumn("cutoff", F.explode(F.array(*[F.lit(m[0]) for m in months]))).where(F.col("_s") < F.col("cutoff")) if months else per.withColumn("cutoff", F.lit(None).cast("date")).limit(0)
+    known = known.withColumn("after", F.max("upto").over(W.partitionBy("_a", "cutoff")) - F.col("upto")).where(F.col("after") < last)
+    # on the first of a month, its own rows are ranked anew: the month's last 100 needn't hold them
+    today = x.where("resolve_date = slot").select("arm", "b", "resolve_date", "run_id", F.col("slot").alias("cutoff")).join(asks, "cutoff", "left_semi")
+    back = r.join(known.select("_a", "_s", F.col("cutoff").alias("_c")), (F.col("arm") == F.col("_a")) & (F.col("slot") == F.col("_s"))).select("arm", "b", "resolve_date", "run_id", F.col("_c").alias("cutoff"))
+    both = back.unionByName(today).withColumn("k", F.row_number().over(W.partitionBy("arm", "cutoff").orderBy(F.desc("resolve_date"), "run_id"))).where(F.col("k") <= last)
+    a = both.groupBy("arm", "cutoff").agg(F.avg("b").alias("b"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return a.groupBy("cutoff").agg(F.min_by("arm", F.struct("b", "arm")).alias("arm"), F.round(F.min("b"), 6).alias("brier"))
 
 
 @query(
@@ -172,10 +181,9 @@ def selector_arm(spark: SparkSession, folder: str) -> DataFrame:
 )
 def grouping_sets_pooled(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy pooled, by arm, by horizon and by both, in one pass."""
-    preds(spark, folder).createOrReplaceTempView("_pitlake_preds")
-    return spark.sql("""
-        select arm, h, cast(grouping(arm) as bigint) as g_arm, cast(grouping(h) as bigint) as g_h, count(*) as n, round(avg(cast((p > 0.5) = up as double)), 6) as accuracy
-        from _pitlake_preds group by grouping sets ((), (arm), (h), (arm, h))""")
+    x = preds(spark, folder)
+    sets = x.groupingSets([[], [x["arm"]], [x["h"]], [x["arm"], x["h"]]], "arm", "h")
+    return sets.agg(F.grouping("arm").cast("bigint").alias("g_arm"), F.grouping("h").cast("bigint").alias("g_h"), F.count("*").alias("n"), F.round(F.avg(_hit()), 6).alias("accuracy"))
 
 
 @query(
@@ -185,7 +193,8 @@ def grouping_sets_pooled(spark: SparkSession, folder: str) -> DataFrame:
 def decile_table(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes by decile of the forecast, with exact interpolated edges."""
     x = preds(spark, folder)
-    edges = x.agg(F.percentile("p", F.array(*[F.lit(k / 10) for k in range(1, 10)]))).first()[0] or []  # nine numbers
+    ends = exact_quantiles(x, [], {"p": F.col("p")}, [k / 10 for k in range(1, 10)]).first()  # nine numbers
+    edges = [ends[f"p_{k}"] for k in range(9)] if ends else []
     x = x.withColumn("decile", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda v: F.col("p") > v)))
     return x.groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"), F.round(F.avg(_hit()), 6).alias("hit"))
 

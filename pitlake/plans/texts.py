@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,7 +80,12 @@ def text_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""with recursive d as (select doc_id, length(text) as chars, string_split_regex(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) as s from documents where text is not null),
+o as (select doc_id, chars, list_concat(list_filter(s, lambda v: regexp_matches(v, '[0-9]')), list_filter(s, lambda v: not regexp_matches(v, '[0-9]'))) as s from d),
+u as (select doc_id, unnest(s) as v, generate_subscripts(s, 1) as i from o), r as (select doc_id, i, sum(length(v) + 1) over (partition by doc_id order by i) - 1 as want from u), k as (select doc_id, coalesce(min(i) filter (where want > 700), max(i) + 1) - 1 as kept from r group by 1)
+select o.doc_id, o.chars, cast(k.kept as int) as sentences, case when k.kept > 0 then array_to_string(o.s[1:k.kept], ' ') end as summary from o join k using (doc_id)"""
+)
 def compressed_numeric_first(spark: SparkSession, folder: str) -> DataFrame:
     """Each text's sentences, those with numbers first, up to the first that doesn't fit a budget of characters; the whole text if none fits.
 
@@ -99,12 +106,17 @@ def compressed_numeric_first(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("doc_id", "chars", F.col("f.kept").alias("sentences"), F.when(F.col("f.kept") > 0, F.array_join(F.slice("s", 1, F.col("f.kept")), " ")).alias("summary"))
 
 
-@query()
+@query(
+    """with recursive e as (select ticker as key, evidence_id as item, evidence_id, data_quality_score, retrieved_at from (select distinct evidence_id, ticker, retrieved_at, data_quality_score from evidence_refs where ticker is not null)),
+s as (select key, item, length(item) * 7 % 400 + 20 + ascii(right(item, 1)) as size, row_number() over (partition by key order by -data_quality_score nulls first, -epoch_us(retrieved_at) nulls first, item) as i from e),
+p as (select key, item, size, i, size <= 1000 as taken, case when size <= 1000 then size else 0 end as used from s where i = 1 union all select s.key, s.item, s.size, s.i, p.used + s.size <= 1000, p.used + case when p.used + s.size <= 1000 then s.size else 0 end from p join s on s.key = p.key and s.i = p.i + 1)
+select key, item as evidence_id, taken, cast(used as bigint) as used from p"""
+)
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     """By ticker the evidence that fits a budget, best and newest first, skipping what doesn't fit and going on: a streamed fold by ticker, whose state is one running total."""
     x = table(spark, folder, "evidence_refs").where("ticker is not null").select("evidence_id", "ticker", "retrieved_at", "data_quality_score").distinct()
     x = x.select(
-        F.col("ticker").alias("key"), F.col("evidence_id").alias("item"), (F.pmod(F.crc32("evidence_id"), F.lit(400)) + 20).alias("size"),
+        F.col("ticker").alias("key"), F.col("evidence_id").alias("item"), (F.length("evidence_id") * 7 % 400 + 20 + F.ascii(F.right("evidence_id", F.lit(1)))).alias("size"),
         (-F.col("data_quality_score")).alias("a"), (-F.unix_micros("retrieved_at")).alias("b"),
     )
     return fold(x, ["key"], ["a", "b", "item"], greedy(1000), "key string, item string, taken boolean, used bigint").withColumnRenamed("item", "evidence_id")
@@ -141,44 +153,33 @@ def confidence(spark: SparkSession, folder: str) -> DataFrame:
 select query_id, vec_id, score from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
 )
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The five nearest vectors of every fiftieth one, exactly: the stated query set, in blocks of a broadcast of checked size, against all rows in one pass."""
-    import numpy as np
-
-    top, block = 5, 4096
-    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asks, parts = e.where("vec_id % 50 = 0").where("v is not null"), []
-    blocks = max(1, -(-asks.count() // block))
-    for k in range(blocks):  # one pass over all rows for each block of queries
-        rows = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).collect()
-        ids, m = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def near(frames, ids=ids, m=m):
-            import pandas as pd
-
-            for f in frames:
-                f = f[f["v"].notna()]
-                if not len(f) or not len(ids):
-                    continue
-                v = np.stack(f["v"].to_numpy())
-                s = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ m.T
-                own = f["vec_id"].to_numpy()
-                s[own[:, None] == ids[None, :]] = -np.inf
-                # every row that may be among a query's first few, with all that tie at six digits
-                s = np.round(s, 6)
-                if len(own) > top:
-                    least = np.partition(s, len(own) - top, axis=0)[len(own) - top]
-                    keep = s >= least[None, :]
-                else:
-                    keep = np.isfinite(s)
-                keep &= np.isfinite(s)
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": ids[j], "vec_id": own[i], "score": s[i, j]})
-
-        parts.append(e.mapInPandas(near, "query_id bigint, vec_id bigint, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """The five nearest vectors of every fiftieth one, exactly: the stated query set, in blocks, against all rows.
+
+    Queries are dealt into blocks of bounded size and rows into shares; each task multiplies one share of the rows with one block of queries and leaves the few
+    rows of its share that may be among a query's first. Nothing reaches the driver but two counts.
+    """
+    top = 5
+    e = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    asks = e.where("vec_id % 50 = 0")
+    blocks, shares = max(1, -(-asks.count() // 4096)), max(1, -(-e.count() // 65_536))
+    at = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    rows = e.select("vec_id", "v", F.lit(False).alias("ask"), at("vec_id", shares).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asks = asks.select("vec_id", "v", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), at("vec_id", blocks).alias("block"))
+
+    def near(x: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda f: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(f["v"].to_numpy())) if len(f) else None
+        q, r = x[x["ask"]], x[~x["ask"]]
+        if not len(q) or not len(r):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, own = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
+        s = np.round(unit(r) @ unit(q).T, 6)
+        s[own[:, None] == ids[None, :]] = -np.inf
+        # every row that may be among a query's first few, with all that tie at six digits
+        least = np.partition(s, len(own) - top, axis=0)[len(own) - top] if len(own) > top else np.full(len(ids), -np.inf)
+        i, j = np.nonzero((s >= least[None, :]) & np.isfinite(s))
+        return pd.DataFrame({"query_id": ids[j], "vec_id": own[i], "score": s[i, j]})
+
+    out = rows.unionByName(asks).groupBy("share", "block").applyInPandas(near, "query_id bigint, vec_id bigint, score double")  # a share and a block are bounded
     return out.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top).drop("r")
 
 

@@ -45,9 +45,9 @@ def preds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, folder: str) -> DataFrame:
-    """cik, period_end, val, filed: the distinct facts of one source."""
-    x = table(spark, folder, "quarters").where("source = 'sec_xbrl' and value is not null")
-    return x.select("fact_id", "cik", "period_end", F.col("value").alias("val"), F.col("first_filed").alias("filed")).distinct()
+    """series, period_end, val, filed: the distinct facts of each issuer as each source recorded them, which is one series."""
+    x = table(spark, folder, "quarters").where("value is not null")
+    return x.select("fact_id", F.concat_ws("|", "cik", "source").alias("series"), "period_end", F.col("value").alias("val"), F.col("first_filed").alias("filed")).distinct()
 
 
 def bars_30m(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,7 @@ SQL = {
     "bars_m": "select sym, cast(date_trunc('month', day) as date) as day, first(px order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) as open, max(px) as high, min(px) as low, last(px order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) as close, cast(sum(qty) as double) as volume, count(*) as n from trades group by 1, 2",
     "px_d": "select day, cast(sum(amount) as double) / cast(sum(qty) as double) as close, cast(sum(qty) as double) as volume, count(*) as n from trades group by day",
     "preds": "select run_id, feed as arm, cast(date_trunc('month', as_of) as date) as cutoff, ticker as sym, cast(as_of as date) as made, cast(as_of as date) + horizon_days as resolve_date, horizon_days as h, round(1 / (1 + exp(-predicted_return_pct / 5)), 4) as p, actual_return_pct / 100 as ret, actual_return_pct > 0 as up from (select distinct run_id, ticker, as_of, horizon_days, predicted_return_pct, actual_return_pct, feed from backtest_results) where as_of is not null and predicted_return_pct is not null and actual_return_pct is not null and horizon_days is not null",
-    "filings": "select distinct fact_id, cik, period_end, value as val, first_filed as filed from quarters where source = 'sec_xbrl' and value is not null",
+    "filings": "select distinct fact_id, concat_ws('|', cik, source) as series, period_end, value as val, first_filed as filed from quarters where value is not null",
     "bars_30m": "select *, cast(slot as date) as day, cast(hour(slot) * 60 + minute(slot) as int) as hm from (select event_type as sym, time_bucket(interval 30 minutes, ts) as slot, first(value order by ts, event_id) as open, max(value) as high, min(value) as low, last(value order by ts, event_id) as close, cast(sum(cast(value as decimal(18,4))) as double) as turnover, count(*) as n from events group by 1, 2)",
     "edges": "select 'n' || n_nationkey as src, 'in_region' as rel, 'r' || n_regionkey as dst from nation union all select 's' || s_suppkey, 'supplies_from', 'n' || s_nationkey from supplier union all select 'c' || c_custkey, 'buys_from', 'n' || c_nationkey from customer",
 }

@@ -198,17 +198,18 @@ def turn_of_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    using("px_d")
-    + """, r as (select day, close / lag(close) over (order by day) - 1 as r from px_d), z as (select *, avg(r) over w as m, stddev_samp(r) over w as s, count(r) over w as k, lead(r) over (order by day) as nxt from r window w as (order by day rows between 60 preceding and 1 preceding))
-select day, round(r, 6) as r, round((r - m) / s, 4) as z, round(nxt, 6) as nxt from z where k >= 40 and s > 0 and abs(r - m) > 2 * s"""
+    """with p as (select user_id, cast(ts as date) as day, cast(sum(cast(value as decimal(18,4))) as double) as close from events group by 1, 2), x as (select user_id, day, close, close / lag(close) over (partition by user_id order by day) - 1 as r from p where close > 0),
+z as (select *, avg(r) over w as m, stddev_samp(r) over w as s, count(r) over w as k, lead(close, 5) over (partition by user_id order by day) / close - 1 as later from x window w as (partition by user_id order by day rows between 60 preceding and 1 preceding))
+select user_id, day, round(r, 6) as r, round((r - m) / s, 4) as z, round(later, 6) as later from z where k >= 10 and s > 0 and abs(r - m) > 4 * s"""
 )
 def spike_triggers(spark: SparkSession, folder: str) -> DataFrame:
-    """Days whose return departs by over two deviations of the 60 days before, with the day after."""
-    w = by_day().rowsBetween(-60, -1)
-    x = px_d(spark, folder).select("day", back("close", 1, by_day()).alias("r"))
-    x = x.select("day", "r", F.avg("r").over(w).alias("m"), F.stddev_samp("r").over(w).alias("s"), F.count("r").over(w).alias("k"), F.lead("r").over(by_day()).alias("nxt"))
-    x = x.where("k >= 40 and s > 0 and abs(r - m) > 2 * s")
-    return x.select("day", F.round("r", 6).alias("r"), F.round((F.col("r") - F.col("m")) / F.col("s"), 4).alias("z"), F.round("nxt", 6).alias("nxt"))
+    """Days whose change departs by over four deviations of the up to 60 active days before, of which there must be ten, with the change over the next five: by user."""
+    p = table(spark, folder, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("close")).where("close > 0")
+    by = W.partitionBy("user_id").orderBy("day")
+    w = by.rowsBetween(-60, -1)
+    x = p.select("user_id", "day", back("close", 1, by).alias("r"), (F.lead("close", 5).over(by) / F.col("close") - 1).alias("later"))
+    x = x.select("*", F.avg("r").over(w).alias("m"), F.stddev_samp("r").over(w).alias("s"), F.count("r").over(w).alias("k")).where("k >= 10 and s > 0 and abs(r - m) > 4 * s")
+    return x.select("user_id", "day", F.round("r", 6).alias("r"), F.round((F.col("r") - F.col("m")) / F.col("s"), 4).alias("z"), F.round("later", 6).alias("later"))
 
 
 @query(using("px_d") + " select cast(day + cast((5 - isodow(day) + 7) % 7 as int) as date) as week, round(last(close order by day), 6) as close, count(*) as n from px_d group by 1")
