@@ -1,17 +1,21 @@
 """Texts of many formats and zones to one instant in UTC.
 
 Method: the text is brought to one canonical form by patterns; a local time is then matched as of zone-offset intervals, exploded to one
-row per zone and year: two matching intervals mean an ambiguous time, none a skipped one, one gives the offset at once.
+row per zone and four years: two matching intervals mean an ambiguous time, none a skipped one, one gives the offset at once. All zones there are take
+part, whether a feed writes in them or a text names them, and all years: those before 1970 are one row, those after 2100 stand for a year with the same
+calendar before it, since by then every zone's rules only repeat.
 
-Everything stays in JVM expressions; the only join is against the exploded intervals, whose size is bounded by zones x years.
+Everything stays in JVM expressions; the only join is against the exploded intervals, whose size is that of the zone database: some 600 zones x 33 rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import functools
+import importlib.resources
+import pathlib
+import struct
 import zoneinfo
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +33,8 @@ ABBREVIATIONS = {
     "JST": 540, "AEST": 600, "AEDT": 660, "ACST": 570, "ACDT": 630, "AWST": 480,
 }
 
-#: Years that the exploded intervals cover; local times outside are resolved by the JVM's zone rules, to the same effect.
-YEARS = (1970, 2100)
+#: Years that the exploded intervals cover one by one, and years of one row of them.
+YEARS, CELL = (1970, 2100), 4
 DAY_US = 86_400_000_000
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?(?![A-Za-z]))?\s*(.*)$"
@@ -47,49 +51,89 @@ _FORMS = [
 _EPOCH = r"^(\d{10}|\d{13}|\d{16})(?:[.,](\d+))?$"
 
 
+def _changes(zone: str) -> tuple[list[int], bool]:
+    """Seconds since 1970 of the changes that the zone database lists one by one, and whether a rule with changes holds after them."""
+    for root in (*zoneinfo.TZPATH, None):
+        try:
+            at = importlib.resources.files("tzdata.zoneinfo").joinpath(zone) if root is None else pathlib.Path(root, zone)
+            raw = at.read_bytes()
+            break
+        except (OSError, ModuleNotFoundError):
+            continue
+    else:
+        return [], True
+    sizes = lambda k: struct.unpack(">6l", raw[k + 20 : k + 44])
+    utc, std, leap, times, kinds, chars = sizes(0)
+    if raw[4:5] < b"2":
+        return list(struct.unpack(f">{times}l", raw[44 : 44 + 4 * times])), True
+    second = 44 + times * 5 + kinds * 6 + chars + leap * 8 + std + utc  # the block of the first version comes first
+    times = sizes(second)[3]
+    return list(struct.unpack(f">{times}q", raw[second + 44 : second + 44 + 8 * times])), b"," in raw.rstrip(b"\n").rsplit(b"\n", 1)[-1]
+
+
 @functools.lru_cache(maxsize=None)
-def offset_intervals(zone: str, years: tuple[int, int] = YEARS) -> list[tuple[int, int, int]]:
-    """(local start, local end, offset) in seconds of each stretch of one offset; the first and last are open-ended."""
-    tz, step = zoneinfo.ZoneInfo(zone), dt.timedelta(days=10)
-    off = lambda t: int(tz.utcoffset(t.replace(tzinfo=dt.UTC).astimezone(tz)).total_seconds())
-    epoch = dt.datetime(1970, 1, 1)
-    at, end = dt.datetime(years[0] - 1, 12, 1), dt.datetime(years[1] + 1, 2, 1)
-    out, start, now = [], None, off(at)
-    while at < end:
-        nxt = at + step
-        if off(nxt) != now:
-            low, high = at, nxt
-            while high - low > dt.timedelta(seconds=1):
-                mid = low + (high - low) // 2
-                mid = mid.replace(microsecond=0)
-                low, high = (low, mid) if off(mid) != now else (mid, high)
-            moment = int((high - epoch).total_seconds())
-            out.append((-(2**61) if start is None else start + now, moment + now, now))
-            start, now, nxt = moment, off(high), high
-        at = nxt
-    out.append((-(2**61) if start is None else start + now, 2**61, now))
+def offset_intervals(zone: str) -> list[tuple[int, int, int]]:
+    """(local start, local end, offset) in seconds of each stretch of one offset up to the end of YEARS; the first and last are open-ended."""
+    tz, epoch = zoneinfo.ZoneInfo(zone), dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+    off = lambda t: int(tz.utcoffset((epoch + dt.timedelta(seconds=t)).astimezone(tz)).total_seconds())
+    first, end = -5_000_000_000, int((dt.datetime(YEARS[1] + 1, 2, 1, tzinfo=dt.UTC) - epoch).total_seconds())
+    listed, ruled = _changes(zone)
+    listed = [t for t in listed if first < t < end]
+    out, start, now = [], -(2**61), off(first)
+
+    def change(t: int) -> None:
+        nonlocal start, now
+        nxt = off(t)
+        if nxt != now:
+            out.append((start, t + now, now))
+            start, now = t + nxt, nxt
+
+    for t in listed:
+        change(t)
+    # the rule's changes lie months apart, at quarters of an hour
+    low = (listed[-1] if listed else -(2**31)) // 900
+    while ruled and low * 900 < end:
+        high = low + 60 * 96
+        if off(high * 900) != now:
+            a, b = low, high
+            while b - a > 1:
+                mid = (a + b) // 2
+                a, b = (a, mid) if off(mid * 900) != now else (mid, b)
+            change(b * 900)
+            high = b
+        low = high
+    out.append((start, 2**61, now))
     return out
 
 
-def exploded_intervals(spark: SparkSession, zones: Iterable[str], years: tuple[int, int] = YEARS) -> DataFrame:
-    """One row per zone and local year with the intervals that touch it and the one before: tz_name, tz_year, spans."""
-    rows = []
-    for zone in sorted(set(zones)):
-        spans = offset_intervals(zone, years)
-        for year in range(years[0], years[1] + 1):
-            a, b = (int((dt.datetime(y, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds()) - 86400 for y in (year, year + 1))
-            near = [s for s in spans if s[1] > a and s[0] < b + 2 * 86400]
-            rows.append((zone, year, [(s * 1_000_000 if abs(s) < 2**60 else s, e * 1_000_000 if e < 2**60 else e, o * 1_000_000) for s, e, o in near]))
-    return spark.createDataFrame(rows, "tz_name string, tz_year int, spans array<struct<s:bigint,e:bigint,o:bigint>>")
+@functools.lru_cache(maxsize=1)
+def _all_intervals() -> tuple[list[str], list[str]]:
+    """The zones there are, and the intervals of each as a text of numbers."""
+    zones = sorted(zoneinfo.available_timezones())
+    return zones, [";".join(",".join(map(str, span)) for span in offset_intervals(z)) for z in zones]
+
+
+def exploded_intervals(spark: SparkSession) -> DataFrame:
+    """One row per zone and CELL years with the intervals that touch them or end before: tz_name, tz_cell, spans in microseconds."""
+    x = spark.createDataFrame(list(zip(*_all_intervals(), strict=True)), "tz_name string, t string")
+    micros = lambda k: f"cast(split(p, ',')[{k}] as bigint) * if(abs(cast(split(p, ',')[{k}] as bigint)) < {2**60}, 1000000, 1)"
+    spans = F.expr(f"transform(split(t, ';'), p -> named_struct('s', {micros(0)}, 'e', {micros(1)}, 'o', {micros(2)}))")
+    cells = F.array(F.lit(YEARS[0] // CELL - 1), *[F.lit(c) for c in range(YEARS[0] // CELL, YEARS[1] // CELL + 1)])
+    x = x.select("tz_name", spans.alias("all"), F.explode(cells).alias("tz_cell"))
+    low = F.when(F.col("tz_cell") < YEARS[0] // CELL, F.lit(-(2**60))).otherwise(F.unix_micros(F.make_timestamp(F.col("tz_cell") * CELL, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) - 2 * DAY_US)
+    high = F.unix_micros(F.make_timestamp((F.col("tz_cell") + 1) * CELL, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + 2 * DAY_US
+    x = x.select("tz_name", "tz_cell", "all", low.alias("low"), high.alias("high"))
+    return x.select("tz_name", "tz_cell", F.expr("filter(all, i -> i.e > low and i.s < high)").alias("spans"))
 
 
-def feed_zones(feeds: DataFrame, limit: int = 4096) -> list[str]:
-    """The distinct valid zone names of the feeds table, which is a small dimension; more than limit is an error."""
-    known = zoneinfo.available_timezones()
-    rows = feeds.select("tz_name").where("tz_name is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the feeds table names more than {limit} zones")
-    return [r[0] for r in rows if r[0] in known]
+def _like_year() -> Column:
+    """A year of YEARS with the same first weekday and the same length as the year ``_pl_y``."""
+    same = {}
+    for y in range(YEARS[1] - 40, YEARS[1] + 1):
+        same[(dt.date(y, 1, 1).weekday(), int((dt.date(y + 1, 1, 1) - dt.date(y, 1, 1)).days))] = y
+    table = F.create_map(*[F.lit(v) for (weekday, days), y in same.items() for v in (weekday * 1000 + days, y)])
+    first, nxt = (F.expr(f"cast(try_make_timestamp_ntz(_pl_y + {k}, 1, 1, 0, 0, 0) as date)") for k in (0, 1))
+    return F.try_element_at(table, F.weekday(first) * 1000 + F.coalesce(F.datediff(nxt, first), F.lit(365)))
 
 
 def _number(part: str) -> Column:
@@ -106,11 +150,10 @@ def instants(df: DataFrame, text: str, feeds: DataFrame, feed: str = "feed", out
     kept as they are; helper columns have names beginning with ``_pl_`` and are dropped. An empty table gives an empty table.
     """
     spark = df.sparkSession
-    fd = F.broadcast(  # a fixed dimension; feed_zones() has checked its zones
+    fd = F.broadcast(  # a fixed dimension
         feeds.where(F.col("feed").isNotNull()).groupBy(F.col("feed").alias("_pl_feed")).agg(F.first("tz_name").alias("_pl_tz"), F.first("day_first").alias("_pl_df"))
     )
-    zones = feed_zones(feeds)
-    spans = F.broadcast(exploded_intervals(spark, zones).select(F.col("tz_name").alias("_pl_z"), F.col("tz_year").alias("_pl_zy"), F.col("spans").alias("_pl_spans")))
+    spans = F.broadcast(exploded_intervals(spark).select(F.col("tz_name").alias("_pl_z"), F.col("tz_cell").alias("_pl_zy"), F.col("spans").alias("_pl_spans")))  # of the zone database's size
 
     canon = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     for pattern, form in _FORMS:
@@ -151,7 +194,6 @@ def instants(df: DataFrame, text: str, feeds: DataFrame, feed: str = "feed", out
         "_pl_fixed",
         F.when(F.col(o) != "", signed.cast("bigint")).when(F.col("_pl_name") != "", F.element_at(abbreviations, F.upper("_pl_name")).cast("bigint")),
     )
-    known = sorted(zoneinfo.available_timezones())
     x = x.withColumn(
         "_pl_z1",
         F.when(zone == "", F.col("_pl_tz")).when(F.col("_pl_fixed").isNull() & (F.col("_pl_name") != ""), F.col("_pl_name")),
@@ -165,13 +207,16 @@ def instants(df: DataFrame, text: str, feeds: DataFrame, feed: str = "feed", out
             F.unix_date(date).cast("bigint") * DAY_US + ((F.col("_pl_h") * 60 + F.col("_pl_mi")) * 60 + F.col("_pl_s")).cast("bigint") * 1_000_000 + F.col("_pl_f"),
         ),
     )
-    x = x.join(spans, (F.col("_pl_z1") == F.col("_pl_z")) & (F.col("_pl_y") == F.col("_pl_zy")), "left")
-    x = x.withColumn("_pl_hit", F.expr("filter(_pl_spans, i -> _pl_local >= i.s and _pl_local < i.e)"))
+    # a year after all that are listed is looked up as one with the same calendar
+    x = x.withColumn("_pl_year", F.when(F.col("_pl_y") > YEARS[1], _like_year()).otherwise(F.greatest("_pl_y", F.lit(YEARS[0] // CELL * CELL - 1))))
+    apart = F.expr("datediff(cast(try_make_timestamp_ntz(_pl_y, 1, 1, 0, 0, 0) as date), cast(try_make_timestamp_ntz(_pl_year, 1, 1, 0, 0, 0) as date))").cast("bigint") * DAY_US
+    x = x.withColumn("_pl_at", F.when(F.col("_pl_y") > YEARS[1], F.col("_pl_local") - apart).otherwise(F.col("_pl_local")))
+    x = x.join(spans, (F.col("_pl_z1") == F.col("_pl_z")) & (F.floor(F.col("_pl_year") / CELL) == F.col("_pl_zy")), "left")
+    x = x.withColumn("_pl_hit", F.expr("filter(_pl_spans, i -> _pl_at >= i.s and _pl_at < i.e)"))
     # two intervals: the earlier instant has the greater offset; none: the last interval that ended before
     from_spans = F.expr(
-        "_pl_local - case when size(_pl_hit) >= 1 then array_max(transform(_pl_hit, i -> i.o)) else array_max(filter(_pl_spans, i -> i.e <= _pl_local)).o end"
+        "_pl_local - case when size(_pl_hit) >= 1 then array_max(transform(_pl_hit, i -> i.o)) else array_max(filter(_pl_spans, i -> i.e <= _pl_at)).o end"
     )
-    by_rules = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col("_pl_local")), F.when(F.col("_pl_z1").isin(known), F.col("_pl_z1"))))
     n, frac = F.regexp_extract("_pl_c", _EPOCH, 1), F.regexp_extract("_pl_c", _EPOCH, 2)
     x = x.select("*", n.alias("_pl_n"), frac.alias("_pl_nf"))
     micro = F.expr("try_cast(_pl_n as bigint)")
@@ -185,6 +230,5 @@ def instants(df: DataFrame, text: str, feeds: DataFrame, feed: str = "feed", out
         .when(F.col("_pl_fixed").isNotNull(), F.col("_pl_local") - F.col("_pl_fixed") * 60_000_000)
         .when((F.col(o) != ""), F.lit(None).cast("bigint"))
         .when(F.col("_pl_spans").isNotNull(), from_spans)
-        .when(F.col("_pl_z1").isNotNull(), by_rules)
     )
     return x.select(*[df[c] for c in df.columns], instant.alias(out))

@@ -316,17 +316,6 @@ def authors(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("made_by").agg(F.count("*").alias("n"), F.round(F.avg(numeric.cast("double")), 6).alias("numeric_share"), F.round(F.avg(F.when(numeric, passed)), 6).alias("numeric_pass"), F.min("verification_status").alias("first_status"))
 
 
-@query(
-    "with p as (select p_partkey, p_size, cast(p_partkey % 37 + 1 as double) as a, cast(p_partkey % 11 + 1 as double) as b, cast(p_partkey % 5 as double) as c from part) select p_partkey, round(a / b, 6) as current_ratio, round((a - c) / b, 6) as quick_ratio, round(b / nullif(c, 0), 6) as leverage, round(1.2 * (a - b) / (a + b) + 1.4 * c / (a + b) + 3.3 * (a - c) / (a + b) + 0.6 * a / b + p_size / (a + b), 6) as z from p"
-)
-def statement_ratios(spark: SparkSession, folder: str) -> DataFrame:
-    """Ratios of statement items, null where a denominator is 0, and a weighted score of them."""
-    p = table(spark, folder, "part").select("p_partkey", "p_size", (F.pmod("p_partkey", F.lit(37)) + 1).cast("double").alias("a"), (F.pmod("p_partkey", F.lit(11)) + 1).cast("double").alias("b"), F.pmod("p_partkey", F.lit(5)).cast("double").alias("c"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    z = 1.2 * (a - b) / (a + b) + 1.4 * c / (a + b) + 3.3 * (a - c) / (a + b) + 0.6 * a / b + F.col("p_size") / (a + b)
-    return p.select("p_partkey", F.round(div(a, b), 6).alias("current_ratio"), F.round(div(a - c, b), 6).alias("quick_ratio"), F.round(div(b, c), 6).alias("leverage"), F.round(z, 6).alias("z"))
-
-
 def tree_values(strike: pd.Series, deviation: pd.Series, spot: float, rate: float, years: float, steps: int) -> pd.Series:
     """Puts that may be exercised early, on a binomial tree: the whole column is rolled back at once, step by step, over an array of nodes by options."""
     k, up = strike.to_numpy(float), np.exp(deviation.to_numpy(float) * math.sqrt(years / steps))

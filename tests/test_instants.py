@@ -46,7 +46,9 @@ CASES = [
     ("2021-10-31 01:30:00", "ldn", us(2021, 10, 31, 0, 30)),
     ("2021-10-03 02:30:00", "syd", us(2021, 10, 2, 16, 30)),
     ("1955-06-01 00:00:00", "utc", us(1955, 6, 1)),
-    ("2150-07-01 00:00:00", "ny", us(2150, 7, 1, 4)),
+    ("2150-07-01 00:00:00", "ny", us(2150, 7, 1, 4)), ("1890-01-01 00:00:00", "utc", us(1890, 1, 1)), ("1935-07-01 12:00:00", "ldn", us(1935, 7, 1, 11)),
+    ("2400-03-12 01:59:59", "ny", us(2400, 3, 12, 6, 59, 59)), ("2400-03-12 03:00:00", "ny", us(2400, 3, 12, 7)), ("2101-07-01 00:00:00 Europe/Berlin", "utc", us(2101, 6, 30, 22)), ("9999-12-31 23:59:59 Asia/Tokyo", "utc", us(9999, 12, 31, 14, 59, 59)),
+    ("1990-07-01 00:00:00 America/Argentina/Buenos_Aires", "utc", us(1990, 7, 1, 3)),
     ("2020-01-02T03:04:60Z", "utc", us(2020, 1, 2, 3, 5)),
     ("2020-02-30 00:00:00", "utc", None), ("0000-00-00 00:00:00", "utc", None), ("2023-13-41T25:61:00Z", "utc", None), ("2020-01-02 13:00 PM", "utc", None),
     ("2020-01-02", "utc", None), ("pending", "utc", None), ("T+1", "utc", None), ("", "utc", None), ("-", "utc", None), (None, "utc", None),
@@ -87,6 +89,26 @@ def test_empty_and_repeated(spark):
     assert instants(twice, "at", doubled).count() == 2
 
 
+def test_no_other_rules_than_the_intervals(spark):
+    """Every zone, in the feeds or not, and every year goes through the join: the plan has no other conversion."""
+    feeds = spark.createDataFrame(FEEDS, SCHEMA)
+    plan = instants(spark.createDataFrame([("2020-01-02 03:04 Asia/Tokyo", "ny")], "at string, feed string"), "at", feeds)._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_utc_timestamp" not in plan
+
+
+@pytest.mark.parametrize("zone", ["Africa/Casablanca", "America/Toronto", "Antarctica/Troll", "Asia/Tehran", "Europe/Dublin"])
+def test_intervals_agree_with_the_library(zone):
+    import random
+    import zoneinfo
+
+    r, tz, spans = random.Random(zone), zoneinfo.ZoneInfo(zone), offset_intervals(zone)
+    for _ in range(3000):
+        at = dt.datetime(r.randrange(1900, 2101), r.randrange(1, 13), r.randrange(1, 29), r.randrange(24), r.randrange(60))
+        sec = int((at - dt.datetime(1970, 1, 1)).total_seconds())
+        hit = [o for s, e, o in spans if s <= sec < e]
+        assert at.replace(tzinfo=tz).utcoffset().total_seconds() == (max(hit) if hit else max((e, o) for s, e, o in spans if e <= sec)[1]), at
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "Europe/Berlin", "Australia/Sydney", "Asia/Kolkata", "UTC"])
 def test_intervals_cover_time(zone):
     spans = offset_intervals(zone)
