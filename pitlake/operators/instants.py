@@ -107,23 +107,27 @@ def offset_intervals(zone: str) -> list[tuple[int, int, int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def _all_intervals() -> tuple[list[str], list[str]]:
-    """The zones there are, and the intervals of each as a text of numbers."""
-    zones = sorted(zoneinfo.available_timezones())
-    return zones, [";".join(",".join(map(str, span)) for span in offset_intervals(z)) for z in zones]
+def _cells() -> list[tuple[str, int, str]]:
+    """Of all zones there are: the zone, CELL years, and the intervals that touch them by two days or less, as a text of numbers in microseconds.
+
+    The cell before YEARS stands for all of time before it.
+    """
+    at = lambda cell: int((dt.datetime(cell * CELL, 1, 1, tzinfo=dt.UTC) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)).total_seconds())
+    first, last, margin = YEARS[0] // CELL, YEARS[1] // CELL, 2 * 86_400
+    bounds = [(first - 1, -(2**60), at(first) + margin)] + [(c, at(c) - margin, at(c + 1) + margin) for c in range(first, last + 1)]
+    micros = lambda t: t * 1_000_000 if abs(t) < 2**60 else t
+    out = []
+    for zone in sorted(zoneinfo.available_timezones()):
+        spans = [(s, e, f"{micros(s)},{micros(e)},{o * 1_000_000}") for s, e, o in offset_intervals(zone)]
+        out += [(zone, cell, ";".join(t for s, e, t in spans if e > low and s < high)) for cell, low, high in bounds]
+    return out
 
 
 def exploded_intervals(spark: SparkSession) -> DataFrame:
-    """One row per zone and CELL years with the intervals that touch them or end before: tz_name, tz_cell, spans in microseconds."""
-    x = spark.createDataFrame(list(zip(*_all_intervals(), strict=True)), "tz_name string, t string")
-    micros = lambda k: f"cast(split(p, ',')[{k}] as bigint) * if(abs(cast(split(p, ',')[{k}] as bigint)) < {2**60}, 1000000, 1)"
-    spans = F.expr(f"transform(split(t, ';'), p -> named_struct('s', {micros(0)}, 'e', {micros(1)}, 'o', {micros(2)}))")
-    cells = F.array(F.lit(YEARS[0] // CELL - 1), *[F.lit(c) for c in range(YEARS[0] // CELL, YEARS[1] // CELL + 1)])
-    x = x.select("tz_name", spans.alias("all"), F.explode(cells).alias("tz_cell"))
-    low = F.when(F.col("tz_cell") < YEARS[0] // CELL, F.lit(-(2**60))).otherwise(F.unix_micros(F.make_timestamp(F.col("tz_cell") * CELL, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) - 2 * DAY_US)
-    high = F.unix_micros(F.make_timestamp((F.col("tz_cell") + 1) * CELL, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + 2 * DAY_US
-    x = x.select("tz_name", "tz_cell", "all", low.alias("low"), high.alias("high"))
-    return x.select("tz_name", "tz_cell", F.expr("filter(all, i -> i.e > low and i.s < high)").alias("spans"))
+    """One row per zone and CELL years with the intervals that touch them: tz_name, tz_cell, spans in microseconds."""
+    x = spark.createDataFrame(_cells(), "tz_name string, tz_cell int, t string")
+    number = lambda k: f"cast(split(p, ',')[{k}] as bigint)"
+    return x.select("tz_name", "tz_cell", F.expr(f"transform(split(t, ';'), p -> named_struct('s', {number(0)}, 'e', {number(1)}, 'o', {number(2)}))").alias("spans"))
 
 
 def _like_year() -> Column:

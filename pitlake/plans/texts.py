@@ -206,7 +206,15 @@ def parsed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+#: What a page's visible text leaves out, in a pattern without references back, which the SQL engine's patterns lack.
+_UNSEEN = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "nav", "header", "footer", "noscript"))
+
+
+@query(
+    rf"""with a as (select doc_id, regexp_replace(text, '(?is){_UNSEEN}|<!--.*?-->', ' ', 'g') as t from documents where text is not null), b as (select doc_id, regexp_replace(t, '(?is)<[^>]+>', ' ', 'g') as t from a),
+c as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from b), d as (select doc_id, trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') as t from c)
+select doc_id, cast(length(t) as int) as n, sha256(lower(trim(regexp_replace(translate(t, '‘’“”–—', chr(39) || chr(39) || '""--'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))) as h from d"""
+)
 def plain_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Visible text of each document as if it were a page: tags, scripts and entities resolved, with its length."""
     x = table(spark, folder, "documents").where("text is not null").select("doc_id", visible_text(F.col("text")).alias("t"))

@@ -87,7 +87,7 @@ def first_reported(facts: DataFrame, keys: list[str], filed: str, accession: str
 
 def item_events(filings: DataFrame, items: str, wanted: str, members: DataFrame, cik: str = "cik", day: str = "filed") -> DataFrame:
     """Filings that list an item, of companies that were members in the year of filing."""
-    x = filings.where(F.array_contains(F.transform(F.split(items, ","), F.trim), wanted)).withColumn("_y", F.year(day))
+    x = filings.where(F.array_contains(F.transform(F.split(items, ","), lambda x: F.trim(x)), wanted)).withColumn("_y", F.year(day))
     m = members.select(F.col("cik").alias("_c"), F.col("year").alias("_m")).distinct()
     return x.join(m, (x[cik] == m["_c"]) & (x["_y"] == m["_m"]), "left_semi").drop("_y")
 

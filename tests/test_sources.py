@@ -60,7 +60,7 @@ def test_versions_and_panels(spark):
     assert [tuple(r) for r in readers.first_reported(f, ["cik"], "filed", "accn", "val").collect()] == [(1, 4.0, "2020-01-01")]
     x = spark.createDataFrame([(1, "2.02, 9.01", "2020-05-01"), (2, "2.02", "2020-05-01"), (1, "8.01", "2020-05-01")], "cik int, items string, filed string")
     m = spark.createDataFrame([(1, 2020), (1, 2020), (2, 2019)], "cik int, year int")
-    assert [r.cik for r in readers.item_events(x, "items", "2.02", m).collect()] == [1]
+    assert [r.cik for r in readers.item_events(x, "items", "2.02", m).collect()] == [1] == [r.cik for r in readers.item_events(x, "items", "9.01", m).collect()]
     s = readers.synthetic_prices(spark, ["AB", "C"], "2020-01-01", "2020-01-10")
     assert s.count() == 20 and s.where("close is null").count() == 0
     assert readers.report(h.where("v = 2")).first().value == '{"k":"a","v":2,"s":"y"}'
