@@ -1,4 +1,4 @@
-"""Window queries over monthly bars and the daily index."""
+"""Window queries over monthly, daily and half-hourly bars and the daily index."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pitlake.functions.columns import ahead, at_least, average_rank, back, clip, correlation, div, over_rows, percent_of, unit_rank, week_end
 from pitlake.operators.pairs import closest_pairs
 from pitlake.plans.registry import query
-from pitlake.plans.views import bars_m, px_d, using
+from pitlake.plans.views import bars_30m, bars_m, px_d, using
 from pitlake.sources.tables import table
 
 
-
 def by_sym() -> WindowSpec:
     return W.partitionBy("sym").orderBy("day")
 
@@ -197,19 +196,63 @@ def turn_of_month(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("day", "tom", (F.col("tom") & ~F.lag("tom", 1, False).over(by_day())).alias("enters"), (F.col("tom") & ~F.lead("tom", 1, False).over(by_day())).alias("leaves"))
 
 
+_DAYS = """with b as (select distinct bar_id, ticker, timestamp as t, open, close from bars where ticker is not null), d as (select ticker, cast(t as date) as day, arg_min(open, struct_pack(t := t, i := bar_id)) filter (where open > 0) as open, arg_max(close, struct_pack(t := t, i := bar_id)) filter (where close > 0) as close from b group by 1, 2),
+x as (select *, close / lag(close) over (partition by ticker order by day) - 1 as r from d where close is not null and open is not null)"""
+
+
+def days_of(spark: SparkSession, folder: str) -> DataFrame:
+    """ticker, day, open, close, r: the first open and last close above 0 of each day, with the change on the day before; one row for each day, however many bars."""
+    b = table(spark, folder, "bars").where("ticker is not null").select("bar_id", "ticker", "timestamp", "open", "close").distinct()
+    at = F.struct("timestamp", "bar_id")
+    pick = lambda f, c: f(c, F.when(F.col(c) > 0, at))
+    d = b.groupBy("ticker", F.col("timestamp").cast("date").alias("day")).agg(pick(F.min_by, "open").alias("open"), pick(F.max_by, "close").alias("close")).where("open is not null and close is not null")
+    return d.withColumn("r", back("close", 1, W.partitionBy("ticker").orderBy("day")))
+
+
 @query(
-    """with p as (select user_id, cast(ts as date) as day, cast(sum(cast(value as decimal(18,4))) as double) as close from events group by 1, 2), x as (select user_id, day, close, close / lag(close) over (partition by user_id order by day) - 1 as r from p where close > 0),
-z as (select *, avg(r) over w as m, stddev_samp(r) over w as s, count(r) over w as k, lead(close, 5) over (partition by user_id order by day) / close - 1 as later from x window w as (partition by user_id order by day rows between 60 preceding and 1 preceding))
-select user_id, day, round(r, 6) as r, round((r - m) / s, 4) as z, round(later, 6) as later from z where k >= 10 and s > 0 and abs(r - m) > 4 * s"""
+    _DAYS
+    + """, z as (select *, stddev_samp(r) over h as s, count(r) over h as k, lead(close, 5) over w / lead(open) over w - 1 as later from x window w as (partition by ticker order by day), h as (partition by ticker order by day rows between 60 preceding and 1 preceding))
+select ticker, day, round(r, 6) as r, round(r / s, 3) as z, round(later, 6) as later from z where k >= 20 and s > 0 and abs(r) > 4 * s"""
 )
 def spike_triggers(spark: SparkSession, folder: str) -> DataFrame:
-    """Days whose change departs by over four deviations of the up to 60 active days before, of which there must be ten, with the change over the next five: by user."""
-    p = table(spark, folder, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("close")).where("close > 0")
-    by = W.partitionBy("user_id").orderBy("day")
-    w = by.rowsBetween(-60, -1)
-    x = p.select("user_id", "day", back("close", 1, by).alias("r"), (F.lead("close", 5).over(by) / F.col("close") - 1).alias("later"))
-    x = x.select("*", F.avg("r").over(w).alias("m"), F.stddev_samp("r").over(w).alias("s"), F.count("r").over(w).alias("k")).where("k >= 10 and s > 0 and abs(r - m) > 4 * s")
-    return x.select("user_id", "day", F.round("r", 6).alias("r"), F.round((F.col("r") - F.col("m")) / F.col("s"), 4).alias("z"), F.round("later", 6).alias("later"))
+    """Days on which a ticker moves by over four deviations of the 60 days before, of which 20 must be known, with the return of the next five days from the next open."""
+    w = W.partitionBy("ticker").orderBy("day")
+    h = w.rowsBetween(-60, -1)
+    x = days_of(spark, folder)
+    x = x.select("ticker", "day", "r", F.stddev_samp("r").over(h).alias("s"), F.count("r").over(h).alias("k"), (F.lead("close", 5).over(w) / F.lead("open").over(w) - 1).alias("later")).where("k >= 20 and s > 0 and abs(r) > 4 * s")
+    return x.select("ticker", "day", F.round("r", 6).alias("r"), F.round(F.col("r") / F.col("s"), 3).alias("z"), F.round("later", 6).alias("later"))
+
+
+@query(
+    _DAYS
+    + """, z as (select *, close / lag(close, 20) over w - 1 as m, avg(close) over m100 as a, count(*) over m100 as n100, stddev_samp(r) over m60 as s, count(r) over m60 as k, row_number() over w as i, avg(r) over (partition by ticker order by day rows between 19 preceding and current row) as mean from x
+  window w as (partition by ticker order by day), m100 as (partition by ticker order by day rows between 99 preceding and current row), m60 as (partition by ticker order by day rows between 59 preceding and current row))
+select ticker, day, m > 0 and close > a as on_, round(case when m > 0 and close > a then least(1, 0.3 / greatest(s * sqrt(365), 0.05)) else 0 end, 6) as weight, round(close * pow(1 + mean, 5), 6) as projected from z where i >= 120"""
+)
+def trend_state(spark: SparkSession, folder: str) -> DataFrame:
+    """From 120 closes on: whether a ticker rose over 20 days and stands above its mean of 100, the weight by its deviation of 60 days, not below 5 % a year, and the close projected five days on by the mean of 20 changes."""
+    w = W.partitionBy("ticker").orderBy("day")
+    x = days_of(spark, folder)
+    x = x.select("ticker", "day", "close", "r", back("close", 20, w).alias("m"), F.avg("close").over(over_rows(w, 100)).alias("a"), F.stddev_samp("r").over(over_rows(w, 60)).alias("s"), F.avg("r").over(over_rows(w, 20)).alias("mean"), F.row_number().over(w).alias("i")).where("i >= 120")
+    on = (F.col("m") > 0) & (F.col("close") > F.col("a"))
+    weight = F.when(on, F.least(F.lit(1.0), 0.3 / F.greatest(F.col("s") * math.sqrt(365), F.lit(0.05)))).otherwise(0.0)
+    return x.select("ticker", "day", on.alias("on_"), F.round(weight, 6).alias("weight"), F.round(F.col("close") * F.pow(1 + F.col("mean"), 5), 6).alias("projected"))
+
+
+@query(
+    using("bars_30m")
+    + """, k as (select *, row_number() over (partition by sym, day order by slot desc) as back, count(*) over (partition by sym, day) as bars from bars_30m), d as (select sym, day, any_value(bars) as n, max(case when back = 1 then open end) as o, max(case when back = 1 then close end) as c, max(case when back = 2 then close end) as before from k group by 1, 2),
+p as (select *, lag(c) over (partition by sym order by day) as close0 from d) select sym, day, cast(sign(before / nullif(close0, 0) - 1) as int) as side, round(sign(before / nullif(close0, 0) - 1) * (c / nullif(o, 0) - 1), 6) + 0.0 as ret from p where n >= 2 and close0 is not null"""
+)
+def last_half_hour(spark: SparkSession, folder: str) -> DataFrame:
+    """The last half-hour of each session in the direction that the session had against the close before it until then."""
+    s = W.partitionBy("sym", "day")
+    k = bars_30m(spark, folder).select("sym", "day", "open", "close", F.row_number().over(s.orderBy(F.desc("slot"))).alias("back"))
+    at = lambda n, c: F.max(F.when(F.col("back") == n, F.col(c)))
+    d = k.groupBy("sym", "day").agg(F.count("*").alias("n"), at(1, "open").alias("o"), at(1, "close").alias("c"), at(2, "close").alias("before"))
+    d = d.withColumn("close0", F.lag("c").over(W.partitionBy("sym").orderBy("day"))).where("n >= 2 and close0 is not null")
+    side = F.signum(div(F.col("before"), F.col("close0")) - 1)
+    return d.select("sym", "day", side.cast("int").alias("side"), (F.round(side * (div(F.col("c"), F.col("o")) - 1), 6) + 0.0).alias("ret"))
 
 
 @query(using("px_d") + " select cast(day + cast((5 - isodow(day) + 7) % 7 as int) as date) as week, round(last(close order by day), 6) as close, count(*) as n from px_d group by 1")
