@@ -132,12 +132,14 @@ def trailing_year(spark: SparkSession, folder: str) -> DataFrame:
 i as (select *, sum(new) over (partition by cik order by period_end, first_filed, fact_id) as island from g) select cik, last(period_end order by first_filed, fact_id) as period_end, last(fact_id order by first_filed, fact_id) as fact_id, count(*) as n from i group by cik, island"""
 )
 def merged_periods(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts whose period ends lie within 20 days of each other are one period; the last filed stands for it."""
-    w = W.partitionBy("cik").orderBy("period_end", "first_filed", "fact_id")
+    """Facts whose period ends lie within 20 days of each other are one period; the last filed stands for it. Facts of one day are counted before the window."""
+    last = F.struct("first_filed", "fact_id", "period_end")
     x = table(spark, folder, "quarters").select("fact_id", "cik", "source", "period_end", "value", "first_filed").distinct()
+    x = x.groupBy("cik", "period_end").agg(F.max(last).alias("last"), F.count("*").alias("n"))
+    w = W.partitionBy("cik").orderBy("period_end")
     x = x.withColumn("new", F.when(F.datediff("period_end", F.lag("period_end").over(w)) <= 20, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    last = F.struct("first_filed", "fact_id")
-    return x.groupBy("cik", "island").agg(F.max_by("period_end", last).alias("period_end"), F.max_by("fact_id", last).alias("fact_id"), F.count("*").alias("n")).drop("island")
+    y = x.groupBy("cik", "island").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+    return y.select("cik", "last.period_end", "last.fact_id", "n")
 
 
 @query(
@@ -145,9 +147,15 @@ def merged_periods(spark: SparkSession, folder: str) -> DataFrame:
     + """, a as (select run_id, sym, made, p from preds), b as (select a.run_id, count(b.run_id) as n, avg(b.p) as mp from a left join a b on b.sym = a.sym and b.made < a.made and b.made >= a.made - 90 group by a.run_id) select run_id, n, round(mp, 11) as mean_p from b"""
 )
 def earlier_within(spark: SparkSession, folder: str) -> DataFrame:
-    """Each prediction with the number and mean of those on the same symbol in the 90 days before it: a range frame, not a join."""
-    w = W.partitionBy("sym").orderBy(F.unix_date("made")).rangeBetween(-90, -1)
-    return preds(spark, folder).select("run_id", F.count("p").over(w).alias("n"), F.round(F.avg("p").over(w), 11).alias("mean_p"))
+    """Each prediction with the number and mean of those on the same symbol in the 90 days before it: a range frame, not a join.
+
+    A symbol's rows lie in slots of 90 days, its own and the next one's, so that a frame never reaches beyond a slot and a hot symbol spreads over them.
+    """
+    day = F.unix_date("made")
+    own = F.floor(day / 90)
+    x = preds(spark, folder).select("run_id", "sym", day.alias("d"), "p", own.alias("own"), F.explode(F.array(own, own + 1)).alias("slot"))
+    w = W.partitionBy("sym", "slot").orderBy("d").rangeBetween(-90, -1)
+    return x.select("run_id", F.count("p").over(w).alias("n"), F.round(F.avg("p").over(w), 11).alias("mean_p"), (F.col("slot") == F.col("own")).alias("_own")).where("_own").drop("_own")
 
 
 @query(

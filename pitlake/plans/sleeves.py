@@ -190,3 +190,49 @@ def paper_trading(spark: SparkSession, folder: str) -> DataFrame:
     k = k.join(days, ["sector", "day"]).where("next is not null").select("sector", F.col("next").alias("day"), "sym", "place")
     x = paper_books(sessions_of(k, b, "sector", "day", "sym", "place"), "bigint", places=PLACES)
     return x.select("key", "day", F.round("equity", 4).alias("equity"), (F.round("cash", 4) + 0.0).alias("cash"), "shares", F.round("traded", 4).alias("traded"), "halted")
+
+
+@query(
+    using("bars_m")
+    + """, x as (select sym, day, lag(close) over w / nullif(lag(close, 12) over w, 0) - 1 as mom, lead(close) over w / close - 1 as nxt from bars_m window w as (partition by sym order by day)),
+k as (select *, row_number() over (partition by day order by mom, sym) as i, count(*) over (partition by day) as n from x where mom is not null), q as (select sym, day, nxt, n, case when i > n - n // 5 then 1.0::double when i <= n // 5 then -1.0::double else 0 end / greatest(n // 5, 1) as w from k where n >= 20),
+s as (select day, any_value(n) as n, sum(w * nxt) as raw from q group by day), v as (select *, stddev_samp(raw) over h as dev, count(raw) over h as months from s window h as (order by day rows between 12 preceding and 1 preceding)),
+c as (select *, least(0.1 / nullif(dev * sqrt(12), 0), 2) as scale from v where months >= 6), t as (select q.sym, q.day, q.w * c.scale as w from q join c using (day)), u as (select day, sum(abs(w - coalesce(before, 0))) / 2 as turnover from (select *, lag(w) over (partition by sym order by day) as before from t) group by day)
+select day, n, round(scale, 6) as scale, round(scale * raw, 8) as ret, round(turnover, 6) as turnover from c join u using (day)"""
+)
+def momentum_sleeve(spark: SparkSession, folder: str) -> DataFrame:
+    """By month the fifth that rose most over a year but its last month against the fifth that rose least, scaled by the deviation of the sleeve's own last 12 months, with its turnover."""
+    w = by_sym()
+    x = bars_m(spark, folder).select("sym", "day", (div(F.lag("close").over(w), F.lag("close", 12).over(w)) - 1).alias("mom"), (F.lead("close").over(w) / F.col("close") - 1).alias("nxt")).where("mom is not null")
+    day = W.partitionBy("day")
+    q = x.select("sym", "day", "nxt", F.row_number().over(day.orderBy("mom", "sym")).alias("i"), F.count("*").over(day).alias("n")).where("n >= 20").withColumn("fifth", F.floor(F.col("n") / 5))
+    q = q.withColumn("w", F.when(F.col("i") > F.col("n") - F.col("fifth"), 1.0).when(F.col("i") <= F.col("fifth"), -1.0).otherwise(0.0) / F.col("fifth"))
+    h = W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(-12, -1)  # one row for each month
+    c = q.groupBy("day", "n").agg(F.sum(F.col("w") * F.col("nxt")).alias("raw")).select("*", F.stddev_samp("raw").over(h).alias("dev"), F.count("raw").over(h).alias("months")).where("months >= 6")
+    c = c.withColumn("scale", F.least(div(F.lit(0.1), F.col("dev") * math.sqrt(12)), F.lit(2.0)))
+    t = q.join(c.select("day", "scale"), "day").select("sym", "day", (F.col("w") * F.col("scale")).alias("w"))
+    u = t.withColumn("before", F.lag("w").over(by_sym())).groupBy("day").agg((F.sum(F.abs(F.col("w") - F.coalesce("before", F.lit(0.0)))) / 2).alias("turnover"))
+    return c.join(u, "day").select("day", "n", F.round("scale", 6).alias("scale"), F.round(F.col("scale") * F.col("raw"), 8).alias("ret"), F.round("turnover", 6).alias("turnover"))
+
+
+@query(
+    using("bars_m")
+    + """, m as (select day, avg(close) as mc from bars_m group by day), r as (select b.sym, b.day, b.close / lag(b.close) over w - 1 as r, m.mc / lag(m.mc) over w - 1 as rm, lead(b.close) over w / b.close - 1 as nxt from bars_m b join m using (day) window w as (partition by b.sym order by b.day)),
+b as (select *, covar_samp(r, rm) over h / nullif(var_samp(rm) over h, 0) as beta, count(r) over h as k from r where r is not null window h as (partition by sym order by day rows between 24 preceding and 1 preceding)), e as (select *, r - beta * rm as e from b where k >= 12),
+s as (select *, -sum(e) over three / nullif(stddev_samp(e) over long, 0) as score, count(e) over long as n from e window three as (partition by sym order by day rows between 2 preceding and current row), long as (partition by sym order by day rows between 23 preceding and current row)),
+k as (select *, row_number() over (partition by day order by score, sym) as i, count(*) over (partition by day) as names from s where n >= 6 and score is not null and nxt is not null), d as (select day, any_value(names) as names, avg(nxt) filter (where i > names - greatest(1, names // 10)) - avg(nxt) filter (where i <= greatest(1, names // 10)) as ret from k where names >= 20 group by day)
+select day, names, round(ret, 8) as ret, round(avg(ret) over (order by day rows between 2 preceding and current row), 8) as book from d"""
+)
+def residual_reversal(spark: SparkSession, folder: str) -> DataFrame:
+    """By month the tenth whose residuals against the market fell most over three months, in their own deviations, against the tenth whose rose most; and the book that overlaps three months."""
+    w, b = by_sym(), bars_m(spark, folder)
+    x = b.join(b.groupBy("day").agg(F.avg("close").alias("mc")), "day")
+    x = x.select("sym", "day", back("close", 1, w).alias("r"), back("mc", 1, w).alias("rm"), (F.lead("close").over(w) / F.col("close") - 1).alias("nxt")).where("r is not null")
+    h, three, long = w.rowsBetween(-24, -1), w.rowsBetween(-2, 0), w.rowsBetween(-23, 0)
+    x = x.select("*", div(F.covar_samp("r", "rm").over(h), F.var_samp("rm").over(h)).alias("beta"), F.count("r").over(h).alias("k")).where("k >= 12").withColumn("e", F.col("r") - F.col("beta") * F.col("rm"))
+    x = x.select("sym", "day", "nxt", div(-F.sum("e").over(three), F.stddev_samp("e").over(long)).alias("score"), F.count("e").over(long).alias("n")).where("n >= 6 and score is not null and nxt is not null")
+    day = W.partitionBy("day")
+    k = x.select("day", "nxt", F.row_number().over(day.orderBy("score", "sym")).alias("i"), F.count("*").over(day).alias("names")).where("names >= 20").withColumn("tenth", F.greatest(F.lit(1), F.floor(F.col("names") / 10)))
+    mean = lambda c: F.avg(F.when(c, F.col("nxt")))
+    d = k.groupBy("day", "names").agg((mean(F.col("i") > F.col("names") - F.col("tenth")) - mean(F.col("i") <= F.col("tenth"))).alias("ret"))
+    return d.select("day", "names", F.round("ret", 8).alias("ret"), F.round(F.avg("ret").over(W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(-2, 0)), 8).alias("book"))  # one row for each month

@@ -108,7 +108,7 @@ def compressed_numeric_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """with recursive e as (select ticker as key, evidence_id as item, evidence_id, data_quality_score, retrieved_at from (select distinct evidence_id, ticker, retrieved_at, data_quality_score from evidence_refs where ticker is not null)),
-s as (select key, item, length(item) * 7 % 400 + 20 + ascii(right(item, 1)) as size, row_number() over (partition by key order by -data_quality_score nulls first, -epoch_us(retrieved_at) nulls first, item) as i from e),
+s as (select key, item, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(item, ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda d, k: case when d & 1 = 1 then xor(3988292384, d >> 1) else d >> 1 end))) % 400 + 20 as size, row_number() over (partition by key order by -data_quality_score nulls first, -epoch_us(retrieved_at) nulls first, item) as i from e),
 p as (select key, item, size, i, size <= 1000 as taken, case when size <= 1000 then size else 0 end as used from s where i = 1 union all select s.key, s.item, s.size, s.i, p.used + s.size <= 1000, p.used + case when p.used + s.size <= 1000 then s.size else 0 end from p join s on s.key = p.key and s.i = p.i + 1)
 select key, item as evidence_id, taken, cast(used as bigint) as used from p"""
 )
@@ -116,7 +116,7 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     """By ticker the evidence that fits a budget, best and newest first, skipping what doesn't fit and going on: a streamed fold by ticker, whose state is one running total."""
     x = table(spark, folder, "evidence_refs").where("ticker is not null").select("evidence_id", "ticker", "retrieved_at", "data_quality_score").distinct()
     x = x.select(
-        F.col("ticker").alias("key"), F.col("evidence_id").alias("item"), (F.length("evidence_id") * 7 % 400 + 20 + F.ascii(F.right("evidence_id", F.lit(1)))).alias("size"),
+        F.col("ticker").alias("key"), F.col("evidence_id").alias("item"), (F.pmod(F.crc32("evidence_id"), F.lit(400)) + 20).alias("size"),
         (-F.col("data_quality_score")).alias("a"), (-F.unix_micros("retrieved_at")).alias("b"),
     )
     return fold(x, ["key"], ["a", "b", "item"], greedy(1000), "key string, item string, taken boolean, used bigint").withColumnRenamed("item", "evidence_id")

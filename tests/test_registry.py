@@ -29,7 +29,7 @@ def test_entry_without_the_subpackage(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p6_found", "momentum_rank_ic", "selector_arm", "brake_overlay", "sessions", "graph_neighbours"])
+@pytest.mark.parametrize("name", ["p4_found", "p6_found", "momentum_rank_ic", "selector_arm", "brake_overlay", "sessions", "graph_neighbours", "box_breakouts", "pair_trades", "bootstrap_blocks", "paper_trading", "fundamentals_known"])
 def test_against_sql(spark, name):
     import duckdb
 
