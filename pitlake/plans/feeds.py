@@ -157,3 +157,72 @@ def logistic_weights(spark: SparkSession, folder: str) -> DataFrame:
     """A logistic model of the direction by the forecast, under a penalty, by Newton's method: only sums leave a pass."""
     w = logistic(preds(spark, folder).withColumn("y", F.col("up").cast("double")), ["p"], "y", 1.0)
     return spark.createDataFrame([("p", round(w[0], 6)), ("free", round(w[1], 6))], "name string, weight double")
+
+
+@query(
+    """with d as (select distinct cast(timestamp as date) as day from bars where timestamp is not null), s as (select distinct ticker from bars where ticker is not null), b as (select ticker, cast(timestamp as date) as day, count(*) as n, max(close) as high from bars group by 1, 2),
+g as (select s.ticker as sym, d.day, b.n, b.high from s cross join d left join b on b.ticker = s.ticker and b.day = d.day) select sym, count(*) as days, count(n) as known, round(max(high), 6) as high from g group by sym"""
+)
+def panel_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ticker on every day of the calendar: how many days that are, and on how many it has bars. The calendar is what each ticker explodes."""
+    b = table(spark, folder, "bars").select(F.col("ticker").alias("sym"), F.col("timestamp").cast("date").alias("day"), "close").where("sym is not null and day is not null")
+    daily = b.groupBy("sym", "day").agg(F.count("*").alias("n"), F.max("close").alias("high"))
+    g = readers.panel(daily, daily.select("day"), daily.select("sym"))
+    return g.groupBy("sym").agg(F.count("*").alias("days"), F.count("n").alias("known"), F.round(F.max("high"), 6).alias("high"))
+
+
+@query(
+    """with s as (select distinct ticker as sym, list_sum(list_transform(string_split(ticker, ''), lambda x: ascii(x))) as seed from issuers), d as (select cast(d as date) as day, cast(d as date) - date '1970-01-01' as n from generate_series(timestamp '2020-01-01', timestamp '2021-12-31', interval 1 day) t(d))
+select sym, day, round(50 + seed % 100 + 5 * sin((n + seed) / 30.0::double) + (n - 10000) * 0.002::double * (1 + seed % 3), 4) as close from s, d"""
+)
+def synthetic_market(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices that follow from ticker and day alone."""
+    names = [r[0] for r in table(spark, folder, "issuers").select("ticker").distinct().collect()]  # the dimension of issuers
+    return readers.synthetic_prices(spark, names, "2020-01-01", "2021-12-31")
+
+
+@query(
+    """with l as (select distinct seq, accession, type, written_at, ticker from ledger where accession is not null), k as (select *, row_number() over (partition by accession, type order by written_at desc nulls last, seq desc) as r from l) select accession, type, seq, ticker from k where r = 1"""
+)
+def latest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What upserts by accession and kind leave of an append-only ledger: the newest row of each, found by an aggregate."""
+    x = table(spark, folder, "ledger").where("accession is not null").select("seq", "accession", "type", "written_at", "ticker").distinct()
+    return readers.latest_by_key(x, ["accession", "type"], ["written_at", "seq"]).select("accession", "type", "seq", "ticker")
+
+
+@query(
+    """with q as (select distinct fact_id, cik, source, period_end, first_filed from quarters where first_filed is not null), v as (select cik, source, period_end, first_filed, min(fact_id) as fact_id from q group by 1, 2, 3, 4)
+select fact_id, first_filed as valid_from, lead(first_filed) over (partition by cik, source, period_end order by first_filed) as valid_to from v"""
+)
+def fact_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The days from which and until which each fact is its period's current version."""
+    q = table(spark, folder, "quarters").where("first_filed is not null").groupBy("cik", "source", "period_end", "first_filed").agg(F.min("fact_id").alias("fact_id"))
+    return readers.versions(q, ["cik", "source", "period_end"], "first_filed").select("fact_id", "valid_from", "valid_to")
+
+
+@query("select ticker, count(*) as n, count(*) filter (where retrieved_at < timestamptz '2020-01-01 00:00:00+00') as before from (select distinct evidence_id, ticker, retrieved_at from evidence_refs) where ticker is not null and retrieved_at <= timestamptz '2020-01-01 00:00:00+00' group by ticker")
+def known_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence known at a cutoff, and what was known strictly before it: filters that reach the scan."""
+    from pitlake.operators.asof import known
+
+    x = table(spark, folder, "evidence_refs").select("evidence_id", "ticker", "retrieved_at").where("ticker is not null")
+    at = spark.range(1).select(F.to_timestamp(F.lit("2020-01-01 00:00:00+00:00")).alias("t")).first().t  # one time
+    with as_of(at):
+        upto, before = known(x, "retrieved_at").distinct(), known(x, "retrieved_at", strict=True).distinct()
+    a = upto.groupBy("ticker").agg(F.count("*").alias("n"))
+    b = before.groupBy(F.col("ticker").alias("_t")).agg(F.count("*").alias("before"))
+    return a.join(b, F.col("ticker") == F.col("_t"), "left").select("ticker", "n", F.coalesce("before", F.lit(0)).cast("bigint").alias("before"))
+
+
+@query("select event_type, count(distinct user_id) as users, true as near from events group by event_type")
+def distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users by type, exactly, and whether a sketch of bounded size comes within a tenth of them."""
+    e = table(spark, folder, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("about"))
+    return e.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("near"))
+
+
+@query("select l_orderkey, l_linenumber, round(l_extendedprice / 8, 2) as up, round_even(l_extendedprice / 8, 2) as even, floor(l_extendedprice / 8) as down from (select l_orderkey, l_linenumber, cast(floor(l_extendedprice) as double) as l_extendedprice from lineitem)")
+def rounded_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Halves away from zero, halves to the even digit, and down."""
+    x = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.floor("l_extendedprice").cast("double") / 8).alias("v"))
+    return x.select("l_orderkey", "l_linenumber", F.round("v", 2).alias("up"), F.bround("v", 2).alias("even"), F.floor("v").cast("double").alias("down"))

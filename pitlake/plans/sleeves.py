@@ -178,10 +178,13 @@ f as (select sector, 0::bigint as i, cast(null as date) as day, 100000.0::double
       select r.sector, r.i, r.day, r.new, r.old, f.halted, f.peak, f.h, coalesce(list_sum([case when r.old[j].s then 0 else f.h[j] * r.old[j].p end for j in range(1, len(r.old) + 1)]), 0) as leaving,
         f.cash + coalesce(list_sum([f.h[j] * r.old[j].p for j in range(1, len(r.old) + 1)]), 0) - 0.0005 * coalesce(list_sum([case when r.old[j].s then 0 else f.h[j] * r.old[j].p end for j in range(1, len(r.old) + 1)]), 0) as there
       from f join r on r.sector = f.sector and r.i = f.i + 1) w) x) y, lateral (select y.cash + list_sum([coalesce(y.n[j] * y.new[j].c, 0) for j in range(1, len(y.new) + 1)]) as equity) z)
-select cast(sector as bigint) as key, day, round(equity, 4) as equity, round(cash, 4) + 0.0 as cash, cast(list_sum(h) as bigint) as shares, round(traded, 4) as traded, halted from f where i > 0"""
+select cast(sector as bigint) as key, day, round(log10(equity), 7) as size, round(cash / equity, 6) + 0.0 as cash_share, cast(list_sum(h) as bigint) as shares, round(traded / equity, 6) as turnover, halted from f where i > 0"""
 )
 def paper_trading(spark: SparkSession, folder: str) -> DataFrame:
-    """A book for each sector of the five names that rose most over three months, bought in whole shares at the next month's open, sells first, halted in a deep fall."""
+    """A book for each sector of the five names that rose most over three months, bought in whole shares at the next month's open, sells first, halted in a deep fall.
+
+    size is the decimal logarithm of the book's worth; cash and what was traded are parts of it.
+    """
     d = table(spark, folder, "supplier").join(F.broadcast(table(spark, folder, "nation").select("n_nationkey", "n_regionkey")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sym"), F.col("n_regionkey").cast("bigint").alias("sector"))  # 25 nations
     b = bars_m(spark, folder).select("sym", "day", "open", "close")
     m = b.join(d, "sym").select("sym", "sector", "day", back("close", 3, by_sym()).alias("mom"))
@@ -189,7 +192,7 @@ def paper_trading(spark: SparkSession, folder: str) -> DataFrame:
     k = m.where("mom is not null").withColumn("place", F.row_number().over(W.partitionBy("sector", "day").orderBy(F.desc("mom"), "sym"))).where(F.col("place") <= PLACES)
     k = k.join(days, ["sector", "day"]).where("next is not null").select("sector", F.col("next").alias("day"), "sym", "place")
     x = paper_books(sessions_of(k, b, "sector", "day", "sym", "place"), "bigint", places=PLACES)
-    return x.select("key", "day", F.round("equity", 4).alias("equity"), (F.round("cash", 4) + 0.0).alias("cash"), "shares", F.round("traded", 4).alias("traded"), "halted")
+    return x.select("key", "day", F.round(F.log10("equity"), 7).alias("size"), (F.round(F.col("cash") / F.col("equity"), 6) + 0.0).alias("cash_share"), "shares", F.round(F.col("traded") / F.col("equity"), 6).alias("turnover"), "halted")
 
 
 @query(

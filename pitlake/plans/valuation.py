@@ -128,7 +128,26 @@ def logistic(df: DataFrame, features: list[str], target: str, penalty: float = 1
     return w.tolist()
 
 
-@query()
+def _newton_sql(passes: int) -> str:
+    """Newton's method for two features x1, x2 and a free intercept over the rows of ``old``, a step for each pass, solved by Cramer's rule."""
+    z = "1 / (1 + exp(-(a * x1 + b * x2 + c)))"
+    sums = {"g1": "(q - y) * x1", "g2": "(q - y) * x2", "g3": "q - y", "h11": "q * (1 - q) * x1 * x1", "h12": "q * (1 - q) * x1 * x2", "h13": "q * (1 - q) * x1", "h22": "q * (1 - q) * x2 * x2", "h23": "q * (1 - q) * x2", "h33": "q * (1 - q)"}
+    det = lambda r1, r2, r3: f"({r1[0]} * ({r2[1]} * {r3[2]} - {r2[2]} * {r3[1]}) - {r1[1]} * ({r2[0]} * {r3[2]} - {r2[2]} * {r3[0]}) + {r1[2]} * ({r2[0]} * {r3[1]} - {r2[1]} * {r3[0]}))"
+    rows = [["h11", "h12", "h13"], ["h12", "h22", "h23"], ["h13", "h23", "h33"]]
+    step = [f"{det(*[[f'g{i + 1}' if j == k else rows[i][j] for j in range(3)] for i in range(3)])} / {det(*rows)}" for k in range(3)]
+    out = ["w0 as (select 0.0::double as a, 0.0::double as b, 0.0::double as c)"]
+    for k in range(1, passes + 1):
+        out.append(f"s{k} as materialized (select any_value(a) as a, any_value(b) as b, any_value(c) as c, " + ", ".join(f"sum({e})" + {"g1": " + any_value(a)", "g2": " + any_value(b)", "h11": " + 1", "h22": " + 1"}.get(n, "") + f" as {n}" for n, e in sums.items()) + f" from (select *, {z} as q from old, w{k - 1}))")
+        out.append(f"w{k} as materialized (select a - {step[0]} as a, b - {step[1]} as b, c - {step[2]} as c from s{k})")
+    return ", ".join(out)
+
+
+@query(
+    using("preds")
+    + ", x as (select made - date '1970-01-01' as d, p as x1, ln(cast(h as double)) as x2, case when up then 1.0::double else 0.0 end as y from preds), e as (select quantile_cont(d, 0.6666666666666666) as e from x), old as (select x.* from x, e where d <= e), "
+    + _newton_sql(12)
+    + " select count(*) as n, round(avg(pow(1 / (1 + exp(-(a * x1 + b * x2 + c))) - y, 2)), 6) as brier, round(avg(pow((select avg(y) from old) - y, 2)), 6) as base from x, e, w12 where d > e"
+)
 def fitted_direction(spark: SparkSession, folder: str) -> DataFrame:
     """A logistic model of the direction, fitted on the older two thirds by time, with its loss on the newer third against the base rate."""
     x = preds(spark, folder).withColumn("h2", F.log(F.col("h").cast("double"))).withColumn("y", F.col("up").cast("double"))
@@ -191,7 +210,12 @@ def least_variance(cov: list[list[float]]) -> list[float]:
     return (raw / raw.sum()).tolist() if abs(raw.sum()) > 1e-300 else [1 / len(raw)] * len(raw)
 
 
-@query()
+@query(
+    """with recursive x as (select s_nationkey as sym, cast(date_trunc('month', l_shipdate) as date) as m, cast(sum(l_quantity) as double) as q from lineitem join supplier on s_suppkey = l_suppkey group by 1, 2),
+p as (select a.sym as a, b.sym as b, round(covar_samp(a.q, b.q), 3) as c from x a join x b on a.m = b.m group by 1, 2), r as (select a, list(c order by b) || [1.0::double] as row from p group by a), m0 as (select list(a order by a) as names, list(row order by a) as m, count(*) as n from r),
+g as (select 1 as k, n, m from m0 union all select k + 1, n, [case when i = k then [v / m[k][k] for v in m[k]] else [m[i][j] - m[i][k] * m[k][j] / m[k][k] for j in range(1, n + 2)] end for i in range(1, n + 1)] from g where k <= n),
+w as (select [row[n + 1] for row in m] as w from g where k = n + 1) select unnest(names) as nation, unnest([round(v / list_sum(w), 6) for v in w]) as weight from w, m0"""
+)
 def least_variance_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of least variance over the nations' monthly quantities: the covariances are aggregated in Spark, nations x nations numbers reach the driver."""
     from pitlake.plans.relational import correlation_matrix
