@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SLOT_US = 86_400_000_000
 _NONE = np.iinfo(np.int64).min
@@ -140,8 +141,7 @@ def nearest(
     rows = x.select("entity", "slot", "ts", F.lit(True).alias("left"), "tag", "key", F.lit(None).cast(kind).alias("rid")).unionByName(
         r.select("entity", "slot", "ts", F.lit(False).alias("left"), F.lit(None).cast(tag_kind).alias("tag"), F.lit(None).cast(key_kind).alias("key"), "rid")
     )
-    types = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
     out = rows.repartition("entity", "slot").sortWithinPartitions("entity", "slot", "ts", "left", "rid", "tag", "key").mapInArrow(
-        _merge(tolerance_us, types[kind]), f"tag {tag_kind}, key {key_kind}, rid {kind}"
+        _merge(tolerance_us, to_arrow_type(r.schema["rid"].dataType)), f"tag {tag_kind}, key {key_kind}, rid {kind}"
     )
     return out.select(F.col("tag").alias(tag), F.col("key").alias(key), F.col("rid").alias(found)).distinct()

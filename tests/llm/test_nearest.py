@@ -1,3 +1,5 @@
+import datetime as dt
+import decimal
 import random
 
 import pytest
@@ -55,3 +57,12 @@ def test_slot_edges_and_long_gap(spark):
 
 def test_empty(spark):
     assert run(spark, [], [(1, "a", 0, 0)]) == [] and run(spark, [("x", "k", "a", 0, "")], []) == []
+
+
+@pytest.mark.parametrize(("kind", "ids"), [("date", [dt.date(2020, 1, 1), dt.date(2020, 1, 2)]), ("double", [1.5, 2.5]), ("smallint", [3, 4]), ("decimal(20,3)", [decimal.Decimal("1.500"), decimal.Decimal("2.500")]), ("binary", [b"a", b"b"])])
+def test_ids_of_any_kind(spark, kind, ids):
+    left = spark.createDataFrame([("t", "k1", "e", 100), ("t", "k2", "e", 190), ("t", "k3", "f", 100)], "tag string, key string, e string, us bigint")
+    right = spark.createDataFrame([("e", 90, ids[0]), ("e", 200, ids[1])], f"e string, us bigint, id {kind}")
+    c = F.col
+    got = nearest(left, right, 50, c("tag"), c("key"), c("e"), c("us"), c("id"), c("e"), c("us")).collect()
+    assert {r.rec_id: (bytes(r.bar_id) if kind == "binary" else r.bar_id) for r in got} == {"k1": ids[0], "k2": ids[1]}
