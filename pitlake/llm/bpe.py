@@ -67,11 +67,10 @@ class _Words:
     def __init__(self, vocabulary: str) -> None:
         import duckdb
         import pyarrow as pa
-        import regex
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.find = regex.compile(PATTERN).findall
+        self.find = splitter()
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         pairs = [(ranks[b[:i]], ranks[b[i:]], k) for b, k in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
         self.db = duckdb.connect(config={"threads": 1})
@@ -113,6 +112,29 @@ class _Words:
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
 
+@lru_cache(maxsize=1)
+def splitter():
+    """A function that splits a text into the words of PATTERN.
+
+    Texts without characters beyond U+FFFF, nearly all, are split by the standard library's patterns, whose character classes are spelled out from those of
+    PATTERN: the same words in less than half the time.
+    """
+    import re
+
+    import regex
+
+    whole = regex.compile(PATTERN).findall
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def spelled(of: str) -> str:
+        return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"(?:{of})+", every))
+
+    letters, digits, blanks = spelled(r"\p{L}"), spelled(r"\p{N}"), spelled(r"\s")
+    pattern = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]").replace(r"\s", f"[{blanks}]").replace(r"\S", f"[^{blanks}]")
+    plain = re.compile(pattern).findall
+    return lambda text: plain(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else whole(text)
+
+
 def _parts(batch, column: int) -> Iterator:
     """The batch in slices of about PART_BYTES of text, one text at least: what a worker splits into words at once."""
     import pyarrow.compute as pc

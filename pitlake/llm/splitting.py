@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlake.llm.bpe import PATTERN, VOCABULARY, library
+from pitlake.llm.bpe import VOCABULARY, library, splitter
 from pitlake.session import materialised
 
 #: Characters of a range, and of its halos before and after.
@@ -35,7 +35,7 @@ def _patterns():
     import regex
 
     return {
-        "words": regex.compile(PATTERN).findall,
+        "words": splitter(),
         "sync": regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"),
         "ends": regex.compile(r"[.!?…]+[\"'”’»)\]]*$"),
         "ends_close": regex.compile(r"[。！？]+[”」』）]*$"),

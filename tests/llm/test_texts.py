@@ -161,3 +161,18 @@ def test_packing_is_the_same_on_every_cluster(spark, monkeypatch):
     a = sorted(map(tuple, packed(df.repartition(7), "id", "size", 64).collect()))
     assert a == sorted(map(tuple, packed(df.orderBy(F.desc("size")).coalesce(1), "id", "size", 64).collect()))
     assert len({x[0] >> 40 for x in a}) == 6
+
+
+def test_both_ways_to_split_agree():
+    """The spelled-out classes give the pattern's own words, with any characters."""
+    import regex
+
+    from pitlake.llm.bpe import PATTERN, splitter
+
+    r, find, own = random.Random(8), splitter(), regex.compile(PATTERN).findall
+    pick = [lambda: chr(r.randrange(128)), lambda: chr(r.randrange(0x3000)), lambda: chr(r.randrange(0xD800)), lambda: chr(r.randrange(0xE000, 0x10000)), lambda: r.choice(" \n\t'sdlabc12.\x1c\x1f\x85\xa0é。ー’"), lambda: chr(r.randrange(0x10000, 0x20000))]
+    for n in range(4000):
+        kinds = pick[:5] if n % 5 else pick
+        text = "".join(r.choice(kinds)() for _ in range(r.randrange(60)))
+        assert find(text) == own(text), ascii(text)
+    assert find("") == []
