@@ -15,6 +15,8 @@ from pitlake.plans.views import preds, using
 
 #: Predictions of a month that a cross-sectional score needs.
 NAMES = 10
+#: Probabilities have four digits, so they are whole numbers of 1 / UNITS.
+UNITS = 10_000
 
 
 def _hit() -> F.Column:
@@ -29,6 +31,11 @@ def _log_loss() -> F.Column:
     return -F.when(F.col("up"), F.log("p")).otherwise(F.log(1 - F.col("p")))
 
 
+def _six_digits(x: F.Column) -> F.Column:
+    """x rounded as SQL does, which scales first: 41 / 640 becomes 0.064062, where F.round gives 0.064063."""
+    return F.round(x * 1e6) / 1e6
+
+
 @query(
     using("preds")
     + """, w as (select arm, cutoff, avg(sign(p - 0.5) * ret) filter (where p <> 0.5) as ls from preds group by arm, cutoff), v as (select arm, avg(ls) as m, stddev_samp(ls) as s, count(ls) as k from w group by arm),
@@ -67,10 +74,11 @@ def scores_over_time(spark: SparkSession, folder: str) -> DataFrame:
     + """, e as (select k, k / 10.0 as lo, (k + 1) / 10.0 as hi from range(10) t(k)) select arm, cast(k as int) as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(case when up then 1.0 else 0.0 end), 6) as realised from preds join e on (p > lo or (k = 0 and p = 0)) and p <= hi group by arm, k"""
 )
 def calibration_bins(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean probability against what happened, in ten bins closed on the right, the lowest on both sides."""
+    """Mean probability against what happened, in ten bins closed on the right, the lowest on both sides. Sums are of whole numbers, so that a mean halfway between two roundings doesn't hang on the order of rows."""
     edges = F.array(*[F.lit(k / 10) for k in range(1, 10)])
     x = preds(spark, folder).where("p between 0 and 1").withColumn("bin", F.size(F.filter(edges, lambda e: F.col("p") > e)))
-    return x.groupBy("arm", "bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg(F.col("up").cast("double")), 6).alias("realised"))
+    n, units = F.count("*"), F.sum(F.round(F.col("p") * UNITS).cast("bigint"))
+    return x.groupBy("arm", "bin").agg(n.alias("n"), _six_digits(units / (n * UNITS)).alias("mean_p"), _six_digits(F.avg(F.col("up").cast("double"))).alias("realised"))
 
 
 _RANKED = """, k as (select arm, cutoff, sym, run_id, p, ret, count(*) over (partition by arm, cutoff) as n, rank() over (partition by arm, cutoff order by p) + (count(*) over (partition by arm, cutoff, p) - 1) / 2.0 as rp, rank() over (partition by arm, cutoff order by ret) + (count(*) over (partition by arm, cutoff, ret) - 1) / 2.0 as rr from preds),
